@@ -9,8 +9,10 @@ a candidate pair is then counted fragment by fragment and summed per pair.
 Sets are compared by 64-bit hashes of their shingles; equal hashes of different shingles are the only
 approximation (about 1e-3 expected wrong shingles in 1e8 different ones).
 
-Groups never become pairs: copies with equal sets share one node; within a bucket all members are first compared
-with one pivot, and later rounds only look at buckets that still hold more than one component.
+Groups do not become pairs: copies with equal sets share one node, and each document is compared with one pivot of
+its buckets. Documents that do not link with their pivot are then compared with each other by how they differ from
+it, which sets apart the members of a large group of near copies; only candidates of different components that
+also have different pivots are listed as the pairs that they are.
 
 Nulls and empty texts have no shingles and link with nothing. Rows without an id keep a null component. Repeated
 rows are one node, and each gets its row of the result. Other columns are ignored.
@@ -151,7 +153,7 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sig", "doc"])
 
 
-def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Joins documents whose shingle sets have 100 * |intersection| >= percent * |union|.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
@@ -166,48 +168,94 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     sigs = base.where("doc is not null and size(sigs) > 0").select("doc", "sigs").join(copies, "doc", "left_anti").select(F.explode("sigs").alias("sig"), "doc")
     found = sigs.repartitionByRange("sig", "doc").sortWithinPartitions("sig").mapInArrow(_repeated, "sig long, doc long")
     grouped = materialise(found)
-    buckets = grouped.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    grouped = materialise(grouped.join(buckets.select("sig"), "sig", "left_semi"))
-    wanted = grouped.select("doc").distinct()
-    sets = rows.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode(_fragments(percent)("text")).alias("f"))
+    buckets = grouped.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high")
+    grouped = materialise(grouped.join(buckets.select("sig", "size"), "sig").distinct())
+    sets = rows.join(grouped.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode(_fragments(percent)("text")).alias("f"))
     sets = materialise(sets.select("doc", "f.level", "f.v", "f.part"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, level), those that link."""
-        cut_up = pairs.select("*", F.explode(F.expr("sequence(0, cast(shiftleft(1, level) as int) - 1)")).alias("v"))
-        left = sets.select(F.col("doc").alias("b"), "level", "v", F.col("part").alias("pb"))
-        right = sets.select(F.col("doc").alias("a"), "level", "v", F.col("part").alias("pa"))
-        partial = cut_up.join(left, ["b", "level", "v"]).join(right, ["a", "level", "v"])
-        partial = partial.select("a", "b", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"), F.size("pa").cast("long").alias("na"), F.size("pb").cast("long").alias("nb"))
-        total = partial.groupBy("a", "b").agg(F.sum("o").alias("overlap"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-        return total.where(F.expr(f"100 * overlap >= {int(percent)} * (na + nb - overlap)")).select("a", "b", "overlap")
-
-    level = F.expr("cast(sig & 15 as int)")
-    links = tested = comp = None
-    for turn in range(star_rounds + 1):
-        lab = grouped.withColumn("c", F.col("doc")) if comp is None else grouped.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
-        mixed = lab.groupBy("sig").agg(F.min(F.struct("c", "doc")).alias("low"), F.max("c").alias("high")).where("low.c < high").select("sig", F.col("low.c").alias("pc"), F.col("low.doc").alias("a"))
-        if turn < star_rounds:  # all others of a bucket with its pivot; of each document's pivots, the one it shares most with
-            pairs = lab.join(mixed, "sig").where("c <> pc").groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("s"), F.min(level).alias("level"))
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "level"), F.struct("s", -F.col("a"))).alias("p")).select("p.a", "b", "p.level")
-        else:  # what is left: documents of different components that still share a bucket
-            rest = lab.join(mixed.select("sig"), "sig", "left_semi")
-            other = rest.select("sig", F.col("doc").alias("b"), F.col("c").alias("cb"))
-            pairs = rest.join(other, "sig").where("c <> cb and doc < b").groupBy(F.col("doc").alias("a"), "b").agg(F.min(level).alias("level"))
-            pairs = pairs if tested is None else pairs.join(tested.union(tested.select("b", "a")), ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            if not turn:
-                break
-            continue
-        good = materialise(verified(pairs))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        links = good if links is None else links.union(good)
-        comp = connected_components(links)
-    if comp is None:
-        empty = grouped.where("false").select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.col("sig").alias("overlap"))
-        return members.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.col("rep").alias("component_id")), empty
+    pairs = materialise(_with_pivots(grouped))
+    tested = materialise(_overlaps(pairs, sets, percent))
+    links = tested.where("linked").select("a", "b", "overlap")
+    comp = connected_components(links)
+    if not tested.where("not linked").isEmpty():
+        more = _beside_pivot(tested, sets, percent).union(_across_pivots(grouped, tested, comp))
+        label = comp.select(F.col("node").alias("x"), F.col("component").alias("c"))
+        more = more.join(label.withColumnsRenamed({"x": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"x": "b", "c": "cb"}), "b", "left")
+        more = more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
+        levels = sets.groupBy("doc").agg(F.collect_set("level").alias("l"))  # one or two: those of its size classes
+        more = more.join(levels.withColumnsRenamed({"doc": "a", "l": "la"}), "a").join(levels.withColumnsRenamed({"doc": "b", "l": "lb"}), "b")
+        more = more.select("a", "b", F.array_min(F.array_intersect("la", "lb")).alias("level")).where("level is not null")  # else of no common class
+        late = materialise(_overlaps(materialise(more), sets, percent).where("linked").select("a", "b", "overlap"))
+        links = links.union(late)
+        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b")))
     out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("component_id")), links
+
+
+_LEVEL = "cast(sig & 15 as int)"
+
+
+def _with_pivots(grouped: DataFrame) -> DataFrame:
+    """Each document with one pivot (a, b, level): a bucket's pivot is its member with most company over all its
+    buckets, and of its buckets' pivots a document takes the one that it shares most buckets with."""
+    company = grouped.groupBy("doc").agg(F.sum("size").alias("company"))
+    known = grouped.join(company, "doc")
+    pivots = known.groupBy("sig").agg(F.max(F.struct("company", (-F.col("doc")).alias("d"))).alias("m")).select("sig", (-F.col("m.d")).alias("a"), F.col("m.company").alias("company"))
+    pairs = grouped.join(pivots, "sig").where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.max("company").alias("company"), F.min(F.expr(_LEVEL)).alias("level"))
+    return pairs.groupBy("b").agg(F.max_by(F.struct("a", "level"), F.struct("shared", "company", -F.col("a"))).alias("p")).select("p.a", "b", "p.level")
+
+
+def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs' sets by fragment: pa and pb."""
+    cut_up = pairs.select("*", F.explode(F.expr("sequence(0, cast(shiftleft(1, level) as int) - 1)")).alias("v"))
+    left = sets.select(F.col("doc").alias("b"), "level", "v", F.col("part").alias("pb"))
+    right = sets.select(F.col("doc").alias("a"), "level", "v", F.col("part").alias("pa"))
+    return cut_up.join(left, ["b", "level", "v"]).join(right, ["a", "level", "v"])
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, level), the overlap counted in each fragment and summed, the sizes, and whether they link."""
+    partial = _side_by_side(pairs, sets).select("a", "b", "level", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"), F.size("pa").cast("long").alias("na"), F.size("pb").cast("long").alias("nb"))
+    total = partial.groupBy("a", "b", "level").agg(F.sum("o").alias("overlap"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    return total.withColumn("linked", F.expr(f"100 * overlap >= {int(percent)} * (na + nb - overlap)"))
+
+
+def _beside_pivot(tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) among the documents of one pivot, of which at least one does not link with it.
+
+    With X and Y the symmetric differences of two sets from the pivot, the sets differ in exactly |X ^ Y| shingles.
+    So a link needs X and Y to have much in common, although all sets are close to the pivot: for |X| <= |Y|, r =
+    (100 - percent) / (100 + percent) and set sizes n, 2 |X & Y| > |X| (1 - r), |X & Y| >= |X| - (n_X + n_Y) r / 2 and
+    |X & Y| >= |Y| - (n_X + n_Y) r. Prefixes of X and Y, rarest shingles first, that these bounds leave must meet.
+    """
+    r, t = (100 - percent) / (100 + percent), percent / 100
+    mixed = tested.where("not linked").select("a").distinct()
+    group = _side_by_side(tested.join(mixed, "a", "left_semi"), sets)
+    apart = group.select("a", "b", "linked", "nb", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
+    apart = materialise(apart)
+    counts = apart.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
+    # shingles that only one document of the pivot has are first in the order and are only counted
+    held = apart.groupBy("a", "b", "linked", "nb").agg(F.count("*").alias("size"))
+    common = apart.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
+    lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
+    need = F.greatest(F.floor(F.col("size") * ((1 - r) / 2) - 1e-9) + 1, F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r / 2) - 1e-9), F.lit(1))
+    short = F.col("size") - need + 1 - F.col("own")
+    long = F.col("size") - F.greatest(F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r) - 1e-9), F.lit(1)) + 1 - F.col("own")
+
+    def prefix(n, name: str) -> DataFrame:
+        part = lists.where(n > 0).select("a", "b", "linked", "size", F.explode(F.slice("list", F.lit(1), n.cast("int"))).alias("x"))
+        return part.select("a", F.col("x.e").alias("e"), F.col("b").alias(name), F.col("linked").alias(f"k{name}"), F.col("size").alias(f"s{name}"))
+
+    met = prefix(short, "x").join(prefix(long, "y"), ["a", "e"]).where("(sx < sy or sx = sy and x < y) and not (kx and ky)")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def _across_pivots(grouped: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
+    """Candidates (a, b) of one bucket that have different pivots and components."""
+    lab = grouped.select("sig", "doc").join(tested.select(F.col("b").alias("doc"), F.col("a").alias("p")), "doc", "left").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
+    lab = lab.select("sig", "doc", F.coalesce("p", "doc").alias("p"), F.coalesce("component", "doc").alias("c"))
+    mixed = lab.groupBy("sig").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("p0 < p1 and c0 < c1").select("sig")
+    rest = lab.join(mixed, "sig", "left_semi")
+    other = rest.select("sig", F.col("doc").alias("d2"), F.col("p").alias("p2"), F.col("c").alias("c2"))
+    pairs = rest.join(other, "sig").where("doc < d2 and p <> p2 and c <> c2 and p <> d2 and p2 <> doc")
+    return pairs.select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
