@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text they decode to."""
-    out = bpe.encode_decode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path())
+    out = bpe.encode_decode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path(), by_words=True)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -154,10 +154,10 @@ def test_bpe_trees_equal_the_library(tokenizer):
 
 def test_bpe_tables(spark, sf_dir, tokenizer):
     rng = random.Random(8)
-    texts = [None, "", " ", "a", "ab" * 20_000, "x" * 40_000, nasty(rng, 9000), "the cat sat " * 4000, "é" * 20_000, "a"]
+    texts = [None, "", " ", "a", "ab" * 20_000, "x" * 40_000, nasty(rng, 9000), *["\x1c".join([nasty(rng, 40)] * 9) + "\u2028\x85 \t\x0b<|endoftext|> \u0301x" for _ in range(20)], "the cat sat " * 4000, "é" * 20_000, "a"]
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string").repartition(3)
-    got = bpe.encode_decode(docs, tokenizer_path(), leaf=4096).collect()
-    assert len(got) == len(texts)
+    got = [r for by_words in (False, True) for leaf in (4096, 70_000) for r in bpe.encode_decode(docs, tokenizer_path(), leaf=leaf, by_words=by_words).collect()]
+    assert len(got) == 4 * len(texts)
     for r in got:
         e = tokenizer.encode(r.text or "", add_special_tokens=False).ids
         assert r.n_tokens == len(e) and bytes(r.ids) == b"".join(i.to_bytes(4, "little") for i in e)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-LEAF, WINDOW = 16_384, 48
+LEAF, WINDOW = 32_768, 48
 _loaded: dict = {}
 
 
@@ -110,48 +110,75 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 
 # --- tables -----------------------------------------------------------------------------
 
-_RESULT = pa.struct([("ids", pa.binary()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
+_CACHE = 200_000  # words a task keeps; beyond that it starts afresh
+_known: dict[str, dict[bytes, bytes]] = {}
+_tokens: dict[str, np.ndarray] = {}
 
 
-def _row(tokenizer, ids: np.ndarray) -> dict:
-    return {"ids": ids.astype("<u4").tobytes(), "n_tokens": len(ids), "decoded": tokenizer.decode(ids.tolist(), skip_special_tokens=False)}
+def encode_words(path: str, texts: list[str]) -> list[bytes]:
+    """Packed ids of texts for a tokenizer that drops white space: those of the words, each different one encoded
+    once. Only ASCII white space cuts here; the tokenizer sees to the rest."""
+    tokenizer, known = load(path), _known.setdefault(path, {})
+    cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    if len(known) > _CACHE:
+        known.clear()
+    new = list({w for words in cut for w in words}.difference(known))
+    for at in range(0, len(new), 4096):
+        part = new[at : at + 4096]
+        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+    return [b"".join([known[w] for w in words]) for words in cut]
 
 
-def _functions(path: str):
+def decode(path: str, ids: bytes) -> str:
+    """The library's decode of packed ids, special tokens included; without a decoder that is a join of the tokens."""
+    tokenizer, ids = load(path), np.frombuffer(ids, "<u4")
+    if tokenizer.decoder is not None:
+        return tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    if path not in _tokens:
+        _tokens[path] = np.array([tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())], object)
+    return " ".join(_tokens[path][ids].tolist())
+
+
+def _result(path: str, ids: list[bytes]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([decode(path, i) for i in ids], pa.string())], ["ids", "n_tokens", "decoded"])
+
+
+def _functions(path: str, leaf_size: int, by_words: bool):
+    place = "<u2" if leaf_size < 1 << 16 else "<u4"  # of a character within its leaf
+
     @arrow_udf(_RESULT_DDL)
     def whole(text: pa.Array) -> pa.Array:
         t, out = load(path), []
         for at in range(0, len(text), 256):
-            for e in t.encode_batch_fast(text.slice(at, 256).to_pylist(), add_special_tokens=False):
-                out.append(_row(t, np.array(e.ids, np.uint32)))
-        return pa.array(out, _RESULT)
+            some = text.slice(at, 256).to_pylist()
+            out += encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
+        return _result(path, out)
 
     @arrow_udf("ids binary, starts binary, ends binary")
-    def leaf(text: pa.Array, at: pa.Array) -> pa.Array:
-        t, out = load(path), []
-        for x, a in zip(text, at.to_pylist(), strict=True):
-            ids, s, e = encode_part(t, x.as_py(), a)
-            out.append({"ids": ids.tobytes(), "starts": s.tobytes(), "ends": e.tobytes()})
-        return pa.array(out, pa.struct([("ids", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())]))
+    def leaf(text: pa.Array) -> pa.Array:
+        parts = [[v.astype(k).tobytes() for v, k in zip(encode_part(load(path), x.as_py()), ("<u4", place, place), strict=True)] for x in text]
+        return pa.StructArray.from_arrays([pa.array([p[i] for p in parts], pa.binary()) for i in range(3)], ["ids", "starts", "ends"])
 
     @arrow_udf(_RESULT_DDL)
     def tree(leaves: pa.Array) -> pa.Array:
-        t, out = load(path), []
+        out = []
         for row in leaves:
             row = row.as_py()
             text = "".join(x["piece"] for x in row)
             cuts = [0, *np.cumsum([len(x["piece"]) for x in row]).tolist()]
-            parts = [(np.frombuffer(x["ids"], np.uint32), np.frombuffer(x["starts"], np.int64), np.frombuffer(x["ends"], np.int64)) for x in row]
-            out.append(_row(t, join_tree(t, text, parts, cuts)[0]))
-        return pa.array(out, _RESULT)
+            parts = [(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["starts"], place).astype(np.int64) + a, np.frombuffer(x["ends"], place).astype(np.int64) + a) for x, a in zip(row, cuts[:-1], strict=True)]
+            out.append(join_tree(load(path), text, parts, cuts)[0].astype("<u4").tobytes())
+        return _result(path, out)
 
     return whole, leaf, tree
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded."""
-    whole, each, tree = _functions(tokenizer_path)
+def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = LEAF, by_words: bool = False) -> DataFrame:
+    """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded. by_words: the tokenizer drops white space and
+    never joins what stands on either side of it, so texts of one leaf are encoded by their different words."""
+    whole, each, tree = _functions(tokenizer_path, leaf, by_words)
     rows = docs.drop("ids", "n_tokens", "decoded")
     cols = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -163,7 +190,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     cuts = F.sequence(F.lit(0), F.length("t") - 1, F.lit(leaf))
     leaves = tall.select("uid", "row", "t", F.explode(cuts).alias("at"))
     leaves = leaves.select("uid", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(F.col("t"), F.col("at") + 1, F.lit(leaf)).alias("piece"))
-    leaves = leaves.repartition("uid", "at").withColumn("e", each("piece", "at"))
+    leaves = leaves.repartition("uid", "at").withColumn("e", each("piece"))
     met = leaves.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "e.ids", "e.starts", "e.ends"))).alias("leaves"), F.first("row", ignorenulls=True).alias("row"))
     out = short.union(met.select("row", tree("leaves").alias("r")))
     return out.select(*back, "r.ids", "r.n_tokens", "r.decoded")

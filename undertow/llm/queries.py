@@ -53,7 +53,7 @@ def tokenizer_path() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    out = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), by_words=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
