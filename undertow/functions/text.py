@@ -26,6 +26,26 @@ def normalize_url(url: Column) -> Column:
     return F.when(base.isNotNull(), F.concat(base, cut))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def sections(text: Column) -> Column:
+    """Array of (heading, body) by headings of one to six #; without headings one section called Document. What stands
+    before the first heading goes, and so do sections without a body."""
+    pieces = F.filter(F.split(text, r"(?m)(?=^#{1,6}\s)"), lambda p: p.rlike(r"^#{1,6}\s+"))
+    part = F.transform(pieces, lambda p: F.struct(strip(F.regexp_extract(p, r"^#{1,6}\s+(.*)", 1)).alias("heading"), strip(F.regexp_replace(p, r"^#{1,6}\s+.*", "")).alias("body")))
+    whole = F.array(F.struct(F.lit("Document").alias("heading"), strip(text).alias("body")))
+    return F.when(F.size(pieces) == 0, whole).otherwise(F.filter(part, lambda x: x["body"] != ""))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays of different items; 1 where both are empty."""
+    either = F.size(F.array_union(a, b))
+    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+
 def screen_id(url: Column) -> Column:
     return F.left(F.sha1(url), F.lit(12))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,15 +19,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_upstream(seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
+def bounded_upstream(seeds: DataFrame, edges: DataFrame, max_depth: int = 6, enough: int | None = None) -> DataFrame:
     """(node, depth): nodes that depend on a seed within max_depth hops, seeds at depth 0.
 
     Semi-naive: each level joins only the newest nodes with the edges, and drops those seen before. Lineage is cut
-    at each level; the loop ends at the first empty level, so cycles and self-loops end too.
+    at each level; the loop ends at the first empty level, so cycles and self-loops end too. With `enough`, it also ends after the level that reaches so many nodes.
     """
     seen = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):
+        if enough is not None and seen.count() >= enough:
+            break
         step = frontier.join(edges.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node")).distinct()
         frontier = checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -44,3 +46,11 @@ def upstream_sql(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_de
            SELECT node, min(depth) AS depth FROM r GROUP BY node""",
         seeds=seeds, edges=edges, depth=max_depth,
     )
+
+
+def bfs_crawl(start: DataFrame, links: DataFrame, budget: int) -> DataFrame:
+    """(node, depth, place): the first `budget` nodes breadth-first from the start along links (src to dst), by depth
+    and then by node. Each level that is not empty adds a node, so there are at most `budget` levels."""
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    first = bounded_upstream(start, back, budget, enough=budget).orderBy("depth", "node").limit(budget)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("depth", "node")))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import text as X
-from undertow.operators import impact, resolve
+from undertow.operators import code, impact, report, resolve
+from undertow.plans.closure import bfs_crawl as crawl
 from undertow.plans.closure import bounded_upstream, upstream_sql
+from undertow.plans.numbering import numbered
 from undertow.sources.bindings import Tables, clamp
+from undertow.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,6 +110,72 @@ def affected_files(t: Tables) -> DataFrame:
     return t.changed().union(_affected(t).select("node")).distinct()
 
 
+@query("""WITH RECURSIVE c AS (SELECT p_partkey // 4 AS file FROM part WHERE p_brand = 'Brand#2' AND p_size <= 10), d AS (SELECT DISTINCT src // 4 AS src, dst // 4 AS dst FROM ("""
+       + _SQL["depends"] + """) WHERE src // 4 <> dst // 4), r AS (SELECT file, 0 AS depth FROM c UNION SELECT d.src, r.depth + 1 FROM r JOIN d ON d.dst = r.file WHERE r.depth < 6)
+    SELECT file, min(depth) AS depth FROM r GROUP BY file""")
+def file_closure(t: Tables) -> DataFrame:
+    """Closure over files of four symbols each; edges inside a file do not count."""
+    edges = t.depends().select(F.expr("src div 4").alias("src"), F.expr("dst div 4").alias("dst")).where("src <> dst").distinct()
+    return bounded_upstream(t.changed().select(F.expr("node div 4").alias("node")), edges).withColumnRenamed("node", "file")
+
+
+@query("""WITH RECURSIVE d AS (""" + _SQL["depends"] + """), r AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_brand = 'Brand#2' AND p_size <= 10
+    UNION SELECT d.dst, r.depth + 1 FROM r JOIN d ON d.src = r.node WHERE r.depth < 25), f AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+    SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS place FROM f QUALIFY place <= 25""")
+def bfs_crawl(t: Tables) -> DataFrame:
+    """The first 25 items (the crawl's budget) from the changed ones along their dependencies."""
+    return crawl(t.changed(), t.depends(), 25)
+
+
+# --- code -------------------------------------------------------------------------------------
+
+_PATH = "'src/m' || {k} % 7 || '/p' || {k} || CASE {k} % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN '.ts' ELSE '/index.tsx' END"
+_FROM_TO = f"SELECT {_PATH.format(k='src')} AS from_file, {_PATH.format(k='dst')} AS to_file, CASE WHEN dst % 2 = 0 THEN 'call' ELSE 'render' END AS kind, CASE WHEN dst % 2 = 0 THEN 'use' ELSE 'P' END || dst AS name FROM depends"
+
+
+def _path(key: str):
+    return F.expr(_PATH.format(k=key))
+
+
+def _sources(t: Tables) -> DataFrame:
+    """One source file for each part, which imports and uses the parts that it depends on."""
+    way = F.concat(F.when(F.col("src") % 3 == 2, "../../m").otherwise("../m"), (F.col("dst") % 7).cast("string"), F.lit("/p"), F.col("dst").cast("string"))
+    called = F.col("dst") % 2 == 0
+    take = F.concat(F.lit("import "), F.when(called, F.expr("'{ use' || dst || ' }'")).otherwise(F.expr("'P' || dst")), F.lit(" from '"), way, F.lit("';"))
+    use = F.when(called, F.expr("'  use' || dst || '();'")).otherwise(F.expr("'  show(<P' || dst || ' />);'"))
+    lines = t.depends().select("src", take.alias("take"), use.alias("use")).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("take")).alias("top"), F.array_sort(F.collect_list("use")).alias("body"))
+    own = F.expr("'export ' || CASE WHEN node % 2 = 0 THEN 'const use' || node || ' = () => {' ELSE 'function P' || node || '() {' END")
+    empty = F.array().cast("array<string>")
+    text = F.array_join(F.concat(F.coalesce("top", empty), F.array(own), F.coalesce("body", empty), F.array(F.lit("  fetch(1);"), F.lit("}"))), "\n")
+    return t.nodes().join(lines, "node", "left").select(_path("node").alias("path"), text.alias("source"))
+
+
+@query(f"SELECT {_PATH.format(k='p_partkey')} AS file, CASE WHEN p_partkey % 2 = 0 THEN 'use' ELSE 'P' END || p_partkey AS name, 'function' AS kind, 1 + coalesce(n, 0) AS line, TRUE AS exported FROM part LEFT JOIN (SELECT src, count(*) AS n FROM depends GROUP BY src) ON src = p_partkey")
+def code_symbols(t: Tables) -> DataFrame:
+    return code.symbols(_sources(t))
+
+
+@query(f"SELECT from_file, to_file, name AS imported_name FROM ({_FROM_TO})")
+def import_resolution(t: Tables) -> DataFrame:
+    sources = _sources(t)
+    return code.import_edges(code.resolve_imports(code.imports(sources), sources))
+
+
+@query(f"SELECT from_file, to_file, kind, name FROM ({_FROM_TO})")
+def edge_resolution(t: Tables) -> DataFrame:
+    return code.code_model(_sources(t))["edges"]
+
+
+@query(f"""SELECT o_custkey AS req, {_PATH.format(k='l_partkey')} AS file, max_by(round(least(1.0, greatest(0.0, l_discount * 15 - 0.2)), 6), struct_pack(o := l_orderkey, n := l_linenumber, p := l_extendedprice, d := l_discount)) AS confidence
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1, 2""")
+def resolve_files(t: Tables) -> DataFrame:
+    """Proposals from the returned lines; a third of them name a path that does not exist."""
+    lines = t.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_suppkey") % 3 == 0, F.lit("src/none.ts")).otherwise(_path("l_partkey")).alias("path"), "l_discount", F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").alias("ord"))
+    asked = t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("req")).join(lines, "o_orderkey")
+    asked = asked.select("req", F.concat(F.lit(" "), "path", F.lit("\t")).alias("path"), (F.col("l_discount") * 15 - 0.2).alias("confidence"), "ord")
+    return resolve.resolve_files(asked, t.nodes().select(_path("node").alias("path"))).withColumn("confidence", F.round("confidence", 6))
+
+
 # --- risk ------------------------------------------------------------------------------------
 
 
@@ -282,6 +351,35 @@ def resolve_fuzzy(t: Tables) -> DataFrame:
     return resolve.resolve_fuzzy(names.select(F.concat(F.lit("The "), "name").alias("ask")), names).withColumn("score", F.round("score", 6))
 
 
+_KEYS = "SELECT DISTINCT unnest([regexp_replace(url, '[?#].*$', ''), regexp_extract(url, '^[a-z]+://[^/?#]+')]) AS name FROM pages"
+
+
+@query(f"SELECT page_id, k.name FROM (SELECT page_id, 'from http://x.test see ' || url || ', then http' AS ask FROM pages) JOIN ({_KEYS}) k ON contains(ask, k.name) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(k.name) DESC, k.name) = 1")
+def resolve_url_in_text(t: Tables) -> DataFrame:
+    urls = t.raw("pages").select(F.explode(F.array(F.regexp_replace("url", r"[?#].*$", ""), F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0))).alias("name"))
+    asked = t.raw("pages").select("page_id", F.concat(F.lit("from http://x.test see "), "url", F.lit(", then http")).alias("ask"))
+    return asked.join(resolve.resolve_url_in_text(asked, urls), "ask").select("page_id", "name")
+
+
+_ASK = "CASE p_partkey % 6 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN 'Shown as (' || p_name || ')' WHEN 2 THEN p_name || ' (unknown)' WHEN 3 THEN 'visit ' || url || ' now' WHEN 4 THEN 'The ' || p_name ELSE 'nothing like it' END"
+
+
+@query(f"""WITH known AS (SELECT p_name AS name, 'part' || max(p_partkey) AS id, min(p_partkey) AS pos FROM part GROUP BY 1 UNION ALL SELECT url, 'page' || page_id, 1000000000000 + page_id FROM pages),
+    asked AS (SELECT p_partkey, {_ASK} AS ask FROM part JOIN pages ON page_id = p_partkey % 50), a AS (SELECT *, trim(ask) AS x, trim(regexp_extract(ask, '\\(([^)]+)\\)\\s*$', 1)) AS paren, trim(regexp_replace(ask, '\\([^(]*$', '')) AS bare FROM asked),
+    tok AS (SELECT name, id, pos, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w FROM known WHERE name NOT LIKE 'http%'),
+    ax AS (SELECT DISTINCT x, list_distinct(list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w FROM a),
+    fuzzy AS (SELECT x, id FROM (SELECT x, id, pos, len(list_intersect(ax.w, tok.w)) / greatest(len(ax.w), len(tok.w)) AS score FROM ax, tok) WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, pos) = 1),
+    urls AS (SELECT x, id FROM (SELECT DISTINCT x FROM a) JOIN known ON name LIKE 'http%' AND contains(x, name) QUALIFY row_number() OVER (PARTITION BY x ORDER BY length(name) DESC, name) = 1)
+    SELECT p_partkey, CASE WHEN k1.id IS NOT NULL THEN 'exact' WHEN k2.id IS NOT NULL THEN 'paren' WHEN k3.id IS NOT NULL THEN 'bare' WHEN urls.id IS NOT NULL THEN 'url' WHEN fuzzy.id IS NOT NULL THEN 'fuzzy' END AS step,
+      coalesce(k1.id, k2.id, k3.id, urls.id, fuzzy.id) AS id FROM a LEFT JOIN known k1 ON k1.name = x LEFT JOIN known k2 ON k2.name = paren LEFT JOIN known k3 ON k3.name = bare LEFT JOIN urls USING (x) LEFT JOIN fuzzy USING (x)""")
+def resolve_cascade(t: Tables) -> DataFrame:
+    part, pages = t.raw("part"), t.raw("pages")
+    names = part.select(F.col("p_name").alias("name"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("ord"))
+    names = names.union(pages.select("url", F.concat(F.lit("page"), F.col("page_id").cast("string")), F.col("page_id") + 1000000000000))
+    asked = part.join(pages.select((F.col("page_id")).alias("at"), "url"), F.col("p_partkey") % 50 == F.col("at")).select("p_partkey", F.expr(_ASK).alias("ask"))
+    return asked.join(resolve.resolve_cascade(asked, names), "ask").select("p_partkey", "step", "id")
+
+
 # --- capture, transcripts, usage ------------------------------------------------------------------
 
 
@@ -324,7 +422,7 @@ def element_dedupe(t: Tables) -> DataFrame:
 @query("SELECT 'R' || row_number() OVER (ORDER BY first) AS req_id, title FROM (SELECT left(lower(p_name), 60) AS title, min(p_partkey) AS first FROM part GROUP BY 1)")
 def requirement_ids(t: Tables) -> DataFrame:
     firsts = t.raw("part").groupBy(F.left(F.lower("p_name"), F.lit(60)).alias("title")).agg(F.min("p_partkey").alias("first"))
-    return firsts.select(F.concat(F.lit("R"), F.row_number().over(Window.orderBy("first")).cast("string")).alias("req_id"), "title")
+    return numbered(firsts, ["first"]).select(F.concat(F.lit("R"), F.col("number").cast("string")).alias("req_id"), "title")
 
 
 @query("SELECT coalesce(role, 'total') AS tag, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS input, round(coalesce(100.0 * sum(CASE WHEN turn > 0 THEN length(text) ELSE 0 END) / nullif(sum(length(text)), 0), 0), 1) AS cached_percent FROM conversations GROUP BY ROLLUP (role)")
@@ -347,9 +445,23 @@ def extract_json(t: Tables) -> DataFrame:
     return t.raw("events").select("event_id", X.extract_json(F.concat(F.lit("Here: "), "props", F.lit(" done"))).alias("doc"))
 
 
-@query("SELECT d.doc_id, d.n - 1 AS ord, trim(d.line) AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) d WHERE trim(d.line) <> ''")
+@query("""WITH s AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, source, lang FROM documents)
+    SELECT doc_id, 0 AS ord, 'Document' AS heading, body FROM s WHERE doc_id % 2 = 1
+    UNION ALL SELECT doc_id, 0, source, body FROM s WHERE doc_id % 2 = 0 AND body <> ''
+    UNION ALL SELECT doc_id, CASE WHEN body = '' THEN 0 ELSE 1 END, 'Language', lang FROM s WHERE doc_id % 2 = 0""")
 def split_sections(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).select("doc_id", F.col("ord").cast("long").alias("ord"), F.trim("line").alias("title")).where("title <> ''")
+    marked = F.concat(F.lit("dropped\n# "), "source", F.lit("\n"), "text", F.lit("\n## Language\n"), "lang", F.lit("\n###### Empty\n"))
+    texts = t.raw("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text")).alias("text"))
+    return texts.select("doc_id", F.posexplode(X.sections(F.col("text"))).alias("ord", "s")).select("doc_id", "ord", "s.heading", "s.body")
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS w FROM documents)
+    SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS score FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+def jaccard_docs(t: Tables) -> DataFrame:
+    """Word sets of each document and of the one with the next id."""
+    docs = t.raw("documents").select("doc_id", X.words(F.col("text"), 3).alias("w"))
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return docs.join(following, "doc_id").select("doc_id", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
 
 
 @query("SELECT w AS word, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM documents) WHERE w NOT IN (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3)) FROM benchmark) GROUP BY w")
@@ -372,3 +484,53 @@ def pairwise_jaccard(t: Tables) -> DataFrame:
 def report_sections(t: Tables) -> DataFrame:
     rows = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("section"), F.concat(F.lit("- "), "n_name").alias("line")).distinct()
     return rows.groupBy("section").agg(F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("")), F.lit("_none_")).alias("body"))
+
+
+_BAND = "CASE WHEN a >= 0.75 THEN 'high' WHEN a >= 0.5 THEN 'medium' ELSE 'low' END"
+_REPORT = {
+    "Screens at risk": "SELECT 'order ' || screen AS line FROM risky",
+    "User flows affected": "SELECT src || ' → ' || dst AS line FROM navigates WHERE src IN (SELECT screen FROM risky) AND dst IN (SELECT screen FROM risky)",
+    "Requirements losing coverage": "SELECT '**' || req || '**' AS line FROM covered GROUP BY req HAVING bool_and(screen IN (SELECT screen FROM risky))",
+    "Pre-existing gaps": "SELECT '**' || c_custkey || '**' AS line FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)",
+    "What changed in code": "SELECT 'part ' || node AS line FROM changed",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {report.TITLES.index(k)} AS section, '- ' || line AS line FROM ({v}) UNION ALL SELECT {report.TITLES.index(k)}, '_none_' WHERE NOT EXISTS ({v})" for k, v in _REPORT.items())
+       + f" UNION ALL SELECT {report.TITLES.index('Confidence')}, 'average ' || CAST(round(a * 100) AS BIGINT) || '% across ' || n || ' cross-layer links (' || {_BAND} || ' band)' FROM (SELECT avg(confidence) AS a, count(*) AS n FROM covered)")
+def impact_report(t: Tables) -> DataFrame:
+    risky, covered = _risky(t), t.covered_by()
+    bold = F.concat(F.lit("**"), F.col("req").cast("string"), F.lit("**"))
+    parts = [
+        report.bullets(risky, "Screens at risk", F.concat(F.lit("order "), F.col("screen").cast("string"))),
+        report.bullets(impact.flows_inside(t.navigates(), risky), "User flows affected", F.concat(F.col("src").cast("string"), F.lit(" → "), F.col("dst").cast("string"))),
+        report.bullets(impact.losing_coverage(covered, risky), "Requirements losing coverage", bold),
+        report.bullets(impact.coverage_gaps(t.requirements(), covered), "Pre-existing gaps", bold),
+        report.bullets(t.changed(), "What changed in code", F.concat(F.lit("part "), F.col("node").cast("string"))),
+        report.confidence_line(covered).select(F.lit(report.TITLES.index("Confidence")).alias("section"), "line"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type AS tag, count(*) AS calls, round(sum(value), 4) AS input FROM events GROUP BY 1, 2")
+def stream_usage(t: Tables) -> DataFrame:
+    got = live.run_to_table(live.usage(live.read(t.spark, t.folder, "events"), "ts", "event_type", "value"), "update", ["day", "tag"])
+    return got.select("day", "tag", "calls", F.round("input", 4).alias("input"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(t: Tables) -> DataFrame:
+    rows = live.read(t.spark, t.folder, "events").select("user_id", "event_type")
+    return live.run_to_table(rows.dropDuplicates(["user_id", "event_type"]), "append", None)
+
+
+@query("SELECT user_id, least(count(*), 6) AS admitted, count(*) AS asked FROM events GROUP BY user_id")
+def stream_action_budget(t: Tables) -> DataFrame:
+    rows = live.read(t.spark, t.folder, "events").select("user_id")
+    return live.run_to_table(live.budgeted(rows, "user_id", 6), "update", ["user_id"])
