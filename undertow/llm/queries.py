@@ -38,11 +38,16 @@ def _joined(spans: Column, rules: tuple) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _count(spans: Column, place: int) -> Column:
+    """How many spans the rule at this place has. (A second lambda parameter would be the element's index.)"""
+    return F.size(F.filter(spans, lambda x: x["k"] == place)).cast("long")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = secret_scan.BASE + secret_scan.ADDED
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
     base = F.filter("spans", lambda x: x["k"] < len(secret_scan.BASE))
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
+    counts = [_count(F.col("spans"), i).alias(f"n_{r.kind}") for i, r in enumerate(secret_scan.BASE)]
     return found.select("doc_id", *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"))
 
 
@@ -104,4 +109,30 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _secret_sql() -> str:
+    """Matches split the text, so lengths of matches and of the parts between them give the places."""
+    rules, base = secret_scan.BASE + secret_scan.ADDED, len(secret_scan.BASE)
+    parts = []
+    for k, r in enumerate(rules):
+        rx = r.pattern.replace("'", "''")
+        found = f"SELECT doc_id, regexp_extract_all(t, '{rx}') AS m, regexp_extract_all(t, '{rx}', {r.group}) AS o, string_split_regex(t, '{rx}') AS g FROM texts WHERE regexp_matches(t, '{rx}')"
+        at = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+        parts.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, CAST({at} AS BIGINT) AS s, length(m[i]) AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({found})) WHERE length(o[i]) >= {r.least}")
+    counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{r.kind}" for k, r in enumerate(secret_scan.BASE))
+    one = "kind || ':' || s || ':' || (s + n)"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({" UNION ALL ".join(parts)})
+        SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' ORDER BY s, k) FILTER (k < {base}), '')) AS base_sha256, coalesce(string_agg({one}, ',' ORDER BY s, k), '') AS spans
+        FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
+
+
+_LISTED = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_scan": _secret_sql(),
+    "op9_url_filter": f"""WITH rules(action, h, p) AS (VALUES {_LISTED}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END AS host,
+        CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+        met AS (SELECT page_id, h || p AS rule, action FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) = 1)
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN met USING (page_id)""",
+}
