@@ -19,8 +19,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by 90 % of their word 3-grams, keeps the smallest id, once."""
-    members, _ = ngram_jaccard.link(docs, percent=90)
+    """Of each component of documents linked by 80 % of their word 5-grams, keeps the smallest id, once."""
+    members, _ = ngram_jaccard.link(docs, percent=80, width=5)
     copies = members.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
 

@@ -1,10 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All 3-word shingles have one global order, that of their 64-bit hashes. Documents of like size form a class, and
-each class cuts the order into k fragments. Two linked sets of a class differ in at most d shingles, so with
-k = d + 1 + e fragments they agree on at least e + 1 whole fragments; at most e of these may be empty. Agreement
-on one fragment (its content's hash) therefore finds every link, and needs no shingle frequencies. The overlap of
-a candidate pair is then counted fragment by fragment and summed per pair.
+All shingles (of 3 words unless told otherwise) have one global order, that of their 64-bit hashes. Documents of like
+size form a class, and each class cuts the order into k fragments. Two linked sets of a class differ in at most d
+shingles, so with k = d + 1 + e fragments they agree on at least e + 1 whole fragments. A set with m <= e empty ones
+leaves out its e - m smallest others: of the agreed ones, both sets keep the largest. A set with more empty ones also
+gives each e + 1 of them. Agreement on one fragment (its content's hash) therefore finds every link, and needs no
+shingle frequencies. The overlap of a candidate pair is then counted fragment by fragment and summed per pair.
 
 Sets are compared by 64-bit hashes of their shingles; equal hashes of different shingles are the only
 approximation (about 1e-3 expected wrong shingles in 1e8 different ones).
@@ -44,13 +45,27 @@ def size_class(n: int, percent: int) -> tuple[int, int]:
         low = high
 
 
+def spare_fragments(least: int, differ: int) -> int:
+    """Spare fragments, so that sets of `least` shingles rarely leave more of them empty."""
+    few, sigmas = (1 if differ < 24 else 2), (3 if differ < 100 else 6)
+    for e in range(few, least):
+        k = differ + 1 + e
+        if 3 * k > 2 * least:
+            break
+        mean = k * (1 - 1 / k) ** least
+        spread = max(0.0, mean + k * (k - 1) * (1 - 2 / k) ** least - mean**2) ** 0.5
+        if mean + sigmas * spread <= e:
+            return e
+    return few
+
+
 def plan(n: int, percent: int) -> list[tuple[int, int, int, int]]:
     """For a set of size n, its classes: (class bound, fragments, spare empty ones, level of the overlap count)."""
     out, size, most = [], max(n, -(-100 // (100 - percent))), 100 * n // percent
     while size <= most:
         low, high = size_class(size, percent)
         differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
-        spare = 1 if differ < 24 else 2
+        spare = spare_fragments(-(-low * percent // 100), differ)
         out.append((low, differ + 1 + spare, spare, max(0, (high // _LEVEL_SIZE).bit_length())))
         size = high
     return out
@@ -92,7 +107,8 @@ def signatures(x: np.ndarray, percent: int, plans: dict) -> tuple[np.ndarray, in
         sig, some = mix(mix(total[at[1:]] - total[at[:-1]]) + of), at[1:] > at[:-1]
         empty = np.flatnonzero(~some)
         more = [mix(of[list(c)]).sum(dtype=_U) + _U(level) for c in combinations(empty.tolist(), spare + 1)]
-        sig = np.append(sig[some], mix(np.array(more, _U)))
+        size, sig = np.diff(at)[some], sig[some]
+        sig = np.append(sig[np.lexsort((sig, size))[max(0, spare - len(empty)) :]], mix(np.array(more, _U)))
         parts.append((sig & ~_U(15)) | _U(level))
     return (np.concatenate(parts) if parts else x[:0]), *key
 
@@ -103,11 +119,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _profile(percent: int):
+def _profile(percent: int, width: int):
     @arrow_udf("n long, k1 long, k2 long, sigs array<long>")
     def profile(text: pa.Array) -> pa.Array:
         n, keys, sigs, plans = [], [], [], {}
-        for x in shingle_sets(text):
+        for x in shingle_sets(text, width):
             s, *key = signatures(x, percent, plans)
             n.append(len(x)), keys.append(key), sigs.append(s)
         keys = np.array(keys, _U).reshape(-1, 2).view(np.int64)
@@ -116,13 +132,13 @@ def _profile(percent: int):
     return profile
 
 
-def _fragments(percent: int):
+def _fragments(percent: int, width: int):
     kind = pa.list_(pa.struct([("level", pa.int32()), ("v", pa.int32()), ("part", pa.list_(pa.int64()))]))
 
     @arrow_udf("array<struct<level:int, v:int, part:array<long>>>")
     def fragments(text: pa.Array) -> pa.Array:
         levels, vs, parts, ends = [], [], [], [0]
-        for x in shingle_sets(text):
+        for x in shingle_sets(text, width):
             for level in sorted({p[3] for p in plan(len(x), percent)}):
                 at = np.searchsorted(x >> _U(63 - level) >> _U(1), np.arange((1 << level) + 1, dtype=_U))
                 for v in range(1 << level):
@@ -153,14 +169,14 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sig", "doc"])
 
 
-def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Joins documents whose shingle sets have 100 * |intersection| >= percent * |union|.
+def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
     and component_id. links: verified pairs of representatives that span the components (a, b, overlap).
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    base = materialise(rows.select("doc", _profile(percent)("text").alias("p")).select("doc", "p.n", "p.k1", "p.k2", "p.sigs"))
+    base = materialise(rows.select("doc", _profile(percent, width)("text").alias("p")).select("doc", "p.n", "p.k1", "p.k2", "p.sigs"))
     key = ["n", "k1", "k2"]
     least = base.where("n > 0 and doc is not null").groupBy(*key).agg(F.min("doc").alias("rep"))
     members = materialise(base.select("doc", *key).join(least, key, "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
@@ -170,7 +186,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     grouped = materialise(found)
     buckets = grouped.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high")
     grouped = materialise(grouped.join(buckets.select("sig", "size"), "sig").distinct())
-    sets = rows.join(grouped.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode(_fragments(percent)("text")).alias("f"))
+    sets = rows.join(grouped.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode(_fragments(percent, width)("text")).alias("f"))
     sets = materialise(sets.select("doc", "f.level", "f.v", "f.part"))
 
     pairs = materialise(_with_pivots(grouped))
