@@ -19,10 +19,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by 80 % of their word 5-grams, keeps the smallest id, once."""
-    members, _ = ngram_jaccard.link(docs, percent=80, width=5)
-    copies = members.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each component of rows linked by 80 % of their word 5-grams, keeps one: that of the smallest id, a null id
+    last. Rows are told apart by a key of their own, so rows of a null or shared id go only as copies of another text."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col="_row")
+    found = members.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    return rows.join(kept.select("least._row"), "_row", "left_semi").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,12 @@ def test_five_words_at_80_percent_equal_brute_force(spark, seed):
     rng.shuffle(rows)
     members, _ = ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), percent=80, width=5)
     assert {r.doc_id: r.component_id for r in members.collect()} == brute(rows, 5, 80)
+
+
+def test_null_and_shared_ids_do_not_decide(spark, sf_dir):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d), (9, d), (2, e), (None, e), (9, a), (1, ""), (1, ""), (None, "")]
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(9, a), (None, b), (5, c), (5, d), (2, e), (1, ""), (1, ""), (None, "")], key=str)
