@@ -12,8 +12,11 @@ from undertow.llm.shared import materialise
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no text, or no letters. The model learns from the rows with a lang."""
+    """Drops documents that language ID rejects: no text, or no letters. The model learns from the rows with a lang;
+    without any, only those documents go."""
     model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     spoken = language_id.predict(docs.withColumn("_text", F.col("text")), model, "_text")
     return spoken.where("lang_pred <> 'und'").select(docs.columns)
 
