@@ -32,9 +32,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold a passage of a benchmark item. The text decides, by its digest: ids may be null or shared."""
+    known = docs.withColumn("_digest", F.sha2("text", 256))
+    leaks = decontaminate.find_leaks(known, table(spark, sf_dir, "benchmark"), id_col="_digest")
+    return known.join(leaks.select(F.col("doc").alias("_digest")).distinct(), "_digest", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
