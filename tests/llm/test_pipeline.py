@@ -2,7 +2,7 @@
 
 import hashlib
 
-from tests.llm.test_pairs import brute
+from tests.llm.test_near_copies import brute
 from tests.llm.test_texts import base_spans, leaks_brute
 
 import corpus_pipeline
@@ -12,7 +12,7 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     spoken = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
-    kept = {i: spoken[i] for i, (_, c) in brute(list(spoken.items())).items() if i == c}
+    kept = {i: spoken[i] for i, c in brute(list(spoken.items()), 5, 80).items() if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {i for i, _ in leaks_brute(list(kept.items()), items)}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}

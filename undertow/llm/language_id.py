@@ -5,9 +5,11 @@ languages within it. Features are the shares of hashed byte trigrams of the whol
 ASCII, runs of other ASCII read as a space each), so a text's margin is a mean of table look-ups and needs no
 feature vector.
 
-Learning uses a bounded sample: at most `per_language` documents of each language, picked by a hash of the id.
-Predictions use the text alone. A text that is null or has no letter is `und` with score 0. Rows are kept one to
-one, with all their columns; columns named like the outputs are replaced. With no labelled rows all are `und`.
+Learning uses a bounded sample: at most `per_language` documents of each language, picked by hashes of id and text.
+Predictions use the text alone, the whole of it however long. A text that is null, empty or without a letter is `und`
+with score 0. Rows are kept one to one, repeated ones too, with all their columns; the outputs' names are parameters
+and replace columns of these names. With no labelled rows all are `und`. Between equal scores the language that is
+first in alphabetical order wins.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import text_blocks
+from undertow.llm.shared import spare_name, text_blocks
 
 BINS = 4096
 #: Families of ISO 639-1 codes; a language that is not listed is a family of its own.
@@ -62,17 +64,29 @@ def feature_vector(text: pa.Array) -> pa.Array:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float, float]:
-    """Linear SVM (squared hinge, L2) by accelerated gradient steps: weights, bias, slope of its logistic score."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    bound = 2 * np.linalg.norm(x1 * np.sqrt(share)[:, None], 2) ** 2 + penalty
-    w = v = np.zeros(x1.shape[1])
+    """Linear SVM (squared hinge, L2) by accelerated gradient steps: weights, bias, slope of its logistic score.
+    Rows with y = 0 take no part. The step is bounded by the largest eigenvalue, which power iterations estimate."""
+    plus, minus = y > 0, y < 0
+    share = (0.5 * plus / max(1, plus.sum()) + 0.5 * minus / max(1, minus.sum())).astype(np.float32)
+    y = y.astype(np.float32)
+
+    def product(w: np.ndarray) -> np.ndarray:
+        return x @ w[:-1] + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ r, r.sum())
+
+    v = np.ones(x.shape[1] + 1, np.float32)
+    for _ in range(30):
+        v = back(share * product(v / np.linalg.norm(v)))
+    bound = np.float32(2.2 * np.linalg.norm(v) + penalty)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        nxt = v - (penalty * v - 2 * x1.T @ (share * y * slack)) / bound
-        w, v = nxt, nxt + t / (t + 3) * (nxt - w)
-    margin = np.median(np.abs(x1 @ w))
-    return w[:-1], float(w[-1]), 4.0 / max(margin, 1e-6)
+        slack = np.maximum(0, 1 - y * product(v))
+        nxt = v - (np.float32(penalty) * v - 2 * back(share * y * slack)) / bound
+        w, v = nxt, nxt + np.float32(t / (t + 3)) * (nxt - w)
+    margin = np.median(np.abs(product(w)[y != 0]))
+    return w[:-1], float(w[-1]), 4.0 / max(float(margin), 1e-6)
 
 
 @dataclass
@@ -106,25 +120,38 @@ class LanguageModel:
         return lang, score
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, families: dict[str, str] | None = None) -> LanguageModel | None:
-    """Fits on at most `per_language` of the labelled rows of each language (expected twice that many are read)."""
-    families = FAMILIES if families is None else families
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(l, h, t, text): at most `per_language` texts of each language, those of least (hash of id, hash of text).
+
+    Equal texts under one id count once. The rank runs over narrow rows, expected twice the wanted number a language,
+    and only the ranked ones' texts are read on; so neither repeated rows nor the schedule change the sample.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) / 1_000_000
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not counts:
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * per_language / n))]) if counts else F.lit(None).cast("map<string,double>")
+    spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
+    rows = rows.select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(text_col).alias("text")).where(F.col("h") < share[F.col("l")] * float(1 << 40))
+    rows = rows.withColumn("t", F.xxhash64("text"))
+    narrow = rows.select("l", "h", "t").distinct()
+    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= per_language)
+    picked = rows.join(F.broadcast(ranked.drop("r")), ["l", "h", "t"])  # per_language rows a language at most
+    return picked.groupBy("l", "h", "t").agg(F.first("text").alias("text"))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, families: dict[str, str] | None = None) -> LanguageModel | None:
+    """Fits on at most `per_language` of the labelled rows of each language; None where no row has a language."""
+    families = FAMILIES if families is None else families
+    sample = training_sample(labelled, id_col, text_col, lang_col, per_language)
+    got = sample.select("l", "h", "t", feature_vector("text").alias("v")).sort("l", "h", "t").toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * per_language / n))])
-    picked = rows.where(spread < share[F.col(lang_col)]).select(F.col(lang_col).alias("l"), spread.alias("h"), feature_vector(text_col).alias("v")).limit(4 * per_language * len(counts)).collect()
-    by: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r.l, r.h)):
-        if len(by.setdefault(r.l, [])) < per_language:
-            by[r.l].append(np.frombuffer(r.v, np.float32))
-    names = sorted(by)
-    x = np.vstack([v for k in names for v in by[k]])
-    y = np.concatenate([[k] * len(by[k]) for k in names])
-    scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-4)
-    x = x * scale.astype(np.float32)
+    y = np.array(got.column("l").to_pylist())
+    _, where, data = got.column("v").chunk(0).buffers()
+    first = np.frombuffer(where, np.int32, 1, got.column("v").chunk(0).offset * 4)[0]
+    x = np.frombuffer(data, np.float32, len(y) * BINS, int(first)).reshape(len(y), BINS).copy()
+    del got, where, data
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) + 1e-4)
+    x *= scale.astype(np.float32)
     family = np.array([families.get(k, k) for k in y])
     found = sorted(set(family))
     groups = {f: sorted(set(y[family == f])) for f in found}
@@ -135,9 +162,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             fits.append(_svm(x, np.where(family == f, 1.0, -1.0)))
     for f in found:
         for a, b in combinations(groups[f], 2):
-            rows_ab = (y == a) | (y == b)
             machines.append((a, b))
-            fits.append(_svm(x[rows_ab], np.where(y[rows_ab] == a, 1.0, -1.0)))
+            fits.append(_svm(x, (y == a) * 1.0 - (y == b) * 1.0))
     w = np.zeros((BINS + 1, len(fits)), np.float32)
     for i, (v, _, _) in enumerate(fits):
         w[:BINS, i] = v * scale
@@ -148,10 +174,10 @@ def _letters(texts: pa.Array, rows: np.ndarray) -> np.ndarray:
     return np.array([any(c.isalpha() for c in (texts[int(i)].as_py() or "")) for i in rows], bool)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", lang_pred: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds the predicted language and its score."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({lang_pred: F.lit("und"), score_col: F.lit(0.0)})
 
     @arrow_udf("lang string, score double")
     def guess(text: pa.Array) -> pa.Array:
@@ -175,7 +201,5 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
         lang[none], score[none] = "und", 0.0
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    spare = "_guess"
-    while spare in docs.columns:
-        spare += "_"
-    return docs.withColumn(spare, guess(text_col)).withColumns({"lang_pred": F.col(spare)["lang"], "score": F.col(spare)["score"]}).drop(spare)
+    spare = spare_name(docs, "_guess")
+    return docs.withColumn(spare, guess(text_col)).withColumns({lang_pred: F.col(spare)["lang"], score_col: F.col(spare)["score"]}).drop(spare)

@@ -1,22 +1,28 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles (of 3 words unless told otherwise) have one global order, that of their 64-bit hashes. Documents of like
-size form a class, and each class cuts the order into k fragments. Two linked sets of a class differ in at most d
-shingles, so with k = d + 1 + e fragments they agree on at least e + 1 whole fragments. A set with m <= e empty ones
-leaves out its e - m smallest others: of the agreed ones, both sets keep the largest. A set with more empty ones also
-gives each e + 1 of them. Agreement on one fragment (its content's hash) therefore finds every link, and needs no
-shingle frequencies. The overlap of a candidate pair is then counted fragment by fragment and summed per pair.
-
-Sets are compared by 64-bit hashes of their shingles; equal hashes of different shingles are the only
+All shingles (of 3 words unless told otherwise) have one global order, that of their 64-bit hashes, and every set is
+cut into fragments of that order. Three things happen by fragment:
+
+1. Candidates. Documents of like size form a class, and each class cuts the order into k fragments. Two linked sets of
+   a class differ in at most d shingles, so with k = d + 1 + e fragments they agree on at least e + 1 whole ones. A set
+   with m <= e empty ones leaves out its e - m smallest others: of the agreed ones, both sets keep the largest. A set
+   with more empty ones also gives each e + 1 of them. Agreement on one fragment (its content's hash) therefore finds
+   every link, and needs no shingle frequencies.
+2. Bounds. The order is cut into 128 fragments, the same for all sets; the sum of the smaller sizes bounds the overlap.
+3. Overlaps. The order is cut into 8 fragments, the same for all sets; the overlap of a pair is counted in each of
+   them apart and summed per pair.
+
+Sets are told apart by 64-bit hashes of their shingles and of themselves; equal hashes of different ones are the only
 approximation (about 1e-3 expected wrong shingles in 1e8 different ones).
 
-Groups do not become pairs: copies with equal sets share one node, and each document is compared with one pivot of
-its buckets. Documents that do not link with their pivot are then compared with each other by how they differ from
-it, which sets apart the members of a large group of near copies; only candidates of different components that
-also have different pivots are listed as the pairs that they are.
+Groups do not become pairs. Copies with equal sets are one node. A bucket (the sets that agree on a fragment) of up to
+8 nodes lists its pairs. In a larger one each node is compared with one pivot of its buckets; where a bucket still
+holds several components, its nodes are compared by how they differ from the bucket's pivot, which sets apart the
+members of a large group of near copies.
 
 Nulls and empty texts have no shingles and link with nothing. Rows without an id keep a null component. Repeated
-rows are one node, and each gets its row of the result. Other columns are ignored.
+rows are one node, and each gets its row of the result; different texts under one id are different nodes, each with
+its own component. Very long texts are sets like any other. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +38,11 @@ from pyspark.sql.functions import arrow_udf
 from undertow.llm.shared import connected_components, materialise, mix, text_blocks, word_hashes
 
 _U = np.uint64
-_LEVEL_SIZE = 4096
+#: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
+FRAGMENTS, FINE = 8, 128
+#: The largest bucket that lists its pairs.
+SMALL = 8
+_SALTS = 32
 
 
 def size_class(n: int, percent: int) -> tuple[int, int]:
@@ -59,14 +69,14 @@ def spare_fragments(least: int, differ: int) -> int:
     return few
 
 
-def plan(n: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """For a set of size n, its classes: (class bound, fragments, spare empty ones, level of the overlap count)."""
+def plan(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """For a set of size n, its classes: (class bound, fragments, spare empty ones)."""
     out, size, most = [], max(n, -(-100 // (100 - percent))), 100 * n // percent
     while size <= most:
         low, high = size_class(size, percent)
         differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
         spare = spare_fragments(-(-low * percent // 100), differ)
-        out.append((low, differ + 1 + spare, spare, max(0, (high // _LEVEL_SIZE).bit_length())))
+        out.append((low, differ + 1 + spare, spare))
         size = high
     return out
 
@@ -94,164 +104,248 @@ def shingle_sets(column: pa.Array, width: int = 3):
                 yield s[:0]
 
 
-def signatures(x: np.ndarray, percent: int, plans: dict) -> tuple[np.ndarray, int, int]:
-    """Fragment signatures of a sorted set (level in the low four bits) and two sums that identify the set."""
+def _sums(x: np.ndarray) -> tuple[int, int, int]:
+    """Size and two sums that identify a set."""
     m = mix(x + _U(1))
-    key = int(m.sum(dtype=_U)), int(mix(m).sum(dtype=_U))
+    return len(x), int(m.sum(dtype=_U)), int(mix(m).sum(dtype=_U))
+
+
+def _node(sums: list[tuple[int, int, int]]) -> np.ndarray:
+    """The 64-bit hashes of sets with these sums."""
+    s = np.array(sums, _U).reshape(-1, 3)
+    return mix(mix(mix(s[:, 0]) + s[:, 1]) + s[:, 2]).view(np.int64)
+
+
+def signatures(x: np.ndarray, percent: int, plans: dict) -> np.ndarray:
+    """Fragment signatures of a sorted set."""
     if (p := plans.get(len(x))) is None:
         p = plans[len(x)] = plan(len(x), percent)
-    parts, total = [], np.append(_U(0), np.cumsum(m, dtype=_U))
-    for low, k, spare, level in p:
+    parts, total = [], np.append(_U(0), np.cumsum(mix(x + _U(1)), dtype=_U))
+    for low, k, spare in p:
         at = np.searchsorted(((x >> _U(32)) * _U(k)) >> _U(32), np.arange(k + 1, dtype=_U))
         of = np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(low)
         sig, some = mix(mix(total[at[1:]] - total[at[:-1]]) + of), at[1:] > at[:-1]
         empty = np.flatnonzero(~some)
-        more = [mix(of[list(c)]).sum(dtype=_U) + _U(level) for c in combinations(empty.tolist(), spare + 1)]
+        more = [mix(of[list(c)]).sum(dtype=_U) for c in combinations(empty.tolist(), spare + 1)]
         size, sig = np.diff(at)[some], sig[some]
-        sig = np.append(sig[np.lexsort((sig, size))[max(0, spare - len(empty)) :]], mix(np.array(more, _U)))
-        parts.append((sig & ~_U(15)) | _U(level))
-    return (np.concatenate(parts) if parts else x[:0]), *key
+        parts.append(np.append(sig[np.lexsort((sig, size))[max(0, spare - len(empty)) :]], mix(np.array(more, _U))))
+    return np.concatenate(parts) if parts else x[:0]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, _U)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(kind)))
 
 
-def _profile(percent: int, width: int):
-    @arrow_udf("n long, k1 long, k2 long, sigs array<long>")
+def _profile(width: int):
+    @arrow_udf("n long, node long, sizes array<int>")
     def profile(text: pa.Array) -> pa.Array:
-        n, keys, sigs, plans = [], [], [], {}
+        sums, sizes = [], []
         for x in shingle_sets(text, width):
-            s, *key = signatures(x, percent, plans)
-            n.append(len(x)), keys.append(key), sigs.append(s)
-        keys = np.array(keys, _U).reshape(-1, 2).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sigs)], ["n", "k1", "k2", "sigs"])
+            sums.append(_sums(x))
+            sizes.append(np.bincount((x >> _U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE).astype(np.int32))
+        return pa.StructArray.from_arrays([pa.array([s[0] for s in sums], pa.int64()), pa.array(_node(sums)), _lists(sizes, np.int32)], ["n", "node", "sizes"])
 
     return profile
 
 
-def _fragments(percent: int, width: int):
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("v", pa.int32()), ("part", pa.list_(pa.int64()))]))
-
-    @arrow_udf("array<struct<level:int, v:int, part:array<long>>>")
-    def fragments(text: pa.Array) -> pa.Array:
-        levels, vs, parts, ends = [], [], [], [0]
-        for x in shingle_sets(text, width):
-            for level in sorted({p[3] for p in plan(len(x), percent)}):
-                at = np.searchsorted(x >> _U(63 - level) >> _U(1), np.arange((1 << level) + 1, dtype=_U))
-                for v in range(1 << level):
-                    levels.append(level), vs.append(v), parts.append(x[at[v] : at[v + 1]])
-            ends.append(len(parts))
-        flat = pa.StructArray.from_arrays([pa.array(levels, pa.int32()), pa.array(vs, pa.int32()), _lists(parts)], fields=list(kind.value_type))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-
-    return fragments
+def _signer(percent: int, width: int):
+    """(sig, node) of each set; copies within a task give theirs once."""
+
+    def sign(batches):
+        plans, seen = {}, set()
+        for b in batches:
+            sigs, nodes, held = [], [], 0
+            for x in shingle_sets(b.column(0), width):
+                node = _node([_sums(x)])
+                if not len(x) or node[0] in seen:
+                    continue
+                seen.add(node[0])
+                sigs.append(signatures(x, percent, plans))
+                nodes.append(np.repeat(node, len(sigs[-1])))
+                held += len(sigs[-1])
+                if held > 200_000:
+                    yield _batch(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
+            yield _batch(sigs, nodes)
+
+    return sign
+
+
+def _batch(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    empty = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *(s.view(np.int64) for s in sigs)])), pa.array(np.concatenate([empty, *nodes]))], ["sig", "node"])
+
+
+def _fragments(width: int):
+    """(node, v, part): the sets cut into FRAGMENTS parts of the order; copies within a task come once."""
+    edges = np.arange(FRAGMENTS + 1, dtype=_U)
+
+    def cut_up(batches):
+        seen = set()
+        for b in batches:
+            nodes, parts = [], []
+            for x in shingle_sets(b.column(0), width):
+                node = int(_node([_sums(x)])[0])
+                if not len(x) or node in seen:
+                    continue
+                seen.add(node)
+                at = np.searchsorted(x >> _U(64 - FRAGMENTS.bit_length() + 1), edges)
+                nodes.append(node)
+                parts.extend(x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            v = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), FRAGMENTS)), pa.array(v), _lists(parts, np.int64)], ["node", "v", "part"])
+
+    return cut_up
 
 
 def _repeated(batches):
-    """Of rows sorted by signature, those whose signature comes again; also the first and last run of a partition."""
+    """Of rows sorted by signature and node, each once, those whose signature comes with another node; also the first
+    and last run of a partition, which may go on in the next one."""
     held, known = None, True  # the last row so far, and whether its run is to be kept; a first run always is
     for b in batches:
-        sig, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
+        sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(sig):
             continue
         if held is not None:
-            sig, doc = np.append(held[0], sig), np.append(held[1], doc)
+            sig, node = np.append(held[0], sig), np.append(held[1], node)
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
+        sig, node = sig[fresh], node[fresh]
         run = np.cumsum(np.append(False, sig[1:] != sig[:-1]))
         keep = np.bincount(run)[run] > 1
         keep[run == 0] |= known
-        held, known = (sig[-1:], doc[-1:]), bool(keep[-1])
+        held, known = (sig[-1:], node[-1:]), bool(keep[-1])
         keep[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(doc[keep])], ["sig", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sig", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sig", "node"])
 
 
 def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> tuple[DataFrame, DataFrame]:
     """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
-    and component_id. links: verified pairs of representatives that span the components (a, b, overlap).
+    and component_id (smallest id reachable by links). links: verified pairs of nodes that span the components, as
+    the smallest ids with these sets (a, b, overlap); pairs within one component beyond those are not listed.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    base = materialise(rows.select("doc", _profile(percent, width)("text").alias("p")).select("doc", "p.n", "p.k1", "p.k2", "p.sigs"))
-    key = ["n", "k1", "k2"]
-    least = base.where("n > 0 and doc is not null").groupBy(*key).agg(F.min("doc").alias("rep"))
-    members = materialise(base.select("doc", *key).join(least, key, "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")))
-    copies = members.where("doc <> rep").select("doc").distinct()
-    sigs = base.where("doc is not null and size(sigs) > 0").select("doc", "sigs").join(copies, "doc", "left_anti").select(F.explode("sigs").alias("sig"), "doc")
-    found = sigs.repartitionByRange("sig", "doc").sortWithinPartitions("sig").mapInArrow(_repeated, "sig long, doc long")
-    grouped = materialise(found)
-    buckets = grouped.groupBy("sig").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low < high")
-    grouped = materialise(grouped.join(buckets.select("sig", "size"), "sig").distinct())
-    sets = rows.join(grouped.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.explode(_fragments(percent, width)("text")).alias("f"))
-    sets = materialise(sets.select("doc", "f.level", "f.v", "f.part"))
-
-    pairs = materialise(_with_pivots(grouped))
-    tested = materialise(_overlaps(pairs, sets, percent))
-    links = tested.where("linked").select("a", "b", "overlap")
-    comp = connected_components(links)
-    if not tested.where("not linked").isEmpty():
-        more = _beside_pivot(tested, sets, percent).union(_across_pivots(grouped, tested, comp))
-        label = comp.select(F.col("node").alias("x"), F.col("component").alias("c"))
-        more = more.join(label.withColumnsRenamed({"x": "a", "c": "ca"}), "a", "left").join(label.withColumnsRenamed({"x": "b", "c": "cb"}), "b", "left")
-        more = more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
-        levels = sets.groupBy("doc").agg(F.collect_set("level").alias("l"))  # one or two: those of its size classes
-        more = more.join(levels.withColumnsRenamed({"doc": "a", "l": "la"}), "a").join(levels.withColumnsRenamed({"doc": "b", "l": "lb"}), "b")
-        more = more.select("a", "b", F.array_min(F.array_intersect("la", "lb")).alias("level")).where("level is not null")  # else of no common class
-        late = materialise(_overlaps(materialise(more), sets, percent).where("linked").select("a", "b", "overlap"))
+    base = materialise(rows.select("doc", _profile(width)("text").alias("p")).select("doc", "p.n", "p.node", "p.sizes"))
+    salted = base.select("doc", "n", "node", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).alias("salt"))
+    parts = salted.where("n > 0 and doc is not null").groupBy("node", "salt").agg(F.min("doc").alias("least"))  # a hot set has many rows: by salt first
+    reps = materialise(parts.groupBy("node").agg(F.min("least").alias("rep")))
+
+    signed = rows.where("doc is not null and text is not null").select("text").mapInArrow(_signer(percent, width), "sig long, node long")
+    found = materialise(signed.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
+    buckets = found.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    grouped = materialise(found.join(buckets, "sig"))
+    large = grouped.where(f"size > {SMALL}")
+
+    few = grouped.where(f"size <= {SMALL}").select("sig", "node")
+    listed = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")
+    pairs = materialise(listed.union(_with_pivots(large)).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    known = materialise(base.where("doc is not null").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sizes"))
+    pairs = materialise(_possible(pairs, known, percent))
+
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    need = materialise(reps.join(need, "node", "left_semi").select(F.col("rep").alias("doc"), "node"))
+    sets = rows.join(need.select("doc").distinct(), "doc", "left_semi").select("text").mapInArrow(_fragments(width), "node long, v int, part array<long>")
+    if not base.join(need, ["doc", "node"], "left_semi").groupBy("doc", "node").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["node", "v"])  # only rows that repeat an id and its text can give a set twice
+    sets = materialise(sets)
+
+    links = materialise(_overlaps(pairs, sets, percent))
+    comp = _components(links, reps)
+    more = _beside_pivot(_mixed(large, comp), sets, known, percent)
+    if more is not None:
+        late = materialise(_overlaps(materialise(_possible(more, known, percent)), sets, percent))
         links = links.union(late)
-        comp = connected_components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b")))
-    out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("component_id")), links
+        comp = _components(comp.where("node <> component.node").select(F.col("node").alias("a"), F.col("component.node").alias("b")).union(late.select("a", "b")), reps)
+    label = parts.select("node", "salt").join(reps, "node").join(comp, "node", "left")
+    label = label.select("node", "salt", "rep", F.coalesce("component.rep", "rep").alias("component_id"))
+    out = salted.join(label, ["node", "salt"], "left")
+    mine = [F.when(F.col("doc").isNotNull(), F.coalesce(c, "doc")).alias(name) for c, name in (("rep", "representative"), ("component_id", "component_id"))]
+    named = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), *mine), named.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "overlap")
 
 
-_LEVEL = "cast(sig & 15 as int)"
+def _components(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, component) of each node with links; nodes are ordered by their smallest id, so a component's least one names it."""
+    named = [reps.select(F.col("node").alias(x), F.struct("rep", "node").alias(f"s{x}")) for x in ("a", "b")]
+    comp = connected_components(links.select("a", "b").join(named[0], "a").join(named[1], "b"), "sa", "sb")
+    comp = comp.select(F.col("node.node").alias("node"), "component")
+    return materialise(comp.union(comp.select("component.node", "component")).distinct())
 
 
 def _with_pivots(grouped: DataFrame) -> DataFrame:
-    """Each document with one pivot (a, b, level): a bucket's pivot is its member with most company over all its
-    buckets, and of its buckets' pivots a document takes the one that it shares most buckets with."""
-    company = grouped.groupBy("doc").agg(F.sum("size").alias("company"))
-    known = grouped.join(company, "doc")
-    pivots = known.groupBy("sig").agg(F.max(F.struct("company", (-F.col("doc")).alias("d"))).alias("m")).select("sig", (-F.col("m.d")).alias("a"), F.col("m.company").alias("company"))
-    pairs = grouped.join(pivots, "sig").where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.max("company").alias("company"), F.min(F.expr(_LEVEL)).alias("level"))
-    return pairs.groupBy("b").agg(F.max_by(F.struct("a", "level"), F.struct("shared", "company", -F.col("a"))).alias("p")).select("p.a", "b", "p.level")
+    """Each node with one pivot (a, b): a bucket's pivot is its member with most company over all its buckets, and of
+    its buckets' pivots a node takes the one that it shares most buckets with."""
+    company = grouped.groupBy("node").agg(F.sum("size").alias("company"))
+    pivots = _bucket_pivots(grouped)
+    pairs = grouped.join(pivots, "sig").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = pairs.join(company.withColumnRenamed("node", "a"), "a")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "company", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _bucket_pivots(grouped: DataFrame) -> DataFrame:
+    company = grouped.groupBy("node").agg(F.sum("size").alias("company"))
+    return grouped.join(company, "node").groupBy("sig").agg(F.max(F.struct("company", "node")).alias("m")).select("sig", F.col("m.node").alias("a"))
+
+
+def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes allow a link: as a whole, and summed over the fine fragments."""
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sizes").alias(f"s{x}")), x)
+    bound = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    size = F.col("na") + F.col("nb")
+    fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where((100 + percent) * bound >= percent * size)
+    return fit.select("a", "b", size.alias("size"))
 
 
 def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs' sets by fragment: pa and pb."""
-    cut_up = pairs.select("*", F.explode(F.expr("sequence(0, cast(shiftleft(1, level) as int) - 1)")).alias("v"))
-    left = sets.select(F.col("doc").alias("b"), "level", "v", F.col("part").alias("pb"))
-    right = sets.select(F.col("doc").alias("a"), "level", "v", F.col("part").alias("pa"))
-    return cut_up.join(left, ["b", "level", "v"]).join(right, ["a", "level", "v"])
+    left = sets.select(F.col("node").alias("b"), "v", F.col("part").alias("pb"))
+    right = sets.select(F.col("node").alias("a"), "v", F.col("part").alias("pa"))
+    return pairs.join(left, "b").join(right, ["a", "v"])
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, level), the overlap counted in each fragment and summed, the sizes, and whether they link."""
-    partial = _side_by_side(pairs, sets).select("a", "b", "level", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"), F.size("pa").cast("long").alias("na"), F.size("pb").cast("long").alias("nb"))
-    total = partial.groupBy("a", "b", "level").agg(F.sum("o").alias("overlap"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    return total.withColumn("linked", F.expr(f"100 * overlap >= {int(percent)} * (na + nb - overlap)"))
+    """Of pairs (a, b, size), those that link: the overlap is counted in each fragment and summed."""
+    partial = _side_by_side(pairs, sets).select("a", "b", "size", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
+    total = partial.groupBy("a", "b", "size").agg(F.sum("o").alias("overlap"))
+    return total.where(f"100 * overlap >= {int(percent)} * (size - overlap)").select("a", "b", "overlap")
 
 
-def _beside_pivot(tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) among the documents of one pivot, of which at least one does not link with it.
+def _mixed(large: DataFrame, comp: DataFrame) -> DataFrame:
+    """(a, b, c) for the buckets that still hold several components: the bucket's pivot, each other member and the
+    member's component; the pivot itself comes with b = a."""
+    lab = large.join(comp.select("node", F.col("component.node").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed = lab.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+    return lab.join(_bucket_pivots(large).join(mixed, "sig", "left_semi"), "sig").select("a", F.col("node").alias("b"), "c").distinct()
+
+
+def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
+    """Candidates (a, b) of different components among the members (a, b, c) of a pivot a.
 
     With X and Y the symmetric differences of two sets from the pivot, the sets differ in exactly |X ^ Y| shingles.
     So a link needs X and Y to have much in common, although all sets are close to the pivot: for |X| <= |Y|, r =
     (100 - percent) / (100 + percent) and set sizes n, 2 |X & Y| > |X| (1 - r), |X & Y| >= |X| - (n_X + n_Y) r / 2 and
     |X & Y| >= |Y| - (n_X + n_Y) r. Prefixes of X and Y, rarest shingles first, that these bounds leave must meet.
     """
+    members = materialise(members)
+    if members.isEmpty():
+        return None
     r, t = (100 - percent) / (100 + percent), percent / 100
-    mixed = tested.where("not linked").select("a").distinct()
-    group = _side_by_side(tested.join(mixed, "a", "left_semi"), sets)
-    apart = group.select("a", "b", "linked", "nb", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
+    own = members.where("a = b").select("a", F.col("c").alias("ca"))
+    direct = members.where("a <> b").join(own, "a").where("c <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    group = members.where("a <> b").join(known.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    apart = _side_by_side(group, sets).select("a", "b", "c", "nb", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
     apart = materialise(apart)
     counts = apart.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
     # shingles that only one document of the pivot has are first in the order and are only counted
-    held = apart.groupBy("a", "b", "linked", "nb").agg(F.count("*").alias("size"))
+    held = apart.groupBy("a", "b", "c", "nb").agg(F.count("*").alias("size"))
     common = apart.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
     lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
     need = F.greatest(F.floor(F.col("size") * ((1 - r) / 2) - 1e-9) + 1, F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r / 2) - 1e-9), F.lit(1))
@@ -259,19 +353,8 @@ def _beside_pivot(tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     long = F.col("size") - F.greatest(F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r) - 1e-9), F.lit(1)) + 1 - F.col("own")
 
     def prefix(n, name: str) -> DataFrame:
-        part = lists.where(n > 0).select("a", "b", "linked", "size", F.explode(F.slice("list", F.lit(1), n.cast("int"))).alias("x"))
-        return part.select("a", F.col("x.e").alias("e"), F.col("b").alias(name), F.col("linked").alias(f"k{name}"), F.col("size").alias(f"s{name}"))
-
-    met = prefix(short, "x").join(prefix(long, "y"), ["a", "e"]).where("(sx < sy or sx = sy and x < y) and not (kx and ky)")
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-
-def _across_pivots(grouped: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidates (a, b) of one bucket that have different pivots and components."""
-    lab = grouped.select("sig", "doc").join(tested.select(F.col("b").alias("doc"), F.col("a").alias("p")), "doc", "left").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    lab = lab.select("sig", "doc", F.coalesce("p", "doc").alias("p"), F.coalesce("component", "doc").alias("c"))
-    mixed = lab.groupBy("sig").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("p0 < p1 and c0 < c1").select("sig")
-    rest = lab.join(mixed, "sig", "left_semi")
-    other = rest.select("sig", F.col("doc").alias("d2"), F.col("p").alias("p2"), F.col("c").alias("c2"))
-    pairs = rest.join(other, "sig").where("doc < d2 and p <> p2 and c <> c2 and p <> d2 and p2 <> doc")
-    return pairs.select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct()
+        part = lists.where(n > 0).select("a", "b", "c", "size", F.explode(F.slice("list", F.lit(1), n.cast("int"))).alias("x"))
+        return part.select("a", F.col("x.e").alias("e"), F.col("b").alias(name), F.col("c").alias(f"c{name}"), F.col("size").alias(f"s{name}"))
+
+    met = prefix(short, "x").join(prefix(long, "y"), ["a", "e"]).where("(sx < sy or sx = sy and x < y) and cx <> cy")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(direct).distinct()

@@ -37,6 +37,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for small tables in loops; Spark's cleaner removes it when it is no longer used."""
     shared_folder(df.sparkSession)
