@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undertow.llm import bpe, decontaminate, language_id, ngram_jaccard, secret_scan
 from undertow.llm.queries import table, tokenizer_path
-from undertow.llm.shared import materialise
+from undertow.llm.shared import materialise, spare_name
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,18 +17,21 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = language_id.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    spoken = language_id.predict(docs.withColumn("_text", F.col("text")), model, "_text")
-    return spoken.where("lang_pred <> 'und'").select(docs.columns)
+    lang, score = spare_name(docs, "_lang"), spare_name(docs, "_score")
+    return language_id.predict(docs, model, "text", lang, score).where(F.col(lang) != "und").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of rows linked by 80 % of their word 5-grams, keeps one: that of the smallest id, a null id
     last. Rows are told apart by a key of their own, so rows of a null or shared id go only as copies of another text."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col="_row")
-    found = members.select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
-    return rows.join(kept.select("least._row"), "_row", "left_semi").select(docs.columns)
+    row = spare_name(docs, "_row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col=row)
+    found = members.select(row, "component_id").join(rows.select(row, "doc_id"), row)
+    found = materialise(found.select(row, "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")))
+    least = found.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = materialise(found.join(least, "component_id").where("rank <> least").select(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
