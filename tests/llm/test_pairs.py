@@ -97,9 +97,11 @@ def test_long_sets_are_counted_in_fragments(spark):
 
 def vectors_brute(rows, cosine=0.9):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
-    x = np.array([v / np.linalg.norm(v) for _, v in ok])
-    near = x @ x.T >= cosine if len(x) else np.zeros((0, 0))
-    pairs = [(ok[a][0], ok[b][0]) for a, b in np.argwhere(np.triu(near, 1))]
+    pairs = []
+    for dims in {len(v) for _, v in ok}:
+        some = [(i, v / np.abs(v).max()) for i, v in ok if len(v) == dims]
+        x = np.array([v / np.linalg.norm(v) for _, v in some])
+        pairs += [(some[a][0], some[b][0]) for a, b in np.argwhere(np.triu(x @ x.T >= cosine, 1))]
     ids = [i for i, _ in rows if i is not None]
     comp, links = components(ids, pairs), dict.fromkeys(ids, 0)
     for a, b in pairs:
@@ -134,3 +136,43 @@ def test_embedding_groups_tiles_and_edges(spark, dims, tile):
     assert vector_result(out) == vectors_brute(rows)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out.collect())
     assert embedding_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_embedding_lengths_and_magnitudes(spark):
+    """Vectors of several lengths, of the least and largest finite magnitudes, and different ones under one id."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for dims in (1, 2, 3, 3, 3, 17):
+        for scale in (1e-200, 1.0, 1e200, 1e-310):
+            centre = rng.standard_normal(dims)
+            for _ in range(3):
+                rows.append((len(rows), ((centre + 0.2 * rng.standard_normal(dims)) * scale).tolist()))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert vector_result(embedding_dedup.near_duplicates(docs)) == vectors_brute(rows)
+    shared = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(shared).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_different_texts_under_one_id_do_not_join(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (0, "c d e f")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]  # each text its own component; both have 1 as smallest id
+    links = {(r.a, r.b) for r in ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    assert {frozenset(x) for x in links} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_a_large_group_of_near_copies_and_hot_fragments(spark):
+    """Many near copies of one text, some beyond reach of others, and short texts that share a line."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for _ in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(7)):
+            text[rng.randrange(120)] = f"n{rng.randrange(400)}"
+        rows.append((len(rows), " ".join(text)))
+    for _ in range(60):
+        rows.append((len(rows), "a common line of words " + " ".join(f"v{rng.randrange(30)}" for _ in range(rng.randrange(8)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert result(ngram_jaccard.link(docs)[0]) == brute(rows)

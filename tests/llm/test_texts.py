@@ -88,7 +88,7 @@ def leaks_brute(docs, items, least=6):
                 a = max(0, -d)
                 n = min(len(u), len(t) - d) - a
                 same = [u[a + x] == t[a + d + x] for x in range(n)]
-                if any(sum(same[x : x + w]) >= (w if len(u) < 12 else 11) for x in range(n - w + 1)):
+                if any(sum(same[x : x + w]) >= w - 1 for x in range(n - w + 1)):
                     out.add((i, k))
                     break
     return out
@@ -122,7 +122,26 @@ def test_leaks_equal_brute_force(spark):
 def test_leak_query(spark, sf_dir):
     docs, items = documents(spark, sf_dir), [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_decontaminate"](spark, sf_dir).collect()}
-    assert got >= {(i, k) for i, t in docs for k, u in items if " ".join(toks(u)) in " ".join(toks(t))}
+    assert got == leaks_brute(docs, items)
+
+
+def test_leak_odd_rows(spark):
+    """Short items, null ids on both sides, one n-gram repeated in both, a long text, columns of clashing names."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(3000)}" for _ in range(30_000)]
+    items = [(None, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five"), (2, "one two"), (3, "ha " * 40), (4, " ".join(words[20_000:20_030]))]
+    docs = [(None, "say alpha beta OTHER delta epsilon zeta"), (None, "nothing here at all my friend"), (7, "one two three four six"), (8, "ha " * 3000), (9, " ".join(words)), (9, "short")]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, whole string, key string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for least in (6, 5, 1):
+        got = {(r.doc, r.item) for r in decontaminate.find_leaks(d, b, least=least).collect()}
+        assert got == leaks_brute(docs, items, least)
+
+
+def test_mask_blocks_cover_every_substitution():
+    for span in range(3, 13):
+        for p in range(span):
+            assert any(p not in m for m in decontaminate.masks(span))
 
 
 # --- BPE ---------------------------------------------------------------------------------------

@@ -12,8 +12,15 @@ Tasks return sums, not pairs: for each vector its links in the tile pair, and li
 components. Equal vectors share one row, weighted by their number. So a group of any size gives output and
 shuffles in proportion to its tiles, while each of its pairs is still compared.
 
-Vectors that are null, empty, zero, of a length other than the most common one, or with null or non-finite
-components link with nothing. Null ids give a null component. Repeated rows are separate vectors in n_links.
+Vectors of each length are a space of their own, compared among themselves. Before anything else a vector is scaled
+by a power of two, so that no finite component over- or underflows.
+
+Vectors that are null, empty, zero, or with null or non-finite components link with nothing. Null ids give a null
+component. Repeated rows are separate vectors in n_links; different vectors under one id are so too, and each takes
+its own component. Other columns, whatever their names, are ignored.
+
+In a block the distances of random vectors lie close together, so on isotropic vectors cells prune little: the pairs
+that share neighbouring cells are then most of all pairs, and the work grows with their square (figures in the README).
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ from pyspark.sql import functions as F
 from undertow.llm.shared import connected_components, materialise
 
 TILE = 16_384
-STRIPE = 1024
+STRIPE, WIDE = 512, 4096  # rows and columns of one product, so that it stays in a core's cache
+_SALTS = 32
 _SLACK = 1e-9
 
 
@@ -54,21 +62,28 @@ def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _placer(dims: int, blocks: int, budget: float, grid: int):
-    turn, parts = rotation(dims), _blocks(dims, blocks)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in doubles; the scale by a power of two is exact."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _placer(blocks: int, budget: float, grid: int):
+    turns: dict[int, np.ndarray] = {}
 
     def place(batches):
         for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dims))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            r = x @ turn
-            rows = []
-            for b, (lo, hi) in enumerate(parts):
-                width = np.sqrt(budget * (hi - lo) / dims + _SLACK) + _SLACK
-                g = min(grid, hi - lo)
-                cell = np.floor(r[:, lo : lo + g] / width).astype(int)
-                rows.append(pd.DataFrame({"node": pdf["node"], "block": b, "cell": [",".join(map(str, c)) for c in cell.tolist()]}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"node": [], "block": [], "cell": []})
+            rows = [pd.DataFrame({"node": [], "dims": [], "block": [], "cell": []})]
+            for dims, part in pdf.groupby(pdf["v"].map(len)):
+                if dims not in turns:
+                    turns[dims] = rotation(dims)
+                r = _unit(np.stack(part["v"].to_numpy())) @ turns[dims]
+                for b, (lo, hi) in enumerate(_blocks(dims, blocks)):
+                    width = np.sqrt(budget * (hi - lo) / dims + _SLACK) + _SLACK
+                    cell = np.floor(r[:, lo : lo + min(grid, hi - lo)] / width).astype(int)
+                    rows.append(pd.DataFrame({"node": part["node"], "dims": dims, "block": b, "cell": [",".join(map(str, c)) for c in cell.tolist()]}))
+            yield pd.concat(rows[1:] or rows)
 
     return place
 
@@ -77,32 +92,34 @@ def _packer(kind: str):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         v = np.stack(pdf["v"].to_numpy()).astype(kind)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cell": pdf["cell"].iloc[:1], "tile": pdf["tile"].iloc[:1], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "weights": [pdf["w"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
+        return pd.DataFrame({"dims": pdf["dims"].iloc[:1], "block": pdf["block"].iloc[:1], "cell": pdf["cell"].iloc[:1], "tile": pdf["tile"].iloc[:1], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "weights": [pdf["w"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
 
     return pack
 
 
-def _comparer(dims: int, blocks: int, budget: float, cosine: float, kind: str):
-    turn, parts = rotation(dims), _blocks(dims, blocks)
-
-    def unit(raw: bytes) -> np.ndarray:
-        x = np.frombuffer(raw, kind).astype(np.float64).reshape(-1, dims)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _comparer(blocks: int, budget: float, cosine: float, kind: str):
+    turns: dict[int, np.ndarray] = {}
 
-    def near(p: np.ndarray, q: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs within the block's budget: 2ab - aa - bb >= -budget, as one product for each stripe of rows.
-        Single precision, with a slack far above its error; the exact test follows."""
-        a, b = p[:, lo:hi], q[:, lo:hi]
+    def near(p: np.ndarray, q: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs within the block's share of the budget: 2ab - aa - bb >= -budget, as products of stripes. Single
+        precision, with a slack far above its error; the exact test follows."""
         one = lambda x: np.ones((len(x), 1))
-        a = np.hstack([2 * a, -(a * a).sum(1, keepdims=True), one(a)]).astype(np.float32)
-        b = np.hstack([b, one(b), -(b * b).sum(1, keepdims=True)]).astype(np.float32).T.copy()
-        least = np.float32(-budget * (hi - lo) / dims - 1e-4)
-        found = [np.nonzero(a[k : k + STRIPE] @ b >= least) for k in range(0, len(a), STRIPE)]
-        return np.concatenate([f[0] + k * STRIPE for k, f in enumerate(found)]), np.concatenate([f[1] for f in found])
+        a = np.hstack([2 * p, -(p * p).sum(1, keepdims=True), one(p)]).astype(np.float32)
+        b = np.hstack([q, one(q), -(q * q).sum(1, keepdims=True)]).astype(np.float32).T.copy()
+        least, i, j = np.float32(-share - 1e-4), [np.zeros(0, int)], [np.zeros(0, int)]
+        for c in range(0, b.shape[1], WIDE):
+            some = np.ascontiguousarray(b[:, c : c + WIDE])
+            for k in range(0, len(a), STRIPE):
+                got = a[k : k + STRIPE] @ some
+                if got.max() >= least:
+                    x, y = np.nonzero(got >= least)
+                    i.append(x + k), j.append(y + c)
+        return np.concatenate(i), np.concatenate(j)
 
     def counted(x, y, p, q, i, j, block):
         """Of pairs, those that link and belong to this block: the first in whose reach they are."""
-        for b, (lo, hi) in enumerate(parts[: block + 1]):
+        dims = x.shape[1]
+        for b, (lo, hi) in enumerate(_blocks(dims, blocks)[: block + 1]):
             inside = ((p[i, lo:hi] - q[j, lo:hi]) ** 2).sum(1) <= budget * (hi - lo) / dims + _SLACK
             keep = inside if b == block else ~inside
             i, j = i[keep], j[keep]
@@ -115,9 +132,12 @@ def _comparer(dims: int, blocks: int, budget: float, cosine: float, kind: str):
             for row in pdf.itertuples():
                 n1, n2 = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.nodes2, np.int64)
                 w1, w2 = np.frombuffer(row.weights, np.int64), np.frombuffer(row.weights2, np.int64)
-                x, y = unit(row.vectors), unit(row.vectors2)
-                p, q = x @ turn, y @ turn
-                i, j = near(p, q, *parts[row.block])
+                x, y = (_unit(np.frombuffer(raw, kind).reshape(-1, row.dims)) for raw in (row.vectors, row.vectors2))
+                if row.dims not in turns:
+                    turns[row.dims] = rotation(row.dims)
+                p, q = x @ turns[row.dims], y @ turns[row.dims]
+                lo, hi = _blocks(row.dims, blocks)[row.block]
+                i, j = near(p[:, lo:hi], q[:, lo:hi], budget * (hi - lo) / row.dims)
                 if row.same:
                     i, j = i[i < j], j[i < j]
                 good = []
@@ -143,35 +163,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     """Returns each row's id, n_links, component_id and kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
-    common = rows.where(fine).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = common.d if common else 0
-    if not dims:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    rows = rows.withColumn("fine", fine & (F.size("v") == dims))
-    classes = rows.where("fine").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("w"))
-    classes = materialise(classes)
+    node = F.when(fine, F.xxhash64("v"))  # a class of equal vectors; two that share a hash would be taken for equal
+    marked = rows.select("id", node.alias("node"), F.pmod(F.xxhash64("id"), F.lit(_SALTS)).alias("salt"), "v")
+    parts = materialise(marked.where("node is not null").groupBy("node", "salt").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = materialise(parts.groupBy("node").agg(F.min("least").alias("rep"), F.sum("n").alias("w"), F.first("v").alias("v")))
     budget = 2 - 2 * cosine
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # what holds the components exactly
-    homes = materialise(classes.select("node", "v").mapInPandas(_placer(dims, blocks, budget, grid), "node long, block int, cell string"))
-    sizes = homes.groupBy("block", "cell").agg(F.count("*").alias("n")).select("block", "cell", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    dealt = homes.join(sizes, ["block", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    packed = dealt.join(classes, "node").groupBy("block", "cell", "tile").applyInPandas(_packer(kind), "block int, cell string, tile int, nodes binary, weights binary, vectors binary")
+    homes = materialise(classes.select("node", "v").mapInPandas(_placer(blocks, budget, grid), "node long, dims int, block int, cell string"))
+    where = ["dims", "block", "cell"]
+    sizes = homes.groupBy(*where).agg(F.count("*").alias("n")).select(*where, F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    dealt = homes.join(sizes, where).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    packed = dealt.join(classes.select("node", "w", "v"), "node").groupBy(*where, "tile").applyInPandas(_packer(kind), "dims int, block int, cell string, tile int, nodes binary, weights binary, vectors binary")
     packed = materialise(packed)
     place = F.transform(F.split("cell", ","), lambda x: x.cast("int"))
-    g = min(grid, min(hi - lo for lo, hi in _blocks(dims, blocks)))
-    shifts = [s for s in np.stack(np.meshgrid(*[[-1, 0, 1]] * g, indexing="ij"), -1).reshape(-1, g).tolist() if s >= [0] * g]  # half of the neighbours
+    shifts = [s for s in np.stack(np.meshgrid(*[[-1, 0, 1]] * grid, indexing="ij"), -1).reshape(-1, grid).tolist() if s >= [0] * grid]  # half of the neighbours
     beside = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in shifts]))
-    keys = packed.select("block", "cell", "tile").select("*", beside.alias("shift")).select("block", "cell", "tile", F.array_join(F.transform(F.zip_with(place, "shift", lambda a, b: a + b), lambda x: x.cast("string")), ",").alias("cell2"))
-    other = packed.select("block", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"))
-    meets = keys.join(other, ["block", "cell2"]).where("cell <> cell2 or tile <= tile2")
-    work = meets.join(packed, ["block", "cell", "tile"])
-    second = packed.select("block", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), F.col("nodes").alias("nodes2"), F.col("weights").alias("weights2"), F.col("vectors").alias("vectors2"))
-    work = work.join(second, ["block", "cell2", "tile2"]).withColumn("same", F.expr("cell = cell2 and tile = tile2"))
-    work = work.select("block", "same", "nodes", "weights", "vectors", "nodes2", "weights2", "vectors2")
-    found = materialise(work.mapInPandas(_comparer(dims, blocks, budget, cosine, kind), "node long, links long, to long"))
+    moved = F.zip_with(place, F.slice("shift", F.lit(1), F.size(place)), lambda a, b: (a + b).cast("string"))
+    keys = packed.select(*where, "tile", beside.alias("shift")).select(*where, "tile", F.array_join(moved, ",").alias("cell2")).distinct()
+    other = packed.select("dims", "block", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"))
+    meets = keys.join(other, ["dims", "block", "cell2"]).where("cell <> cell2 or tile <= tile2")
+    work = meets.join(packed, [*where, "tile"])
+    second = packed.select("dims", "block", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), F.col("nodes").alias("nodes2"), F.col("weights").alias("weights2"), F.col("vectors").alias("vectors2"))
+    work = work.join(second, ["dims", "block", "cell2", "tile2"]).withColumn("same", F.expr("cell = cell2 and tile = tile2"))
+    work = work.select("dims", "block", "same", "nodes", "weights", "vectors", "nodes2", "weights2", "vectors2")
+    found = materialise(work.mapInPandas(_comparer(blocks, budget, cosine, kind), "node long, links long, to long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comps = connected_components(found, "node", "to")
-    per = classes.join(links, "node", "left").join(comps, "node", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(per.withColumn("fine", F.lit(True)), ["v", "fine"], "left")
+    reps = [classes.select(F.col("node").alias(x), F.struct("rep", "node").alias(f"s{x}")) for x in ("node", "to")]
+    comps = connected_components(found.select("node", "to").distinct().join(reps[0], "node").join(reps[1], "to"), "snode", "sto")
+    comps = comps.select(F.col("node.node").alias("node"), F.col("component.rep").alias("component"))
+    per = classes.select("node", "rep", "w").join(links, "node", "left").join(comps, "node", "left")
+    per = per.select("node", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    per = parts.select("node", "salt").join(per, "node")  # a hot vector's rows meet it by salt
+    out = marked.drop("v").join(per, ["node", "salt"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

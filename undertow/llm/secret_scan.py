@@ -1,13 +1,17 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
 Each rule's regex is reduced to a Boolean query over trigrams: an OR of ANDs of the trigrams that every match must
-hold (letters lower-cased). The index has postings (trigram, text key) for the trigrams that occur in any query;
-a clause's postings are intersected by counting its trigrams for each key. Only the texts so found are verified
-with the rule's regex. A rule without mandatory trigrams scans all texts.
+hold (letters lower-cased). The index has postings (trigram, text key) for the trigrams that occur in any query, found
+by one pass over each text; a clause's postings are intersected by key. Only the texts so found are verified, each
+with the regexes of the rules that found it. A rule without mandatory trigrams scans all texts in place.
 
 A text's key is a hash of its content, so that copies share postings; an equal key of another text only adds a
-candidate, which verification removes. Null texts are empty. Rows stay one to one, repeated ones too, with all
-their columns; a column named like an output is replaced.
+candidate, which verification removes. The candidates, 20 bytes or so each, are written down; Spark sends them to the
+texts where they are below spark.sql.autoBroadcastJoinThreshold and shuffles both sides by key beyond it.
+
+There may be any number of rules and of trigrams in a clause. Null texts are empty, empty ones hold nothing, and long
+ones are scanned whole; a text's spans are put together in time quadratic in their number. Rows stay one to one,
+repeated ones too, with all their columns; a column named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.llm.shared import materialise, spare_name
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,41 +93,53 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 # --- index, search, verification --------------------------------------------------------
 
 
+def _alternatives(trigrams: list[str]) -> str:
+    """A regex for any of these trigrams, as a tree by their first characters."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in trigrams:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one = lambda c: c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+    return "|".join(one(a) + "(?:" + "|".join(one(b) + "[" + "".join(map(one, cs)) + "]" for b, cs in sorted(bs.items())) + ")" for a, bs in sorted(tree.items()))
+
+
 def postings(docs: DataFrame, text: Column, vocabulary: list[str]) -> DataFrame:
     """The inverted index (trigram, key) of the vocabulary over lower-cased texts."""
-    rows = docs.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in vocabulary]))
-    return rows.select("key", found.alias("found")).select("key", F.explode("found").alias("trigram"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=({_alternatives(vocabulary)}))"), F.lit(1))
+    return docs.select(F.xxhash64(text).alias("key"), F.explode(F.array_distinct(found)).alias("trigram"))
+
+
+_WORD = 62  # trigrams of a clause whose marks share one long
 
 
 def candidates(index: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
-    """(key, mask): bit r is set where the postings of some clause of rule r all hold the key."""
+    """(key, rules): the rules of which some clause's postings all hold the key."""
     spark = index.sparkSession
-    clauses = [(r, c) for r, q in queries.items() for c in q]
-    rows = [(t, n, r, 1 << i, (1 << len(c)) - 1) for n, (r, c) in enumerate(clauses) for i, t in enumerate(sorted(c))]
-    table = spark.createDataFrame(rows, "trigram string, clause int, rule int, bit long, whole long")
+    rows = []
+    for n, (r, c) in enumerate((r, c) for r, q in queries.items() for c in q):
+        for w in range(0, len(c), _WORD):
+            part = sorted(c)[w : w + _WORD]
+            rows += [(t, n, r, w // _WORD, 1 << i, (1 << len(part)) - 1, -(-len(c) // _WORD)) for i, t in enumerate(part)]
+    table = spark.createDataFrame(rows, "trigram string, clause int, rule int, word int, bit long, whole long, words int")
     hits = index.join(F.broadcast(table), "trigram")  # as large as the rules, which are literals
-    met = hits.groupBy("key", "clause", "rule", "whole").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
-    return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask"))
+    met = hits.groupBy("key", "clause", "rule", "word", "whole", "words").agg(F.bit_or("bit").alias("bits")).where("bits = whole")
+    met = met.groupBy("key", "clause", "rule", "words").agg(F.count("*").alias("n")).where("n = words")
+    return met.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, end) of the rule's matches in code points."""
-    rx = F.lit(rule.pattern)
+def _spans(text: Column, rx: Column, group: Column, least: Column, order: Column) -> Column:
+    """Array of (start, order, end) of a rule's matches in code points."""
     whole = F.regexp_extract_all(text, rx, F.lit(0))
-    group = whole if rule.group == 0 else F.regexp_extract_all(text, rx, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
-    each = F.arrays_zip(F.transform(F.slice(between, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(group, F.length).alias("of"))
-    none = F.lit(None).cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(SPANS)).alias("out"))
+    between = F.split(text, rx, F.lit(-1))
+    each = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(F.regexp_extract_all(text, rx, group), F.length).alias("of"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + x["len"]
-        one = F.array(F.struct(s.alias("s"), F.lit(order).alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(x["of"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        one = F.array(F.struct(s.alias("s"), order.alias("k"), e.alias("e")))
+        return F.struct(e.alias("at"), F.when(x["of"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.rlike(text, rx), F.aggregate(each, start, step, lambda a: a["out"]))
+    return F.when(F.rlike(text, rx), F.aggregate(each, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<s:int,k:int,e:int>>"
@@ -131,32 +149,26 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str
     """Adds out_col: array of (s, k, e), start and end in code points and the rule's place in `rules`, sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    rows = docs.drop(out_col)
-    key, mask = "_key", "_mask"
-    while key in rows.columns or mask in rows.columns:
-        key, mask = key + "_", mask + "_"
-    rows = rows.withColumn(key, F.xxhash64(text))
+    rows = docs if out_col == text_col else docs.drop(out_col)
+    parts = [_spans(text, F.lit(r.pattern), F.lit(r.group), F.lit(r.least), F.lit(i)) for i, r in enumerate(rules) if i not in queries]
+    spare = []
     if queries:
+        key, found = spare = [spare_name(rows, "_key"), spare_name(rows, "_found")]
+        spark = docs.sparkSession
         vocabulary = sorted({t for q in queries.values() for c in q for t in c})
-        found = candidates(postings(docs, text, vocabulary), queries)
-        rows = rows.join(found.select(F.col("key").alias(key), F.col("mask").alias(mask)), key, "left")
-    else:
-        rows = rows.withColumn(mask, F.lit(0).cast("long"))
-    empty = F.array().cast(SPANS)
-    parts = []
-    for i, r in enumerate(rules):
-        found = _spans(text, r, i)
-        if i in queries:
-            found = F.when(F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, found)
-        parts.append(F.coalesce(found, empty))
-    return rows.withColumn(out_col, F.array_sort(F.concat(*parts))).drop(key, mask)
+        met = materialise(candidates(postings(docs, text, vocabulary), queries))
+        listed = spark.createDataFrame([(i, rules[i].pattern, rules[i].group, rules[i].least) for i in queries], "rule int, rx string, of int, least int")
+        met = met.select("key", F.explode("rules").alias("rule")).join(F.broadcast(listed), "rule")  # the rules again
+        met = materialise(met.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("rx", "of", "least", "rule")).alias(found)))
+        rows = rows.withColumn(key, F.xxhash64(text)).join(met, key, "left")
+        each = F.transform(F.col(found), lambda r: _spans(text, r["rx"], r["of"], r["least"], r["rule"]))
+        parts.append(F.coalesce(F.flatten(each), F.array().cast(SPANS)))
+    return rows.withColumn(out_col, F.array_sort(F.concat(*parts))).drop(*spare)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces every span (overlapping ones as one) by the mark; other columns stay, and texts without spans too."""
-    spans = "_spans"
-    while spans in docs.columns:
-        spans += "_"
+    spans = spare_name(docs, "_spans")
     rows, text = scan(docs, rules, text_col, spans), F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:

@@ -37,6 +37,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same table. Texts are long rows, and Spark cuts Arrow batches by their number: the session's batches are
+    lowered to this many (never raised), so that a Python worker holds a few MB of texts at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) <= 0 or int(conf.get(name)) > rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """A column name like this one that the table does not have (names differ in more than case)."""
     taken = {c.lower() for c in df.columns}
