@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from undertow.llm.shared import materialise, small_batches
+
 LEAF, WINDOW = 32_768, 48
 _loaded: dict = {}
 
@@ -179,14 +181,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded. by_words: the tokenizer drops white space and
     never joins what stands on either side of it, so texts of one leaf are encoded by their different words."""
     whole, each, tree = _functions(tokenizer_path, leaf, by_words)
-    rows = docs.drop("ids", "n_tokens", "decoded")
+    rows = small_batches(docs).drop("ids", "n_tokens", "decoded")
     cols = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_text = F.length(text) > leaf
     keep = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     back = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)]
     short = rows.where(~long_text).select(keep.alias("row"), text.alias("t")).select("row", whole("t").alias("r"))
-    tall = rows.where(long_text).select(F.monotonically_increasing_id().alias("uid"), keep.alias("row"), text.alias("t"))
+    # written down, so that a text keeps its number when an executor is lost and its input is read again
+    tall = materialise(rows.where(long_text).select(F.monotonically_increasing_id().alias("uid"), keep.alias("row"), text.alias("t")))
     cuts = F.sequence(F.lit(0), F.length("t") - 1, F.lit(leaf))
     leaves = tall.select("uid", "row", "t", F.explode(cuts).alias("at"))
     leaves = leaves.select("uid", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(F.col("t"), F.col("at") + 1, F.lit(leaf)).alias("piece"))

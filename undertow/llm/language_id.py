@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import spare_name, text_blocks
+from undertow.llm.shared import small_batches, spare_name, text_blocks
 
 BINS = 4096
 #: Families of ISO 639-1 codes; a language that is not listed is a family of its own.
@@ -141,7 +141,7 @@ def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: s
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, families: dict[str, str] | None = None) -> LanguageModel | None:
     """Fits on at most `per_language` of the labelled rows of each language; None where no row has a language."""
     families = FAMILIES if families is None else families
-    sample = training_sample(labelled, id_col, text_col, lang_col, per_language)
+    sample = training_sample(small_batches(labelled), id_col, text_col, lang_col, per_language)
     got = sample.select("l", "h", "t", feature_vector("text").alias("v")).sort("l", "h", "t").toArrow().combine_chunks()
     if not got.num_rows:
         return None
@@ -202,4 +202,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
     spare = spare_name(docs, "_guess")
-    return docs.withColumn(spare, guess(text_col)).withColumns({lang_pred: F.col(spare)["lang"], score_col: F.col(spare)["score"]}).drop(spare)
+    return small_batches(docs).withColumn(spare, guess(text_col)).withColumns({lang_pred: F.col(spare)["lang"], score_col: F.col(spare)["score"]}).drop(spare)

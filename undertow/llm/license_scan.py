@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import materialise, mix, text_blocks, word_hashes, word_places
+from undertow.llm.shared import materialise, mix, small_batches, text_blocks, word_hashes, word_places
 
 GRAM, WINDOW, BAND = 3, 2, 4
 _U = np.uint64
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, templates: DataFrame, text_col: str = "text", template
         kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array(out, kind)
 
-    rows = docs.drop("licenses")
+    rows = small_batches(docs).drop("licenses")
     text = F.col(text_col)
     keep = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
     staged = materialise(rows.select(keep.alias("row"), text.alias("t")).select("row", "t", hits("t").alias("found")).select("row", F.when(F.size("found") > 0, F.col("t")).alias("t"), F.when(F.size("found") > 0, F.col("found")).alias("found")))

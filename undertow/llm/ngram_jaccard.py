@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import connected_components, materialise, mix, text_blocks, word_hashes
+from undertow.llm.shared import connected_components, materialise, mix, small_batches, text_blocks, word_hashes
 
 _U = np.uint64
 #: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
@@ -229,7 +229,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     and component_id (smallest id reachable by links). links: verified pairs of nodes that span the components, as
     the smallest ids with these sets (a, b, overlap); pairs within one component beyond those are not listed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialise(rows.select("doc", _profile(width)("text").alias("p")).select("doc", "p.n", "p.node", "p.sizes"))
     salted = base.select("doc", "n", "node", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).alias("salt"))
     parts = salted.where("n > 0 and doc is not null").groupBy("node", "salt").agg(F.min("doc").alias("least"))  # a hot set has many rows: by salt first

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import mix, text_blocks, word_hashes
+from undertow.llm.shared import mix, small_batches, text_blocks, word_hashes
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 , . ; : ' -, 7 other marks, 8 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -150,11 +150,13 @@ def _feature_list(text: pa.Array) -> pa.Array:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 12_000) -> AdditiveModel | None:
-    """Fits on at most `most` of the rows of `labels` (id, label) that have a text."""
+    """Fits on at most `most` of the rows of `labels` (id, label) that have a text, those of least hashes; equal texts
+    under one id count once."""
     wanted = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(wanted), "id").select("id", "y", _feature_list("t").alias("x")).limit(2 * most).collect()
+    rows = small_batches(texts).join(F.broadcast(wanted), "id").groupBy("id", F.xxhash64("t").alias("k")).agg(F.first("y").alias("y"), F.first("t").alias("t"))
+    rows = rows.orderBy(F.xxhash64("id", "k"), "id", "k").limit(most).select("id", "y", _feature_list("t").alias("x")).collect()
     if len({r.y for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.id, r.x))
@@ -168,5 +170,5 @@ def score(docs: DataFrame, model: AdditiveModel | None, text_col: str = "text",
     def of(text: pa.Array) -> pa.Array:
         return pa.array(model.score(features(text)))
 
-    out = docs.withColumn("score", F.lit(0.5) if model is None else of(text_col))
+    out = small_batches(docs).withColumn("score", F.lit(0.5) if model is None else of(text_col))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

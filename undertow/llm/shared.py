@@ -37,7 +37,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """The same table. Texts are long rows, and Spark cuts Arrow batches by their number: the session's batches are
     lowered to this many (never raised), so that a Python worker holds a few MB of texts at a time."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
