@@ -113,7 +113,7 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 # --- tables -----------------------------------------------------------------------------
 
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
-_CACHE = 200_000  # words a task keeps; beyond that it starts afresh
+_CACHE = 100_000  # words a task keeps; beyond that it starts afresh
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokens: dict[str, np.ndarray] = {}
 
@@ -152,11 +152,12 @@ def _functions(path: str, leaf_size: int, by_words: bool):
 
     @arrow_udf(_RESULT_DDL)
     def whole(text: pa.Array) -> pa.Array:
-        t, out = load(path), []
-        for at in range(0, len(text), 256):
-            some = text.slice(at, 256).to_pylist()
-            out += encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
-        return _result(path, out)
+        t, out = load(path), [_result(path, [])]
+        for at in range(0, len(text), 128):
+            some = text.slice(at, 128).to_pylist()
+            ids = encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
+            out.append(_result(path, ids))
+        return pa.concat_arrays(out)
 
     @arrow_udf("ids binary, starts binary, ends binary")
     def leaf(text: pa.Array) -> pa.Array:
@@ -181,7 +182,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded. by_words: the tokenizer drops white space and
     never joins what stands on either side of it, so texts of one leaf are encoded by their different words."""
     whole, each, tree = _functions(tokenizer_path, leaf, by_words)
-    rows = small_batches(docs).drop("ids", "n_tokens", "decoded")
+    rows = small_batches(docs, 500).drop("ids", "n_tokens", "decoded")
     cols = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_text = F.length(text) > leaf

@@ -5,9 +5,9 @@ cut into fragments of that order. Three things happen by fragment:
 
 1. Candidates. Documents of like size form a class, and each class cuts the order into k fragments. Two linked sets of
    a class differ in at most d shingles, so with k = d + 1 + e fragments they agree on at least e + 1 whole ones. A set
-   with m <= e empty ones leaves out its e - m smallest others: of the agreed ones, both sets keep the largest. A set
-   with more empty ones also gives each e + 1 of them. Agreement on one fragment (its content's hash) therefore finds
-   every link, and needs no shingle frequencies.
+   with m <= e empty ones leaves out half of e - m, its smallest: of the agreed ones, both sets keep the largest, so
+   they share at least 1 + (e - m + 1) // 2. A set with more empty ones also gives each e + 1 of them. Agreement on
+   one fragment (its content's hash) therefore finds every link, and needs no shingle frequencies.
 2. Bounds. The order is cut into 128 fragments, the same for all sets; the sum of the smaller sizes bounds the overlap.
 3. Overlaps. The order is cut into 8 fragments, the same for all sets; the overlap of a pair is counted in each of
    them apart and summed per pair.
@@ -16,9 +16,10 @@ Sets are told apart by 64-bit hashes of their shingles and of themselves; equal
 approximation (about 1e-3 expected wrong shingles in 1e8 different ones).
 
 Groups do not become pairs. Copies with equal sets are one node. A bucket (the sets that agree on a fragment) of up to
-8 nodes lists its pairs. In a larger one each node is compared with one pivot of its buckets; where a bucket still
-holds several components, its nodes are compared by how they differ from the bucket's pivot, which sets apart the
-members of a large group of near copies.
+8 nodes lists its pairs. What is linked and shares no such bucket shares all its agreed fragments in larger ones, so
+only nodes with as many of these as step 1 promises stay there. Each is compared with one pivot of its buckets; where
+a bucket still holds several components, its nodes are compared by how they differ from the bucket's pivot, which sets
+apart the members of a large group of near copies.
 
 Nulls and empty texts have no shingles and link with nothing. Rows without an id keep a null component. Repeated
 rows are one node, and each gets its row of the result; different texts under one id are different nodes, each with
@@ -45,14 +46,14 @@ SMALL = 8
 _SALTS = 32
 
 
-def size_class(n: int, percent: int) -> tuple[int, int]:
-    """(lower bound, first size beyond) of the class of sets of size n. Bounds grow by a quarter."""
-    low = -(-100 // (100 - percent))
+def size_class(n: int, percent: int) -> tuple[int, int, int]:
+    """(lower bound, first size beyond, number) of the class of sets of size n. Bounds grow by a quarter."""
+    low, number = -(-100 // (100 - percent)), 0
     while True:
         high = max(low + 1, low * 5 // 4)
         if n < high:
-            return low, high
-        low = high
+            return low, high, number
+        low, number = high, number + 1
 
 
 def spare_fragments(least: int, differ: int) -> int:
@@ -69,14 +70,14 @@ def spare_fragments(least: int, differ: int) -> int:
     return few
 
 
-def plan(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """For a set of size n, its classes: (class bound, fragments, spare empty ones)."""
+def plan(n: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """For a set of size n, its classes: (class bound, fragments, spare empty ones, number of the class)."""
     out, size, most = [], max(n, -(-100 // (100 - percent))), 100 * n // percent
     while size <= most:
-        low, high = size_class(size, percent)
+        low, high, number = size_class(size, percent)
         differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
         spare = spare_fragments(-(-low * percent // 100), differ)
-        out.append((low, differ + 1 + spare, spare))
+        out.append((low, differ + 1 + spare, spare, number))
         size = high
     return out
 
@@ -116,19 +117,40 @@ def _node(sums: list[tuple[int, int, int]]) -> np.ndarray:
     return mix(mix(mix(s[:, 0]) + s[:, 1]) + s[:, 2]).view(np.int64)
 
 
+_CLASSES = 8  # a set's classes follow each other; those whose numbers agree modulo this only weaken the promise
+
+
+def _cuts(x: np.ndarray, k: int) -> np.ndarray:
+    """Where the k fragments of a sorted set begin and end."""
+    return np.searchsorted(((x >> _U(32)) * _U(k)) >> _U(32), np.arange(k + 1, dtype=_U))
+
+
+def promises(x: np.ndarray, percent: int, plans: dict) -> list[int]:
+    """By the number of the class modulo _CLASSES: how many signatures the set shares at least with a linked one."""
+    if (p := plans.get(len(x))) is None:
+        p = plans[len(x)] = plan(len(x), percent)
+    out: dict[int, int] = {}
+    for _, k, spare, number in p if len(x) else []:
+        at = _cuts(x, k)
+        share = 1 + (max(0, spare - int((at[1:] == at[:-1]).sum())) + 1) // 2
+        out[number % _CLASSES] = min(share, out.get(number % _CLASSES, share))
+    return [out.get(c, 1) for c in range(_CLASSES)]
+
+
 def signatures(x: np.ndarray, percent: int, plans: dict) -> np.ndarray:
-    """Fragment signatures of a sorted set."""
+    """Fragment signatures of a sorted set; the low three bits are the number of the class."""
     if (p := plans.get(len(x))) is None:
         p = plans[len(x)] = plan(len(x), percent)
     parts, total = [], np.append(_U(0), np.cumsum(mix(x + _U(1)), dtype=_U))
-    for low, k, spare in p:
-        at = np.searchsorted(((x >> _U(32)) * _U(k)) >> _U(32), np.arange(k + 1, dtype=_U))
+    for low, k, spare, number in p:
+        at = _cuts(x, k)
         of = np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(low)
         sig, some = mix(mix(total[at[1:]] - total[at[:-1]]) + of), at[1:] > at[:-1]
         empty = np.flatnonzero(~some)
         more = [mix(of[list(c)]).sum(dtype=_U) for c in combinations(empty.tolist(), spare + 1)]
         size, sig = np.diff(at)[some], sig[some]
-        parts.append(np.append(sig[np.lexsort((sig, size))[max(0, spare - len(empty)) :]], mix(np.array(more, _U))))
+        sig = np.append(sig[np.lexsort((sig, size))[max(0, spare - len(empty)) // 2 :]], mix(np.array(more, _U)))
+        parts.append((sig & ~_U(_CLASSES - 1)) | _U(number % _CLASSES))
     return np.concatenate(parts) if parts else x[:0]
 
 
@@ -138,14 +160,15 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(kind)))
 
 
-def _profile(width: int):
-    @arrow_udf("n long, node long, sizes array<int>")
+def _profile(percent: int, width: int):
+    @arrow_udf("n long, node long, sizes array<int>, shares array<int>")
     def profile(text: pa.Array) -> pa.Array:
-        sums, sizes = [], []
+        sums, sizes, shares, plans = [], [], [], {}
         for x in shingle_sets(text, width):
             sums.append(_sums(x))
+            shares.append(np.array(promises(x, percent, plans), np.int32))
             sizes.append(np.bincount((x >> _U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array([s[0] for s in sums], pa.int64()), pa.array(_node(sums)), _lists(sizes, np.int32)], ["n", "node", "sizes"])
+        return pa.StructArray.from_arrays([pa.array([s[0] for s in sums], pa.int64()), pa.array(_node(sums)), _lists(sizes, np.int32), _lists(shares, np.int32)], ["n", "node", "sizes", "shares"])
 
     return profile
 
@@ -230,7 +253,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     the smallest ids with these sets (a, b, overlap); pairs within one component beyond those are not listed.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    base = materialise(rows.select("doc", _profile(width)("text").alias("p")).select("doc", "p.n", "p.node", "p.sizes"))
+    base = materialise(rows.select("doc", _profile(percent, width)("text").alias("p")).select("doc", "p.*"))
     salted = base.select("doc", "n", "node", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).alias("salt"))
     parts = salted.where("n > 0 and doc is not null").groupBy("node", "salt").agg(F.min("doc").alias("least"))  # a hot set has many rows: by salt first
     reps = materialise(parts.groupBy("node").agg(F.min("least").alias("rep")))
@@ -239,7 +262,10 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     found = materialise(signed.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
     buckets = found.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialise(found.join(buckets, "sig"))
-    large = grouped.where(f"size > {SMALL}")
+    large = grouped.where(f"size > {SMALL}").withColumn("c", F.expr(f"cast(sig & {_CLASSES - 1} as int)"))
+    held = large.groupBy("node", "c").agg(F.count("*").alias("held"))
+    promised = base.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
+    large = materialise(large.join(promised, ["node", "c"]).drop("c"))
 
     few = grouped.where(f"size <= {SMALL}").select("sig", "node")
     listed = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")

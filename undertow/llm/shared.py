@@ -38,11 +38,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """The same table. Texts are long rows, and Spark cuts Arrow batches by their number: the session's batches are
-    lowered to this many (never raised), so that a Python worker holds a few MB of texts at a time."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(name)) <= 0 or int(conf.get(name)) > rows:
+    """The same table. Texts are long rows, and Spark cuts Arrow batches by their number: the session's batches are set
+    to this many, so that a Python worker holds a few MB of texts at a time. A smaller number that the user chose stays."""
+    conf, name, own = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "undertow.batches"
+    now = conf.get(name)
+    if now == conf.get(own, None) or not 0 < int(now) <= rows:
         conf.set(name, str(rows))
+        conf.set(own, str(rows))
     return df
 
 
