@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import connected_components, materialise, mix, small_batches, text_blocks, word_hashes
+from undertow.llm.shared import connected_components, discard, materialise, mix, small_batches, text_blocks, word_hashes
 
 _U = np.uint64
 #: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
@@ -262,6 +262,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     found = materialise(signed.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
     buckets = found.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialise(found.join(buckets, "sig"))
+    discard(found)
     large = grouped.where(f"size > {SMALL}").withColumn("c", F.expr(f"cast(sig & {_CLASSES - 1} as int)"))
     held = large.groupBy("node", "c").agg(F.count("*").alias("held"))
     promised = base.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
@@ -270,6 +271,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     few = grouped.where(f"size <= {SMALL}").select("sig", "node")
     listed = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")
     pairs = materialise(listed.union(_with_pivots(large)).distinct())
+    discard(grouped)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     known = materialise(base.where("doc is not null").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sizes"))
     pairs = materialise(_possible(pairs, known, percent))
@@ -288,6 +290,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
         late = materialise(_overlaps(materialise(_possible(more, known, percent)), sets, percent))
         links = links.union(late)
         comp = _components(comp.where("node <> component.node").select(F.col("node").alias("a"), F.col("component.node").alias("b")).union(late.select("a", "b")), reps)
+    discard(sets, known)
     label = parts.select("node", "salt").join(reps, "node").join(comp, "node", "left")
     label = label.select("node", "salt", "rep", F.coalesce("component.rep", "rep").alias("component_id"))
     out = salted.join(label, ["node", "salt"], "left")
@@ -374,6 +377,7 @@ def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent
     held = apart.groupBy("a", "b", "c", "nb").agg(F.count("*").alias("size"))
     common = apart.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
     lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
+    discard(apart)
     need = F.greatest(F.floor(F.col("size") * ((1 - r) / 2) - 1e-9) + 1, F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r / 2) - 1e-9), F.lit(1))
     short = F.col("size") - need + 1 - F.col("own")
     long = F.col("size") - F.greatest(F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r) - 1e-9), F.lit(1)) + 1 - F.col("own")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage is cut and executors may be lost."""
+    """Writes a table to the shared folder and reads it back: lineage is cut and executors may be lost. The shuffle files
+    of this one execution go when it ends, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/undertow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+_written: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialise wrote for these tables; no later plan may read them."""
+    for df in tables:
+        if path := _written.pop(id(df), None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
