@@ -92,4 +92,4 @@ def test_report_text(spark, tmp_path):
     none = spark.createDataFrame([], "x string")
     report.write([report.bullets(none, "Screens at risk", F.col("x")), report.bullets(spark.createDataFrame([("b",), ("a",)], "x string"), "Risk areas", F.col("x"))], str(tmp_path / "r"))
     lines = [r.value for f in sorted((tmp_path / "r").glob("part-*")) for r in spark.read.text(str(f)).collect()]
-    assert lines[:3] == ["## Summary", "## Screens at risk", "_none_"] and lines[lines.index("## Risk areas") + 1 :][:2] == ["- a", "- b"]
+    assert lines[:4] == ["# Impact report", "## Summary", "## Screens at risk", "_none_"] and lines[lines.index("## Risk areas") + 1 :][:2] == ["- a", "- b"]

@@ -65,6 +65,41 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= 0.75, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
 
+def origin_of(base: Column, href: Column) -> Column:
+    """The origin that a link leads to from a page: the page's own where the href is a path; null where it has none."""
+    return F.when(href.rlike("^/(?!/)"), origin(base)).otherwise(origin(href))
+
+
+def vocabulary(path: Column) -> Column:
+    """Different words beyond three characters of a path, cut at slashes, backslashes and brackets too."""
+    return words(F.regexp_replace(path, r"[/\\\[\]]", " "), 3)
+
+
+def label(given: Column, title: Column, url: Column) -> Column:
+    """The first of label, title and url that is not empty."""
+    return F.coalesce(F.nullif(given, F.lit("")), F.nullif(title, F.lit("")), url)
+
+
+def snapshot_refs(text: Column) -> Column:
+    """Array of (ref, url) of the marks [ref=e1] and [ref=e1, url=...]; the url is null where there is none."""
+    rx = F.lit(r"\[ref=(\w+)(?:, url=([^\],\s]+))?\]")
+    both = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(1)).alias("ref"), F.regexp_extract_all(text, rx, F.lit(2)).alias("url"))
+    return F.transform(both, lambda x: F.struct(x["ref"].alias("ref"), F.nullif(x["url"], F.lit("")).alias("url")))
+
+
+def changed_path(line: Column) -> Column:
+    """The path that a report's line names as changed; null for other lines."""
+    return F.nullif(F.regexp_extract(line, r"^- (.+?) \((?:modified|added|renamed|removed)", 1), F.lit(""))
+
+
+def titled(req_id: Column, title: Column) -> Column:
+    return F.concat(F.lit("**"), req_id, F.lit("** "), title)
+
+
+def screen_line(name: Column, url: Column) -> Column:
+    return F.concat(name, F.lit(" — `"), url, F.lit("`"))
+
+
 def extract_json(text: Column) -> Column:
     """From the first { to the last }."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

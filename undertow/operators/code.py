@@ -6,7 +6,7 @@ and strings are not told apart from code. Only what starts a line without indent
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Endings of import candidates in order of preference; calls that are never resolved; code files.
@@ -14,6 +14,8 @@ SUFFIXES = ["", ".tsx", ".ts", ".jsx", ".js", ".mjs", ".cjs", ".css", "/index.ts
 BUILTINS = ["fetch", "console", "require"]
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 
+#: An opening tag. What follows a name is a type argument, as in Promise<Thing>, and no tag.
+RENDER = r"(?<![\w$.])<([A-Z][\w$]*)(?=[\s/>.]|$)"
 _NAME = r"([A-Za-z_$][\w$]*)"
 _EXPORT = r"^(?:export\s+(?:default\s+)?)?"
 _SYMBOLS = [
@@ -43,11 +45,25 @@ def imports(sources: DataFrame) -> DataFrame:
 
 
 def uses(sources: DataFrame) -> DataFrame:
-    """(file, kind, name), once each: components rendered (kind render) and bare names called (kind call)."""
-    call = rf"(?<![\w$.])(?<!function )(?<!class ){_NAME}\s*\("
-    kinds = {"render": F.regexp_extract_all("source", F.lit(r"<([A-Z][\w$]*)"), F.lit(1)), "call": F.regexp_extract_all("source", F.lit(call), F.lit(1))}
-    each = [F.arrays_zip(F.array_repeat(F.lit(k), F.size(F.array_distinct(names))).alias("kind"), F.array_distinct(names).alias("name")) for k, names in kinds.items()]
-    return sources.select(F.col("path").alias("file"), F.explode(F.concat(*each)).alias("u")).select("file", "u.kind", "u.name").where(~F.col("name").isin(_KEYWORDS))
+    """(file, kind, name, line): components rendered (kind render) and bare names called (kind call), once a line."""
+    lines = sources.select(F.col("path").alias("file"), F.posexplode(F.split("source", "\n", -1)).alias("line", "code"))
+    tags = F.when(F.col("file").rlike(r"\.(tsx|jsx|js)$"), F.regexp_extract_all("code", F.lit(RENDER), F.lit(1)))
+    called = F.regexp_extract_all("code", F.lit(rf"(?<![\w$.])(?<!function )(?<!class ){_NAME}\s*\("), F.lit(1))
+    kinds = {"render": F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))), "call": F.array_distinct(called)}
+    each = [F.arrays_zip(F.array_repeat(F.lit(k), F.size(names)).alias("kind"), names.alias("name")) for k, names in kinds.items()]
+    rows = lines.select("file", (F.col("line") + 1).alias("line"), F.explode(F.concat(*each)).alias("u"))
+    return rows.select("file", "u.kind", "u.name", "line").where(~F.col("name").isin(_KEYWORDS))
+
+
+def holders(used: DataFrame, defined: DataFrame) -> DataFrame:
+    """Adds to uses (file, line, ...) the symbol that holds them: the last one that begins on their line or before, null
+    before the first."""
+    marks = defined.select("file", "line", F.col("name").alias("mark"))
+    rest = [c for c in used.columns if c not in ("file", "line")]
+    both = used.select("file", "line", F.struct(*rest).alias("u"), F.lit(None).cast("string").alias("mark")).unionByName(marks.withColumn("u", F.lit(None)), allowMissingColumns=True)
+    order = Window.partitionBy("file").orderBy("line", F.col("u").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # one file
+    held = both.withColumn("holder", F.last("mark", ignorenulls=True).over(order)).where("u is not null")
+    return held.select("file", "line", *[F.col(f"u.{c}") for c in rest], "holder")
 
 
 def normal_path(path: Column) -> Column:
@@ -87,16 +103,45 @@ def use_edges(used: DataFrame, defined: DataFrame, resolved: DataFrame) -> DataF
     last import wins). A call counts only where the target defines the name."""
     own = defined.select("file", "name").distinct().withColumn("own", F.lit(True))
     target = resolved.select(F.col("from_file").alias("file"), F.explode("names").alias("name"), "ord", "to_file").groupBy("file", "name").agg(F.max_by("to_file", "ord").alias("target"))
-    asked = used.distinct().where(~((F.col("kind") == "call") & F.col("name").isin(BUILTINS)))
+    asked = used.select("file", "kind", "name").distinct().where(~((F.col("kind") == "call") & F.col("name").isin(BUILTINS)))
     met = asked.join(own, ["file", "name"], "left").join(target, ["file", "name"], "left")
     met = met.select("kind", "name", F.col("file").alias("from_file"), F.when(F.col("own"), F.col("file")).otherwise(F.col("target")).alias("to_file")).where("to_file is not null")
     there = defined.select(F.col("file").alias("to_file"), "name").distinct()
     return met.where("kind = 'render'").unionByName(met.where("kind = 'call'").join(there, ["to_file", "name"], "left_semi"))
 
 
+def symbol_edges(used: DataFrame, defined: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, from_file, from_symbol, to_file, to_symbol), once each: the edges with the symbols that hold the uses. Uses
+    outside of every symbol, and a symbol's uses of itself, give none."""
+    held = holders(used, defined).where("holder is not null").select(F.col("file").alias("from_file"), "kind", "name", "holder").distinct()
+    rows = held.join(edges, ["from_file", "kind", "name"]).select("kind", "from_file", F.col("holder").alias("from_symbol"), "to_file", F.col("name").alias("to_symbol"))
+    return rows.where("from_file <> to_file or from_symbol <> to_symbol").distinct()
+
+
+def language(path) -> Column:
+    """typescript, tsx or javascript by the file's ending; null for others."""
+    end = F.regexp_extract(path, CODE_FILE, 1)
+    return F.when(end == "ts", "typescript").when(end == "tsx", "tsx").when(end != "", "javascript")
+
+
 def code_model(sources: DataFrame) -> dict[str, DataFrame]:
-    """Files, symbols, import edges and use edges of the code files among the sources."""
+    """Files in order of their paths, symbols, import edges, use edges by file and by symbol of the code files."""
     code = sources.where(F.col("path").rlike(CODE_FILE))
-    defined, resolved = symbols(code), resolve_imports(imports(code), code)
-    files = code.select("path", F.regexp_extract("path", CODE_FILE, 1).alias("language"), F.size(F.split("source", "\n", -1)).alias("loc"))
-    return {"files": files, "symbols": defined, "imports": import_edges(resolved), "edges": use_edges(uses(code), defined, resolved)}
+    defined, resolved, used = symbols(code), resolve_imports(imports(code), code), uses(code)
+    files = code.select("path", language(F.col("path")).alias("language"), F.size(F.split("source", "\n", -1)).alias("loc"))
+    edges = use_edges(used, defined, resolved)
+    return {"files": files, "symbols": defined, "imports": import_edges(resolved), "edges": edges, "symbol_edges": symbol_edges(used, defined, edges)}
+
+
+def as_run(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The model's tables with the names of a run's documents (see sources.artifacts.load_run)."""
+    kinds = {"renders": ("render", "Component"), "calls": ("call", "Symbol")}
+    out = {
+        "files": model["files"],
+        "symbols": model["symbols"].withColumnRenamed("file", "filePath"),
+        "imports": model["imports"].select(F.col("from_file").alias("fromFile"), F.col("to_file").alias("toFile"), F.col("imported_name").alias("importedName")),
+    }
+    for name, (kind, part) in kinds.items():
+        rows = model["symbol_edges"].where(F.col("kind") == kind)
+        out[name] = rows.select(F.col("from_symbol").alias(f"from{part}"), F.col("to_symbol").alias(f"to{part}"), F.col("from_file").alias("fromFile"), F.col("to_file").alias("toFile"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions.text import strip, words
@@ -16,11 +16,29 @@ def route_table(files: DataFrame) -> DataFrame:
     return routes.select("path", "pattern", F.regexp_count("pattern", F.lit(r"\[")).alias("n_dyn"), F.length("pattern").alias("len"), F.size(F.split("pattern", "/")).alias("segments"))
 
 
+def _segments(path) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _wild(segment: Column) -> Column:
+    return segment.startswith("[") & segment.endswith("]")
+
+
 def resolve_routes(paths: DataFrame, routes: DataFrame) -> DataFrame:
-    """(url_path, path): the best matching route; an equi-join on the number of segments, then the compiled pattern."""
-    rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.+*?^$(){}|\\])", r"\\$1"), r"\[[^/]*", "[^/]+"), F.lit("$"))
-    asked = paths.select("url_path").distinct().withColumn("segments", F.size(F.split("url_path", "/")))
-    met = asked.join(routes.withColumn("rx", rx), "segments").where("url_path rlike rx")
+    """(url_path, path): the best matching route: one with as many segments, each equal or a wildcard.
+
+    A route's key is its number of segments with its first literal segment and that one's place. A path gives one key
+    for each of its segments (and one for routes of wildcards only), so it meets only routes that agree in one word.
+    """
+    none = F.struct(F.lit(-1).alias("at"), F.lit("").alias("word"))
+    placed = lambda x: F.transform(x, lambda s, i: F.struct(i.alias("at"), s.alias("word")))
+    asked = paths.select("url_path").distinct()
+    mine = asked.select("url_path", _segments("url_path").alias("u")).select("url_path", "u", F.size("u").alias("n"), F.explode(F.concat(placed(F.col("u")), F.array(none))).alias("k"))
+    listed = routes.select("path", "pattern", "n_dyn", "len", _segments("pattern").alias("p"))
+    literal = F.filter(placed(F.col("p")), lambda x: ~_wild(x["word"]))
+    listed = listed.withColumns({"n": F.size("p"), "k": F.coalesce(F.get(literal, F.lit(0)), none)})
+    fits = F.forall(F.zip_with("p", "u", lambda p, u: _wild(p) | (p == u)), lambda ok: ok)
+    met = mine.join(listed, ["n", "k"]).where(fits)
     best = met.groupBy("url_path").agg(F.min(F.struct("n_dyn", (-F.col("len")).alias("l"), "pattern", "path")).alias("b"))
     return asked.join(best, "url_path", "left").select("url_path", F.col("b.path").alias("path"))
 

@@ -19,18 +19,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(edges: DataFrame) -> DataFrame:
+    """The edges as (node, src), node being the one depended on; checkpointed unless they are so already."""
+    if edges.columns == ["node", "src"]:
+        return edges
+    return checkpointed(edges.select(F.col("dst").alias("node"), "src"))
+
+
+def upstream_of_others(seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
+    """(node): nodes that depend within max_depth hops on a seed other than themselves; a seed may depend on another.
+
+    Each node keeps its two nearest different seeds at most (by level, then the least and the greatest new one), which
+    is enough: whatever reaches a node through another one, that one passes on two seeds no farther away.
+    """
+    edges = written(edges)
+    seen = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().select("node", F.col("node").alias("seed")))
+    frontier = seen
+    for _ in range(max_depth):
+        step = frontier.join(edges, "node").select(F.col("src").alias("node"), "seed").distinct().join(seen, ["node", "seed"], "left_anti")
+        new = step.groupBy("node").agg(F.min("seed").alias("a"), F.max("seed").alias("b"))
+        held = seen.groupBy("node").agg(F.count("*").alias("held"))
+        new = new.join(held, "node", "left").where("coalesce(held, 0) < 2")
+        pick = F.when(F.col("held").isNull() & (F.col("a") != F.col("b")), F.array("a", "b")).otherwise(F.array("a"))
+        frontier = checkpointed(new.select("node", F.explode(pick).alias("seed")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("node <> seed").select("node").distinct()
+
+
 def bounded_upstream(seeds: DataFrame, edges: DataFrame, max_depth: int = 6, enough: int | None = None) -> DataFrame:
     """(node, depth): nodes that depend on a seed within max_depth hops, seeds at depth 0.
 
     Semi-naive: each level joins only the newest nodes with the edges, and drops those seen before. Lineage is cut
-    at each level; the loop ends at the first empty level, so cycles and self-loops end too. With `enough`, it also ends after the level that reaches so many nodes.
+    at each level; the loop ends at the first empty level, so cycles and self-loops end too. With `enough`, it also ends
+    after the level that reaches so many nodes. The edges are written down once, by their ends alone, dealt by dst.
     """
+    edges = written(edges)
     seen = checkpointed(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):
         if enough is not None and seen.count() >= enough:
             break
-        step = frontier.join(edges.select(F.col("dst").alias("node"), "src"), "node").select(F.col("src").alias("node")).distinct()
+        step = frontier.join(edges, "node").select(F.col("src").alias("node")).distinct()
         frontier = checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -39,15 +70,31 @@ def bounded_upstream(seeds: DataFrame, edges: DataFrame, max_depth: int = 6, eno
 
 
 def upstream_sql(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """The same set as one recursive SQL plan; for sparse graphs, as UNION ALL keeps each path."""
+    """The same set as one recursive SQL plan. UNION ALL keeps each path, so it is for sparse graphs: the rows double
+    at each hop where two paths meet, and Spark stops a recursion at its row limit
+    (spark.sql.cteRecursionRowLimit). The loop has no such limit. The edges are written down once for all levels.
+    """
+    edges = written(edges)
     return spark.sql(
         """WITH RECURSIVE r(node, depth) AS (
-             SELECT node, 0 FROM {seeds} UNION ALL SELECT e.src, r.depth + 1 FROM r JOIN {edges} e ON e.dst = r.node WHERE r.depth < {depth})
+             SELECT node, 0 FROM {seeds} UNION ALL SELECT e.src, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
            SELECT node, min(depth) AS depth FROM r GROUP BY node""",
         seeds=seeds, edges=edges, depth=max_depth,
     )
 
 
+def upstream_of_others_sql(seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
+    """The set of upstream_of_others as one recursive SQL plan, for small and sparse graphs (see upstream_sql)."""
+    spark = seeds.sparkSession
+    first = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
+    return spark.sql(
+        """WITH RECURSIVE r(node, seed, depth) AS (
+             SELECT node, node, 0 FROM {seeds} UNION ALL SELECT e.src, r.seed, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
+           SELECT DISTINCT node FROM r WHERE node <> seed""",
+        seeds=first, edges=written(edges), depth=max_depth,
+    )
+
+
 def bfs_crawl(start: DataFrame, links: DataFrame, budget: int) -> DataFrame:
     """(node, depth, place): the first `budget` nodes breadth-first from the start along links (src to dst), by depth
     and then by node. Each level that is not empty adds a node, so there are at most `budget` levels."""

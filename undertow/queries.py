@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import text as X
-from undertow.operators import code, impact, report, resolve
+from undertow.functions import keys, model_output
+from undertow.operators import code, evaluate, graph, impact, mappings, report, resolve
+from undertow.operators.engine import Engine, Impact
 from undertow.plans.closure import bfs_crawl as crawl
-from undertow.plans.closure import bounded_upstream, upstream_sql
+from undertow.plans.closure import bounded_upstream, checkpointed, upstream_sql
 from undertow.plans.numbering import numbered
-from undertow.sources.bindings import Tables, clamp
+from undertow.sources import artifacts
+from undertow.sources.bindings import Tables, clamp, graph_of
 from undertow.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +145,8 @@ def _sources(t: Tables) -> DataFrame:
     way = F.concat(F.when(F.col("src") % 3 == 2, "../../m").otherwise("../m"), (F.col("dst") % 7).cast("string"), F.lit("/p"), F.col("dst").cast("string"))
     called = F.col("dst") % 2 == 0
     take = F.concat(F.lit("import "), F.when(called, F.expr("'{ use' || dst || ' }'")).otherwise(F.expr("'P' || dst")), F.lit(" from '"), way, F.lit("';"))
-    use = F.when(called, F.expr("'  use' || dst || '();'")).otherwise(F.expr("'  show(<P' || dst || ' />);'"))
+    # a .ts file has no tags; there the name is a type argument, which renders nothing
+    use = F.when(called, F.expr("'  use' || dst || '();'")).when(F.col("src") % 3 == 1, F.expr("'  let w: Promise<P' || dst || '>;'")).otherwise(F.expr("'  show(<P' || dst || ' />);'"))
     lines = t.depends().select("src", take.alias("take"), use.alias("use")).groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("take")).alias("top"), F.array_sort(F.collect_list("use")).alias("body"))
     own = F.expr("'export ' || CASE WHEN node % 2 = 0 THEN 'const use' || node || ' = () => {' ELSE 'function P' || node || '() {' END")
     empty = F.array().cast("array<string>")
@@ -161,11 +165,29 @@ def import_resolution(t: Tables) -> DataFrame:
     return code.import_edges(code.resolve_imports(code.imports(sources), sources))
 
 
-@query(f"SELECT from_file, to_file, kind, name FROM ({_FROM_TO})")
+@query(f"SELECT from_file, to_file, kind, name FROM ({_FROM_TO}) WHERE kind = 'call' OR NOT from_file LIKE '%.ts'")
 def edge_resolution(t: Tables) -> DataFrame:
     return code.code_model(_sources(t))["edges"]
 
 
+@query(f"""SELECT kind, from_file, holder AS from_symbol, to_file, name AS to_symbol FROM (SELECT *, CASE WHEN regexp_extract(from_file, '/p(\\d+)', 1)::BIGINT % 2 = 0 THEN 'use' ELSE 'P' END || regexp_extract(from_file, '/p(\\d+)', 1) AS holder FROM ({_FROM_TO}))
+    WHERE kind = 'call' OR NOT from_file LIKE '%.ts'""")
+def symbol_resolution(t: Tables) -> DataFrame:
+    """Edges between symbols: the one that holds a use, and the one that is used."""
+    return code.code_model(_sources(t))["symbol_edges"]
+
+
+@query(f"SELECT {_PATH.format(k='p_partkey')} AS path, CASE p_partkey % 3 WHEN 1 THEN 'typescript' ELSE 'tsx' END AS language FROM part")
+def language_names(t: Tables) -> DataFrame:
+    return t.nodes().select(_path("node").alias("path")).select("path", code.language(F.col("path")).alias("language"))
+
+
+@query("SELECT DISTINCT path, unnest(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda w: length(w) > 3)) AS word FROM (SELECT 'app/' || c_mktsegment || '/[handle' || c_nationkey || ']/page.tsx' AS path FROM customer)")
+def path_vocabulary(t: Tables) -> DataFrame:
+    paths = t.raw("customer").select(F.concat(F.lit("app/"), "c_mktsegment", F.lit("/[handle"), F.col("c_nationkey").cast("string"), F.lit("]/page.tsx")).alias("path")).distinct()
+    return paths.select("path", F.explode(X.vocabulary(F.col("path"))).alias("word"))
+
+
 @query(f"""SELECT o_custkey AS req, {_PATH.format(k='l_partkey')} AS file, max_by(round(least(1.0, greatest(0.0, l_discount * 15 - 0.2)), 6), struct_pack(o := l_orderkey, n := l_linenumber, p := l_extendedprice, d := l_discount)) AS confidence
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1, 2""")
 def resolve_files(t: Tables) -> DataFrame:
@@ -216,9 +238,28 @@ def coverage_gaps(t: Tables) -> DataFrame:
     return impact.coverage_gaps(t.requirements(), t.covered_by())
 
 
-@query("SELECT count(*) AS n, round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM covered")
+_LINKS = """SELECT req, CAST(confidence AS DOUBLE) AS confidence FROM covered UNION ALL SELECT req, CASE WHEN node % 4 = 0 THEN NULL ELSE 0.25 + (node % 3) / 4.0 END FROM implemented"""
+
+
+def _confident(t: Tables) -> Engine:
+    """An engine over the links alone; a quarter of the links to code have no confidence."""
+    sure = F.when(F.col("node") % 4 != 0, 0.25 + (F.col("node") % 3) / 4.0)
+    covered = t.covered_by().select(F.col("req").alias("src"), "confidence")
+    return Engine({"covered_by": covered, "implemented_by": t.implemented_by().select(F.col("req").alias("src"), sure.alias("confidence"))})
+
+
+@query(f"SELECT count(confidence) AS n, round(coalesce(avg(confidence), 0), 6) AS avg_confidence FROM ({_LINKS}) WHERE req % 2 = 0")
 def edge_confidence(t: Tables) -> DataFrame:
-    return t.covered_by().agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
+    """Links of the requirements asked for (those of even customers), to screens and to code, that have a confidence."""
+    asked = t.requirements().where("req % 2 = 0").select(F.col("req").alias("key"))
+    return _confident(t).confidence(asked).select("n", F.round("avg", 6).alias("avg_confidence"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS avg_confidence FROM (SELECT count(*) FROM customer WHERE c_custkey < 0)")
+def edge_confidence_of_none(t: Tables) -> DataFrame:
+    """No requirement asked for."""
+    asked = t.requirements().where("req < 0").select(F.col("req").alias("key"))
+    return _confident(t).confidence(asked).select("n", F.col("avg").alias("avg_confidence"))
 
 
 @query("SELECT CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM covered GROUP BY 1")
@@ -262,6 +303,129 @@ def layer_stats(t: Tables) -> DataFrame:
     return out
 
 
+_GRAPH = """files AS (SELECT DISTINCT p_partkey // 4 AS f FROM part), seed_files AS (SELECT DISTINCT node // 4 AS f FROM changed), seeds AS (SELECT p_partkey AS node FROM part WHERE p_partkey // 4 IN (SELECT f FROM seed_files)),
+    up AS (SELECT node, node AS seed, 0 AS depth FROM seeds UNION SELECT d.src, up.seed, up.depth + 1 FROM up JOIN depends d ON d.dst = up.node WHERE up.depth < 6),
+    upstream AS (SELECT DISTINCT node FROM up WHERE node <> seed AND node IN (SELECT p_partkey FROM part)), touched AS (SELECT f FROM seed_files UNION SELECT node // 4 FROM upstream),
+    at_screens AS (SELECT screen FROM rendered WHERE node // 4 IN (SELECT f FROM touched)), named AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'Order ' || o_orderkey ELSE 'https://shop.test/o/' || o_orderkey END AS name FROM orders),
+    moves AS (SELECT src, dst, a.name || ' > ' || b.name AS line FROM navigates JOIN named a ON a.k = src JOIN named b ON b.k = dst),
+    vias AS (SELECT req, coalesce('file ' || min(file), 'screen ' || min(url)) AS via FROM (SELECT req, 'lib/f' || (node // 4) || '.ts' AS file, NULL AS url FROM implemented WHERE node // 4 IN (SELECT f FROM touched)
+      UNION ALL SELECT req, NULL, 'https://shop.test/o/' || screen FROM covered WHERE screen IN (SELECT screen FROM at_screens)) GROUP BY req)"""
+
+
+@query(_with("").rstrip() + ", " + _GRAPH + """ SELECT 'changed' AS kind, 'lib/f' || f || '.ts' AS item FROM seed_files UNION ALL SELECT 'file', 'lib/f' || f || '.ts' FROM touched
+    UNION ALL SELECT 'symbol', p_name || ' ' || p_partkey FROM part WHERE p_partkey IN (SELECT node FROM seeds) UNION ALL SELECT 'upstream', p_name || ' ' || p_partkey FROM part WHERE p_partkey IN (SELECT node FROM upstream)
+    UNION ALL SELECT 'screen', name FROM named WHERE k IN (SELECT screen FROM at_screens) UNION ALL SELECT 'flow', line FROM moves WHERE src IN (SELECT screen FROM at_screens) OR dst IN (SELECT screen FROM at_screens)
+    UNION ALL SELECT 'flow inside', line FROM moves WHERE src IN (SELECT screen FROM at_screens) AND dst IN (SELECT screen FROM at_screens) UNION ALL SELECT 'requirement', 'R' || req || ' via ' || via FROM vias
+    UNION ALL SELECT 'losing', 'R' || req FROM covered GROUP BY req HAVING bool_and(screen IN (SELECT screen FROM at_screens)) UNION ALL SELECT 'uncovered', 'R' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)""")
+def impact_all(t: Tables) -> DataFrame:
+    """Everything that the changed files put at risk, by one call."""
+    return _flat(_impact(t, "loop"))
+
+
+@query("SELECT 0::BIGINT AS only_loop, 0::BIGINT AS only_sql FROM (SELECT count(*) FROM part)")
+def impact_agreement(t: Tables) -> DataFrame:
+    """Rows of one plan's impact that the other's lacks."""
+    both = _flat(_impact(t, "loop")).withColumn("side", F.lit(1)).unionByName(_flat(_impact(t, "sql")).withColumn("side", F.lit(-1)))
+    apart = both.groupBy("kind", "item").agg(F.sum("side").alias("side"))
+    return apart.agg(F.count_if(F.col("side") > 0).alias("only_loop"), F.count_if(F.col("side") < 0).alias("only_sql"))
+
+
+def _impact(t: Tables, plan: str) -> Impact:
+    files = t.changed().select(F.concat(F.lit("lib/f"), F.expr("node div 4").cast("string"), F.lit(".ts")).alias("path")).union(t.spark.range(1).select(F.lit("lib/unknown.ts")))
+    return Engine(graph_of(t), plan).impact(files)
+
+
+def _flat(i: Impact) -> DataFrame:
+    flow = F.concat("from_label", F.lit(" > "), "to_label")
+    parts = [("changed", i.changed, "path"), ("file", i.files, "path"), ("symbol", i.symbols, "name"), ("upstream", i.upstream_symbols, "name"), ("screen", i.screens, "label"), ("flow", i.flows, flow), ("flow inside", i.flows_inside, flow),
+             ("requirement", i.requirements, F.concat("req_id", F.lit(" via "), "via")), ("losing", i.losing_coverage, "req_id"), ("uncovered", i.uncovered, "req_id")]
+    out = None
+    for kind, df, item in parts:
+        one = df.select(F.lit(kind).alias("kind"), (F.col(item) if isinstance(item, str) else item).alias("item"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT (SELECT count(*) FROM customer) AS requirements, (SELECT count(DISTINCT req) FROM covered) AS covered, (SELECT count(*) FROM covered) AS cover_edges, (SELECT count(DISTINCT screen) FROM covered) AS cover_screens,
+    (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)) AS gaps, (SELECT count(*) FROM (SELECT DISTINCT req, node // 4 FROM implemented)) AS impl_edges, (SELECT count(DISTINCT node // 4) FROM implemented) AS impl_files,
+    0::BIGINT AS dangling_cover, 0::BIGINT AS dangling_impl, 0::BIGINT AS dangling_render, TRUE AS ok""")
+def graph_invariants(t: Tables) -> DataFrame:
+    return evaluate.invariants(graph_of(t))
+
+
+@query("""SELECT (SELECT count(DISTINCT p_partkey // 4) FROM part) AS files, (SELECT count(*) FROM part) AS symbols, (SELECT count(*) FROM customer) AS requirements, (SELECT count(*) FROM orders) AS screens, (SELECT count(*) FROM navigates) AS transitions,
+    (SELECT count(*) FROM depends WHERE dst % 2 = 1) AS render_edges, (SELECT count(*) FROM depends WHERE dst % 2 = 0) AS call_edges, (SELECT count(*) FROM (SELECT DISTINCT src // 4, dst // 4 FROM depends WHERE src // 4 <> dst // 4)) AS import_edges,
+    (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)) AS uncovered, (SELECT count(DISTINCT req) FROM covered) AS covered_by_ui, (SELECT count(DISTINCT req) FROM implemented) AS implemented_in_code""")
+def graph_stats(t: Tables) -> DataFrame:
+    return graph.layer_stats(graph_of(t))
+
+
+@query("SELECT row_number() OVER (ORDER BY 'R' || c_custkey) AS place, 'R' || c_custkey AS req_id FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)")
+def uncovered_ids(t: Tables) -> DataFrame:
+    """Ids of the gaps in the order of their letters, R10 before R2."""
+    ids = impact.coverage_gaps(t.requirements(), t.covered_by()).select(F.concat(F.lit("R"), F.col("req").cast("string")).alias("req_id"))
+    return numbered(ids, ["req_id"], "place")
+
+
+_SHOP = "SELECT c_custkey, 'https://shop.test/' || c_mktsegment || '/' || CASE WHEN c_custkey % 3 = 0 THEN 'list' WHEN c_custkey % 3 = 1 THEN 'a' || c_nationkey ELSE 'fr/' || c_nationkey END AS url FROM customer"
+_SHOP_FILES = "SELECT DISTINCT 'app/' || c_mktsegment || '/' || CASE c_nationkey % 4 WHEN 0 THEN '[id]' WHEN 1 THEN 'list' WHEN 2 THEN '[lang]/[id]' ELSE 'a' || c_nationkey END || '/page.tsx' AS path FROM customer"
+
+
+@query(f"""WITH files AS ({_SHOP_FILES}), routes AS (SELECT *, '^https://shop.test' || regexp_replace(pattern, '\\[[^/]*', '[^/]+', 'g') || '$' AS rx, length(pattern) - length(replace(pattern, '[', '')) AS d FROM (SELECT path, '/' || regexp_extract(path, '^app/(.+)/page\\.(tsx|ts|js|jsx)$', 1) AS pattern FROM files)),
+    shop AS ({_SHOP}), met AS (SELECT url, min(struct_pack(d := d, l := -length(pattern), p := pattern, path := path)).path AS path FROM (SELECT DISTINCT url FROM shop) JOIN routes ON regexp_matches(url, rx) GROUP BY url),
+    first AS (SELECT url, min(c_custkey) AS k FROM shop GROUP BY url), moves AS (SELECT o_custkey AS a, CASE WHEN o_orderkey % 10 = 0 THEN -1 ELSE o_orderkey % 100 END AS b FROM orders)
+    SELECT 'rendered' AS kind, 'acme/shop::screen::s' || c_custkey AS src, 'acme/shop:' || path AS dst FROM shop JOIN met USING (url)
+    UNION ALL SELECT DISTINCT 'moves', 'acme/shop::screen::s' || x.k, 'acme/shop::screen::s' || y.k FROM moves JOIN shop p ON p.c_custkey = a JOIN shop q ON q.c_custkey = b JOIN first x ON x.url = p.url JOIN first y ON y.url = q.url WHERE x.k <> y.k""")
+def screen_edges(t: Tables) -> DataFrame:
+    """Which file renders each screen, by its route, and navigation between screens, by the urls of both ends."""
+    tail = F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'list' WHEN c_custkey % 3 = 1 THEN concat('a', c_nationkey) ELSE concat('fr/', c_nationkey) END")
+    shop = t.raw("customer").select("c_custkey", F.concat(F.lit("https://shop.test/"), "c_mktsegment", F.lit("/"), tail).alias("url"))
+    blank = F.lit("")
+    screens = shop.select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("screenId"), "url", blank.alias("title"), blank.alias("label"), blank.alias("purpose"), F.col("c_custkey").alias("seq"))
+    ends = t.raw("orders").select(F.col("o_custkey").alias("a"), F.expr("if(o_orderkey % 10 = 0, -1, o_orderkey % 100)").alias("b"))
+    moves = ends.join(shop.select(F.col("c_custkey").alias("a"), F.col("url").alias("fromUrl")), "a").join(shop.select(F.col("c_custkey").alias("b"), F.col("url").alias("toUrl")), "b", "left")
+    moves = moves.select("fromUrl", F.coalesce("toUrl", F.lit("https://shop.test/none")).alias("toUrl"))
+    got = graph.screen_layer({"screens": screens, "transitions": moves}, "acme/shop", _files(t))
+    return got["rendered_by"].select(F.lit("rendered").alias("kind"), "src", "dst").unionByName(got["navigates_to"].select(F.lit("moves").alias("kind"), "src", "dst"))
+
+
+@query("""WITH last AS (SELECT o_custkey AS k, max(o_orderkey) AS o FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1), known AS (SELECT k, o FROM last), part_ids AS (SELECT p_partkey FROM part),
+    cover AS (SELECT k FROM known WHERE o % 3 <> 1 AND k IN (SELECT p_partkey FROM part_ids))
+    SELECT 'covered' AS kind, 'R' || k AS req, 's' || k AS target, 1.0::DOUBLE AS confidence FROM cover UNION ALL SELECT 'implemented', 'R' || k, 'lib/' || k || '.ts', 0.5 FROM known WHERE k % 2 = 0 AND k IN (SELECT p_partkey FROM part_ids)
+    UNION ALL SELECT 'gap', 'R' || c_custkey, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT k FROM cover)""")
+def mappings_resolved(t: Tables) -> DataFrame:
+    """Links proposed by the orders, the last of a customer counting, resolved against the parts as screens and files."""
+    key = F.col("p_partkey").cast("string")
+    screens = t.raw("part").select(F.concat(F.lit("s"), key).alias("screen_id"), F.col("p_partkey").alias("seq"), F.concat(F.lit("https://x.test/"), key).alias("url"), F.lit("").alias("title"), F.col("p_name").alias("label"))
+    files = t.raw("part").where("p_partkey % 2 = 0").select(F.concat(F.lit("lib/"), key, F.lit(".ts")).alias("path"))
+    names = F.expr("CASE o_orderkey % 3 WHEN 0 THEN ' https://x.test/' || o_custkey WHEN 1 THEN 'Totally unknown thing' ELSE 'Part (https://x.test/' || o_custkey || ') ' END")
+    asked = F.array(F.struct(names.alias("name"), F.lit(1.7).alias("confidence")))
+    paths = F.array(F.struct(F.expr("'lib/' || o_custkey || '.ts '").alias("path"), F.lit(None).cast("double").alias("confidence")))
+    req = F.concat(F.lit("R"), F.col("o_custkey").cast("string"))
+    proposals = t.raw("orders").select(req.alias("req_id"), F.col("o_orderkey").alias("ord"), asked.alias("screens"), paths.alias("files"))
+    got = mappings.resolve_mappings(t.raw("customer").select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("req_id")), screens, proposals, files)
+    none = F.lit(None).cast("string")
+    rows = [("covered", got["covered_by"], F.col("screen_id"), F.col("confidence")), ("implemented", got["implemented_by"], F.col("path"), F.col("confidence")), ("gap", got["gaps"], none, none.cast("double"))]
+    out = None
+    for kind, df, target, confidence in rows:
+        one = df.select(F.lit(kind).alias("kind"), F.col("req_id").alias("req"), target.alias("target"), confidence.alias("confidence"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT 'file' AS kind, 'acme/store:' || p_name AS key FROM part UNION ALL SELECT 'symbol', 'acme/store:' || p_name || '::' || p_partkey FROM part UNION ALL SELECT 'screen', 'acme/store::screen::' || left(sha1(url), 12) FROM pages
+    UNION ALL SELECT 'req', 'acme/store::req::R' || c_custkey FROM customer UNION ALL SELECT 'gap', 'acme/store::req::R' || c_custkey || '::gap' FROM customer""")
+def node_keys(t: Tables) -> DataFrame:
+    ns, part, req = F.lit("acme/store"), t.raw("part"), t.raw("customer").select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("r"))
+    rows = [("file", part, keys.file_key(ns, F.col("p_name"))), ("symbol", part, keys.symbol_key(ns, F.col("p_name"), F.col("p_partkey").cast("string"))), ("screen", t.raw("pages"), keys.screen_key(ns, X.screen_id(F.col("url")))),
+            ("req", req, keys.requirement_key(ns, F.col("r"))), ("gap", req, keys.gap_key(ns, F.col("r")))]
+    out = None
+    for kind, df, key in rows:
+        one = df.select(F.lit(kind).alias("kind"), key.alias("key"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- urls, links, routes -----------------------------------------------------------------------
 
 _NORM = r"""regexp_replace(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)), '^(http://.*):80$', '\1') ||
@@ -294,14 +458,20 @@ def page_links(t: Tables) -> DataFrame:
     return _links(t).select("page_id", "href").distinct()
 
 
-_SAME = f"""SELECT DISTINCT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href ELSE href END AS target FROM ({_HTML})
-    WHERE href LIKE '/%' OR starts_with(href, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/')"""
+# Every other page also links to itself in capitals with the default port, and to another origin.
+_LINKED = f"""SELECT page_id, url, href FROM ({_HTML}) UNION ALL SELECT page_id, url, 'HTTP://' || upper(regexp_extract(url, '://([^/?#]+)', 1)) || CASE WHEN url LIKE 'http:%' THEN ':80' ELSE '' END || '/self' FROM pages WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, url, 'http://other.test/' FROM pages WHERE page_id % 2 = 0"""
+_SAME = f"""SELECT DISTINCT page_id, CASE WHEN href LIKE '/%' THEN lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) || href ELSE href END AS target FROM ({_LINKED})
+    WHERE href LIKE '/%' OR regexp_replace(lower(regexp_extract(href, '^([A-Za-z]+://[^/?#]+)', 1)), '^(http://.*):80$', '\\1') = lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))"""
 
 
 def _targets(t: Tables) -> DataFrame:
-    home = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
-    full = F.when(F.col("href").startswith("/"), F.concat(home, "href")).otherwise(F.col("href"))
-    return _links(t).where(F.col("href").startswith("/") | F.startswith("href", F.concat(home, F.lit("/")))).select("page_id", full.alias("target")).distinct()
+    host = F.upper(F.regexp_extract("url", "://([^/?#]+)", 1))
+    own = F.concat(F.lit("HTTP://"), host, F.when(F.col("url").startswith("http:"), ":80").otherwise(""), F.lit("/self"))
+    more = t.raw("pages").where("page_id % 2 = 0").select("page_id", "url", F.explode(F.array(own, F.lit("http://other.test/"))).alias("href"))
+    rows = _links(t).unionByName(more)
+    full = F.when(F.col("href").startswith("/"), F.concat(X.origin(F.col("url")), "href")).otherwise(F.col("href"))
+    return rows.where(X.origin(F.col("url")) == X.origin_of(F.col("url"), F.col("href"))).select("page_id", full.alias("target")).distinct()
 
 
 @query(_SAME)
@@ -365,7 +535,8 @@ _ASK = "CASE p_partkey % 6 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN 'Shown
 
 
 @query(f"""WITH known AS (SELECT p_name AS name, 'part' || max(p_partkey) AS id, min(p_partkey) AS pos FROM part GROUP BY 1 UNION ALL SELECT url, 'page' || page_id, 1000000000000 + page_id FROM pages),
-    asked AS (SELECT p_partkey, {_ASK} AS ask FROM part JOIN pages ON page_id = p_partkey % 50), a AS (SELECT *, trim(ask) AS x, trim(regexp_extract(ask, '\\(([^)]+)\\)\\s*$', 1)) AS paren, trim(regexp_replace(ask, '\\([^(]*$', '')) AS bare FROM asked),
+    asked AS (SELECT p_partkey, {_ASK} AS ask FROM (SELECT coalesce(p_partkey, page_id) AS p_partkey, coalesce(p_name, 'page only') AS p_name, coalesce(url, 'no url') AS url
+      FROM part FULL JOIN pages ON page_id = p_partkey)), a AS (SELECT *, trim(ask) AS x, trim(regexp_extract(ask, '\\(([^)]+)\\)\\s*$', 1)) AS paren, trim(regexp_replace(ask, '\\([^(]*$', '')) AS bare FROM asked),
     tok AS (SELECT name, id, pos, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w FROM known WHERE name NOT LIKE 'http%'),
     ax AS (SELECT DISTINCT x, list_distinct(list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS w FROM a),
     fuzzy AS (SELECT x, id FROM (SELECT x, id, pos, len(list_intersect(ax.w, tok.w)) / greatest(len(ax.w), len(tok.w)) AS score FROM ax, tok) WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, pos) = 1),
@@ -376,7 +547,9 @@ def resolve_cascade(t: Tables) -> DataFrame:
     part, pages = t.raw("part"), t.raw("pages")
     names = part.select(F.col("p_name").alias("name"), F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("ord"))
     names = names.union(pages.select("url", F.concat(F.lit("page"), F.col("page_id").cast("string")), F.col("page_id") + 1000000000000))
-    asked = part.join(pages.select((F.col("page_id")).alias("at"), "url"), F.col("p_partkey") % 50 == F.col("at")).select("p_partkey", F.expr(_ASK).alias("ask"))
+    both = part.join(pages, F.col("p_partkey") == F.col("page_id"), "full")  # every part asks, and every page's url is asked for
+    asked = both.select(F.coalesce("p_partkey", "page_id").alias("p_partkey"), F.coalesce("p_name", F.lit("page only")).alias("p_name"), F.coalesce("url", F.lit("no url")).alias("url"))
+    asked = asked.select("p_partkey", F.expr(_ASK).alias("ask"))
     return asked.join(resolve.resolve_cascade(asked, names), "ask").select("p_partkey", "step", "id")
 
 
@@ -425,11 +598,13 @@ def requirement_ids(t: Tables) -> DataFrame:
     return numbered(firsts, ["first"]).select(F.concat(F.lit("R"), F.col("number").cast("string")).alias("req_id"), "title")
 
 
-@query("SELECT coalesce(role, 'total') AS tag, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS input, round(coalesce(100.0 * sum(CASE WHEN turn > 0 THEN length(text) ELSE 0 END) / nullif(sum(length(text)), 0), 0), 1) AS cached_percent FROM conversations GROUP BY ROLLUP (role)")
+@query("SELECT CASE WHEN grouping(role) = 1 THEN 'total' ELSE role END AS tag, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS input, round(coalesce(100.0 * sum(CASE WHEN turn > 0 THEN length(text) ELSE 0 END) / nullif(sum(length(text)), 0), 0), 1) AS cached_percent FROM (SELECT CASE WHEN role = 'system' THEN NULL ELSE role END AS role, turn, text FROM conversations) GROUP BY ROLLUP (role)")
 def usage_rollup(t: Tables) -> DataFrame:
-    rows = t.raw("conversations").select("role", F.length("text").alias("n"), F.when(F.col("turn") > 0, F.length("text")).otherwise(0).alias("c"))
+    """By role, and in total; the system's rows count as without a role, which is a group of its own."""
+    role = F.when(F.col("role") != "system", F.col("role"))
+    rows = t.raw("conversations").select(role.alias("role"), F.length("text").alias("n"), F.when(F.col("turn") > 0, F.length("text")).otherwise(0).alias("c"))
     share = F.round(F.coalesce(100.0 * F.sum("c") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), 1)
-    return rows.rollup("role").agg(F.count("*").alias("calls"), F.sum("n").alias("input"), share.alias("cached_percent")).select(F.coalesce("role", F.lit("total")).alias("tag"), "calls", "input", "cached_percent")
+    return rows.rollup("role").agg(F.count("*").alias("calls"), F.sum("n").alias("input"), share.alias("cached_percent"), F.grouping("role").alias("g")).select(F.when(F.col("g") == 1, "total").otherwise(F.col("role")).alias("tag"), "calls", "input", "cached_percent")
 
 
 # --- texts --------------------------------------------------------------------------------------------
@@ -464,20 +639,20 @@ def jaccard_docs(t: Tables) -> DataFrame:
     return docs.join(following, "doc_id").select("doc_id", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("score"))
 
 
-@query("SELECT w AS word, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM documents) WHERE w NOT IN (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3)) FROM benchmark) GROUP BY w")
+@query("SELECT w AS word, count(*) AS docs FROM (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM documents) WHERE w NOT IN (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3)) FROM benchmark) GROUP BY w")
 def vocab_guard(t: Tables) -> DataFrame:
     known = t.raw("benchmark").select(F.explode(X.words(F.col("text"), 3)).alias("word")).distinct()
-    found = t.raw("documents").select("doc_id", F.explode(X.words(F.col("text"), 3)).alias("word"))
-    return found.groupBy("word").agg(F.count_distinct("doc_id").alias("docs")).join(known, "word", "left_anti")
+    found = t.raw("documents").select(F.explode(X.words(F.col("text"), 3)).alias("word"))
+    per = found.groupBy("word").agg(F.count("*").alias("docs"))
+    return per.join(known, "word", "left_anti")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3)) AS w FROM conversations)
-    SELECT a.turn AS i, b.turn AS k, round(avg(len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w))))), 6) AS score FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1, 2""")
+    SELECT a.turn AS i, b.turn AS k, round(avg(CASE WHEN len(list_concat(a.w, b.w)) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END), 6) AS score FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1, 2""")
 def pairwise_jaccard(t: Tables) -> DataFrame:
     c = t.raw("conversations").select("conv_id", "turn", X.words(F.col("text"), 3).alias("w"))
     pairs = c.select("conv_id", F.col("turn").alias("i"), F.col("w").alias("a")).join(c.select("conv_id", F.col("turn").alias("k"), F.col("w").alias("b")), "conv_id").where("i < k")
-    score = F.size(F.array_intersect("a", "b")) / F.greatest(F.lit(1), F.size(F.array_union("a", "b")))
-    return pairs.groupBy("i", "k").agg(F.round(F.avg(score), 6).alias("score"))
+    return pairs.groupBy("i", "k").agg(F.round(F.avg(X.jaccard(F.col("a"), F.col("b"))), 6).alias("score"))
 
 
 @query("SELECT c_mktsegment AS section, coalesce(nullif(string_agg('- ' || n, chr(10) ORDER BY n), ''), '_none_') AS body FROM (SELECT DISTINCT c_mktsegment, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1")
@@ -490,24 +665,30 @@ _BAND = "CASE WHEN a >= 0.75 THEN 'high' WHEN a >= 0.5 THEN 'medium' ELSE 'low'
 _REPORT = {
     "Screens at risk": "SELECT 'order ' || screen AS line FROM risky",
     "User flows affected": "SELECT src || ' → ' || dst AS line FROM navigates WHERE src IN (SELECT screen FROM risky) AND dst IN (SELECT screen FROM risky)",
+    "Requirements at risk": "SELECT '**' || req || '** — via ' || via AS line FROM at_risk",
     "Requirements losing coverage": "SELECT '**' || req || '**' AS line FROM covered GROUP BY req HAVING bool_and(screen IN (SELECT screen FROM risky))",
     "Pre-existing gaps": "SELECT '**' || c_custkey || '**' AS line FROM customer WHERE c_custkey NOT IN (SELECT req FROM covered)",
     "What changed in code": "SELECT 'part ' || node AS line FROM changed",
 }
+_AT_RISK = """at_risk AS (SELECT req, coalesce('file ' || min(node), 'screen ' || min(screen)) AS via FROM (SELECT req, node, NULL AS screen FROM implemented WHERE node IN (SELECT node FROM affected)
+    UNION ALL SELECT req, NULL, screen FROM covered WHERE screen IN (SELECT screen FROM risky)) GROUP BY req)"""
 
 
-@query(" UNION ALL ".join(f"SELECT {report.TITLES.index(k)} AS section, '- ' || line AS line FROM ({v}) UNION ALL SELECT {report.TITLES.index(k)}, '_none_' WHERE NOT EXISTS ({v})" for k, v in _REPORT.items())
+@query(_with("").rstrip() + ", " + _AT_RISK + " " + " UNION ALL ".join(f"SELECT {report.TITLES.index(k)} AS section, '- ' || line AS line FROM ({v}) UNION ALL SELECT {report.TITLES.index(k)}, '_none_' WHERE NOT EXISTS ({v})" for k, v in _REPORT.items())
        + f" UNION ALL SELECT {report.TITLES.index('Confidence')}, 'average ' || CAST(round(a * 100) AS BIGINT) || '% across ' || n || ' cross-layer links (' || {_BAND} || ' band)' FROM (SELECT avg(confidence) AS a, count(*) AS n FROM covered)")
 def impact_report(t: Tables) -> DataFrame:
-    risky, covered = _risky(t), t.covered_by()
+    affected = checkpointed(_affected(t))
+    screens = checkpointed(impact.screens_at_risk(affected, t.rendered_by()))
+    risky, covered = screens.select("screen"), t.covered_by()
     bold = F.concat(F.lit("**"), F.col("req").cast("string"), F.lit("**"))
     parts = [
         report.bullets(risky, "Screens at risk", F.concat(F.lit("order "), F.col("screen").cast("string"))),
         report.bullets(impact.flows_inside(t.navigates(), risky), "User flows affected", F.concat(F.col("src").cast("string"), F.lit(" → "), F.col("dst").cast("string"))),
+        report.bullets(impact.requirements_at_risk(covered, t.implemented_by(), screens, affected), "Requirements at risk", F.concat(bold, F.lit(" — via "), "via")),
         report.bullets(impact.losing_coverage(covered, risky), "Requirements losing coverage", bold),
         report.bullets(impact.coverage_gaps(t.requirements(), covered), "Pre-existing gaps", bold),
         report.bullets(t.changed(), "What changed in code", F.concat(F.lit("part "), F.col("node").cast("string"))),
-        report.confidence_line(covered).select(F.lit(report.TITLES.index("Confidence")).alias("section"), "line"),
+        report.confidence_line(covered.agg(F.count("*").alias("n"), F.avg("confidence").alias("avg"))).select(F.lit(report.TITLES.index("Confidence")).alias("section"), "line"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -515,6 +696,88 @@ def impact_report(t: Tables) -> DataFrame:
     return out
 
 
+# --- narratives, snapshots, a model's answers -------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 3)) AS w FROM conversations WHERE role = 'assistant'),
+    p AS (SELECT a.conv_id, count(*) AS pairs, avg(CASE WHEN len(list_concat(a.w, b.w)) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END) AS m FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1)
+    SELECT conv_id, coalesce(pairs, 0) AS pairs, CAST(round(coalesce(m, 1) * 100) AS BIGINT) AS percent FROM (SELECT DISTINCT conv_id FROM w) LEFT JOIN p USING (conv_id)""")
+def narrative_stability(t: Tables) -> DataFrame:
+    """How much the assistant's turns of one conversation, as runs of one narrative, agree; 100 where there is one only."""
+    runs = t.raw("conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("run"), "text")
+    return evaluate.stability(runs, ["conv_id"])
+
+
+_SHOWN = "array_to_string(list_transform(range(1, len(h) + 1), lambda i: 'link [ref=e' || i || CASE WHEN i % 3 = 0 THEN ']' ELSE ', url=' || h[i] || ']' END), ' ')"
+
+
+@query(f"""WITH known AS (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3)) AS w FROM benchmark UNION SELECT unnest({evaluate.COMMON!r})),
+    words AS (SELECT doc_id, unnest(l) AS word, unnest(range(0, len(l))) AS pos FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+') AS l FROM documents)),
+    c AS (SELECT *, lower(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) AS bare FROM words WHERE NOT regexp_matches(word, '^[a-z]') AND word <> upper(word)),
+    f AS (SELECT doc_id, bare, min(pos) AS pos, arg_min(word, pos) AS word FROM c WHERE length(bare) >= 5 AND bare NOT IN (SELECT w FROM known) GROUP BY 1, 2)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place, word, count(*) OVER (PARTITION BY doc_id) AS mentions FROM f QUALIFY place <= 15""")
+def guard_words(t: Tables) -> DataFrame:
+    """Words of each document that may be names and that neither the benchmark nor the common words know."""
+    told = t.raw("benchmark").select(F.explode(X.words(F.col("text"), 3)).alias("word"))
+    known = evaluate.vocabulary([told, t.spark.createDataFrame([(w,) for w in evaluate.COMMON], "word string")])
+    return evaluate.suspicious(t.raw("documents").select("doc_id", "text"), ["doc_id"], known)
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages), s AS (SELECT page_id, {_SHOWN} AS text FROM p),
+    m AS (SELECT page_id, regexp_extract_all(text, '\\[ref=(\\w+)(?:, url=([^\\],\\s]+))?\\]', 1) AS r, regexp_extract_all(text, '\\[ref=(\\w+)(?:, url=([^\\],\\s]+))?\\]', 2) AS u FROM s)
+    SELECT page_id, unnest(r) AS ref, nullif(unnest(u), '') AS url FROM m""")
+def snapshot_refs(t: Tables) -> DataFrame:
+    """Marks of elements in a snapshot's text; a third of them have no url."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    one = lambda h, i: F.concat(F.lit("link [ref=e"), (i + 1).cast("string"), F.when((i + 1) % 3 == 0, "]").otherwise(F.concat(F.lit(", url="), h, F.lit("]"))))
+    shown = t.raw("pages").select("page_id", F.array_join(F.transform(hrefs, one), " ").alias("text"))
+    return shown.select("page_id", F.explode(X.snapshot_refs(F.col("text"))).alias("m")).select("page_id", "m.ref", "m.url")
+
+
+@query("""SELECT user_id AS url, event_type AS role, 'v' || CAST(floor(value) AS BIGINT) AS name, 'e' || coalesce(min(event_id) FILTER (event_id % 2 = 0), min(event_id)) AS ref FROM events GROUP BY 1, 2, 3""")
+def snapshot_merge(t: Tables) -> DataFrame:
+    """Elements of each user's page after a second snapshot (odd events): the first one's stay, unseen ones join them."""
+    rows = t.raw("events").select(F.col("user_id").alias("url"), F.col("event_type").alias("role"), F.concat(F.lit("v"), F.floor("value").cast("string")).alias("name"), "event_id")
+    first = lambda odd: rows.where(F.col("event_id") % 2 == odd).groupBy("url", "role", "name").agg(F.min("event_id").alias("id")).withColumn("ref", F.concat(F.lit("e"), F.col("id").cast("string")))
+    return artifacts.elements_again(first(0), first(1))
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text FROM pages),
+    n AS (SELECT *, row_number() OVER () AS pos FROM l), f AS (SELECT page_id, CASE WHEN href LIKE '/%' THEN o || href ELSE href END AS href, text, pos FROM n)
+    SELECT page_id, href, left(trim(regexp_replace(arg_min(text, pos), '\s+', ' ', 'g')), 120) AS text FROM f WHERE href LIKE 'http%' GROUP BY 1, 2""")
+def page_link_texts(t: Tables) -> DataFrame:
+    return artifacts.links(t.raw("pages"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE 'https://x.test/' || c_custkey END AS label FROM customer")
+def screen_labels(t: Tables) -> DataFrame:
+    given, title = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(""), F.when(F.col("c_custkey") % 3 != 2, F.col("c_mktsegment"))
+    return t.raw("customer").select("c_custkey", X.label(given, title, F.concat(F.lit("https://x.test/"), F.col("c_custkey").cast("string"))).alias("label"))
+
+
+@query("SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'press ' || p_name ELSE '' END AS user_action, CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE 'medium' END AS priority FROM part WHERE p_partkey % 5 <> 0")
+def answered_requirements(t: Tables) -> DataFrame:
+    """Requirements from a model's answers; a fifth of them have no title."""
+    one = F.struct(F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit(" "), "p_name", F.lit(" "))).otherwise("").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("press "), "p_name")).alias("user_action"), F.when(F.col("p_partkey") % 3 == 0, "high").alias("priority"))
+    answers = t.raw("part").select("p_partkey", F.concat(F.lit("Here: "), F.to_json(F.struct(F.array(one).alias("requirements"))), F.lit(" done.")).alias("answer"))
+    return model_output.requirements(answers).select("p_partkey", "title", "user_action", "priority")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE left(repeat(p_name, 20), 80) END AS label, least(8, p_size)::INT AS actions FROM part")
+def answered_labels(t: Tables) -> DataFrame:
+    """Labels of screens from a model's answers, cut to 80 characters and 8 actions; the title stands in for a seventh."""
+    answer = F.to_json(F.struct(F.when(F.col("p_partkey") % 7 != 0, F.repeat("p_name", F.lit(20))).alias("label"), F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: i.cast("string")).alias("primary_actions")))
+    got = model_output.labels(t.raw("part").select("p_partkey", F.col("p_name").alias("title"), answer.alias("answer")))
+    return got.select("p_partkey", "label", F.size("primary_actions").alias("actions"))
+
+
+@query("SELECT p_partkey, p_name AS path FROM part WHERE p_partkey % 4 <> 3")
+def changed_paths(t: Tables) -> DataFrame:
+    """Paths that the lines of a report name as changed."""
+    line = F.expr("CASE p_partkey % 4 WHEN 0 THEN '- ' || p_name || ' (modified, +1/-2)' WHEN 1 THEN '- ' || p_name || ' (added, +1/-0)' WHEN 2 THEN '- ' || p_name || ' (renamed' ELSE '- ' || p_name || ' (seen)' END")
+    return t.raw("part").select("p_partkey", X.changed_path(line).alias("path")).where("path is not null")
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertow.functions.text import origin
+
 ELEMENT = "struct<ref:string,role:string,name:string,href:string,inputType:string,placeholder:string>"
 SCREEN = f"struct<screenId:string,url:string,title:string,label:string,purpose:string,primaryActions:array<string>,keyComponents:array<string>,elements:array<{ELEMENT}>,screenshotPath:string,snapshotPath:string,visited:boolean>"
 TRANSITION = "struct<fromUrl:string,toUrl:string,action:string,elementText:string,elementRef:string>"
@@ -73,7 +75,30 @@ def source_tree(spark: SparkSession, folder: str, most_bytes: int = 2_000_000) -
     return kept.select(F.substring(near, len(folder.rstrip("/")) + 2, 1 << 30).alias("path"), F.col("content").cast("string").alias("source"))
 
 
-def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes each table as Parquet below the folder."""
+def readme(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): each file as one text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def links(pages: DataFrame, most_text: int = 120) -> DataFrame:
+    """(page_id, href, text) of pages (page_id, url, html): links that lead to http addresses, the first text of each
+    href with white space as single blanks. A path means an address on the page's own origin."""
+    found = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*?\shref="([^"]*)"[^>]*>(.*?)</a>'), F.lit(0))
+    rows = pages.select("page_id", "url", F.posexplode(F.transform(found, lambda x: F.struct(F.regexp_extract(x, r'(?is)\shref="([^"]*)"', 1).alias("href"), F.regexp_replace(x, r"(?is)<[^>]*>", " ").alias("text")))).alias("at", "a"))
+    href = F.when(F.col("a.href").rlike("^/(?!/)"), F.concat(origin(F.col("url")), F.col("a.href"))).otherwise(F.col("a.href"))
+    text = F.left(F.trim(F.regexp_replace("a.text", r"\s+", " ")), F.lit(most_text))
+    rows = rows.select("page_id", href.alias("href"), text.alias("text"), "at").where(F.col("href").rlike("(?i)^https?:"))
+    return rows.groupBy("page_id", "href").agg(F.min_by("text", "at").alias("text"))
+
+
+def elements_again(known: DataFrame, again: DataFrame) -> DataFrame:
+    """(url, ref, role, name) of a page's elements after a second snapshot: those known, and of the others each role and
+    name once."""
+    new = again.join(known.select("url", "role", "name").distinct(), ["url", "role", "name"], "left_anti")
+    return known.select("url", "ref", "role", "name").unionByName(new.select("url", "ref", "role", "name"))
+
+
+def save(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+    """Writes each table below the folder, as Parquet or as JSON lines."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").format(kind).save(f"{folder}/{name}")

@@ -54,3 +54,24 @@ class Tables:
 def clamp(x):
     """A confidence between 0 and 1, 0.5 where none is given."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x.cast("double"), F.lit(0.5))))
+
+
+def graph_of(t: Tables) -> dict[str, DataFrame]:
+    """The star schema as one graph: parts are symbols, four to a file; orders are screens, customers requirements."""
+    text = lambda c: F.col(c).cast("string")
+    file = lambda c: F.concat(F.lit("lib/f"), F.expr(f"{c} div 4").cast("string"), F.lit(".ts"))
+    parts = t.raw("part").select(text("p_partkey").alias("key"), file("p_partkey").alias("path"), F.concat("p_name", F.lit(" "), text("p_partkey")).alias("name"))
+    orders = t.raw("orders").select(text("o_orderkey").alias("key"), F.concat(F.lit("https://shop.test/o/"), text("o_orderkey")).alias("url"), F.lit("").alias("title"), F.expr("if(o_orderkey % 2 = 0, 'Order ' || o_orderkey, '')").alias("label"))
+    edges = lambda df, a, b: df.select(text(a).alias("src"), b.alias("dst"))
+    covered, gaps = t.covered_by(), t.requirements().join(t.covered_by(), "req", "left_anti")
+    depends = t.depends()
+    implemented = t.implemented_by().select(text("req").alias("src"), file("node").alias("dst")).distinct().withColumn("confidence", F.lit(0.5))
+    return {
+        "files": parts.select(F.col("path").alias("key"), "path").distinct(), "symbols": parts,
+        "imports": depends.select(file("src").alias("src"), file("dst").alias("dst")).where("src <> dst").distinct(),
+        "renders": edges(depends.where("dst % 2 = 1"), "src", text("dst")), "calls": edges(depends.where("dst % 2 = 0"), "src", text("dst")),
+        "screens": orders, "navigates_to": edges(t.navigates(), "src", text("dst")), "rendered_by": edges(t.rendered_by(), "screen", file("node")),
+        "requirements": t.raw("customer").select(text("c_custkey").alias("key"), F.concat(F.lit("R"), text("c_custkey")).alias("req_id"), F.col("c_name").alias("title")),
+        "covered_by": covered.select(text("req").alias("src"), text("screen").alias("dst"), "confidence"), "implemented_by": implemented,
+        "gaps": gaps.select(text("req").alias("src")),
+    }
