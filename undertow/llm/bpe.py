@@ -190,11 +190,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     back = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)]
     short = rows.where(~long_text).select(keep.alias("row"), text.alias("t")).select("row", whole("t").alias("r"))
     # written down, so that a text keeps its number when an executor is lost and its input is read again
-    tall = materialise(rows.where(long_text).select(F.monotonically_increasing_id().alias("uid"), keep.alias("row"), text.alias("t")))
+    rest = F.struct(*[F.lit(None).cast(rows.schema[c].dataType).alias(f"c{i}") if c == text_col else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    tall = materialise(rows.where(long_text).select(F.monotonically_increasing_id().alias("uid"), rest.alias("row"), text.alias("t")))
     cuts = F.sequence(F.lit(0), F.length("t") - 1, F.lit(leaf))
     leaves = tall.select("uid", "row", "t", F.explode(cuts).alias("at"))
     leaves = leaves.select("uid", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(F.col("t"), F.col("at") + 1, F.lit(leaf)).alias("piece"))
     leaves = leaves.repartition("uid", "at").withColumn("e", each("piece"))
     met = leaves.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "e.ids", "e.starts", "e.ends"))).alias("leaves"), F.first("row", ignorenulls=True).alias("row"))
+    if text_col in cols:
+        whole_text = F.array_join(F.transform("leaves", lambda x: x["piece"]), "")
+        met = met.withColumn("row", F.struct(*[(whole_text if c == text_col else F.col(f"row.c{i}")).alias(f"c{i}") for i, c in enumerate(cols)]))
     out = short.union(met.select("row", tree("leaves").alias("r")))
     return out.select(*back, "r.ids", "r.n_tokens", "r.decoded")

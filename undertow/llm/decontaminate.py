@@ -11,7 +11,7 @@ items, null and empty ones leak nowhere, as a few common words are no passage.
 A text's key is a hash of its content, and an item's too: copies share hits, ids may be null or shared, and each row
 is verified with its own text. The seed table is broadcast only below `small_seeds` rows, counted first; beyond that
 the hashes are shuffled. Hits, some 20 bytes each, are written down; Spark sends them to the texts where they are
-below spark.sql.autoBroadcastJoinThreshold and shuffles both sides by key beyond it.
+at most a million, counted first, and shuffles both sides by key beyond it.
 
 Null and empty texts hold nothing; texts of any length are read whole. One n-gram that a text repeats m times and an
 item q times makes m * q hits, which each task sums by diagonal before they are shuffled. Of several diagonals the one
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.shared import materialise
+from undertow.llm.shared import few, materialise
 
 SPAN = 12
 
@@ -62,11 +62,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     spans = sorted(r[0] for r in tests.select(F.least(F.size("t"), F.lit(SPAN))).distinct().collect()) or [SPAN]
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     wanted = _seeds(tests, "whole", spans, own=True).withColumnRenamed("at", "q")
-    few = wanted.limit(small_seeds + 1).count() <= small_seeds
     seeds = _seeds(texts.select("key", tokens(F.col("text")).alias("t")), "key", spans)
-    hits = seeds.join(F.broadcast(wanted) if few else wanted, "seed")
+    hits = seeds.join(few(wanted, small_seeds), "seed")
     hits = materialise(hits.select("key", "whole", (F.col("at") - F.col("q")).alias("d")).distinct())
-    met = texts.join(hits, "key").join(listed, "whole")
+    met = texts.join(few(hits), "key").join(listed, "whole")
     rows = met.select("doc", "item", "d", "u", tokens(F.col("text")).alias("t"))
     first = F.greatest(F.lit(0), -F.col("d"))
     n = F.least(F.size("u"), F.size("t") - F.col("d")) - first

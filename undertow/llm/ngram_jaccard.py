@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import connected_components, discard, materialise, mix, small_batches, text_blocks, word_hashes
+from undertow.llm.shared import connected_components, discard, few, materialise, mix, small_batches, text_blocks, word_hashes
 
 _U = np.uint64
 #: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
@@ -268,8 +268,8 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     promised = base.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
     large = materialise(large.join(promised, ["node", "c"]).drop("c"))
 
-    few = grouped.where(f"size <= {SMALL}").select("sig", "node")
-    listed = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")
+    small = grouped.where(f"size <= {SMALL}").select("sig", "node")
+    listed = small.join(small.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")
     pairs = materialise(listed.union(_with_pivots(large)).distinct())
     discard(grouped)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
@@ -278,7 +278,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     need = materialise(reps.join(need, "node", "left_semi").select(F.col("rep").alias("doc"), "node"))
-    sets = rows.join(need.select("doc").distinct(), "doc", "left_semi").select("text").mapInArrow(_fragments(width), "node long, v int, part array<long>")
+    sets = rows.join(few(need.select("doc").distinct()), "doc", "left_semi").select("text").mapInArrow(_fragments(width), "node long, v int, part array<long>")
     if not base.join(need, ["doc", "node"], "left_semi").groupBy("doc", "node").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["node", "v"])  # only rows that repeat an id and its text can give a set twice
     sets = materialise(sets)

@@ -130,6 +130,29 @@ def _secret_sql() -> str:
 _LISTED = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_dedup": r"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+ sym AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT a, b FROM sym UNION SELECT r.a, y.b FROM reach r JOIN sym y ON y.a = r.b),
+ n AS (SELECT a, count(*) AS n FROM sym GROUP BY a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op7_decontaminate": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+ i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS u FROM benchmark),
+ dt AS (SELECT doc_id, len(t) AS nd, unnest(t) AS tok, unnest(range(len(t))) AS p FROM d), it AS (SELECT item_id, len(u) AS ni, unnest(u) AS tok, unnest(range(len(u))) AS q FROM i WHERE len(u) >= 6),
+ m AS (SELECT doc_id, item_id, p - q AS d, q, least(12, ni) AS w, greatest(0, q - p) AS f, least(ni, nd - (p - q)) AS e FROM dt JOIN it USING (tok)),
+ g AS (SELECT *, count(*) OVER x AS n, count(*) OVER (x ORDER BY q RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS c FROM m WHERE e - f >= w WINDOW x AS (PARTITION BY doc_id, item_id, d)),
+ b AS (SELECT doc_id, item_id, any_value(n) AS matched, any_value(e - f) AS overlap, any_value(f + d) AS start, greatest(coalesce(max(c) FILTER (q <= e - w), 0), count(*) FILTER (q >= e - w)) AS best, any_value(w) AS w FROM g WHERE n >= w - 1 GROUP BY doc_id, item_id, d)
+ SELECT doc_id, item_id, matched, overlap, start, best FROM b WHERE best >= w - 1 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, overlap DESC, start, best DESC) = 1""",
+    "op3_sharding": r"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+ r AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, x: xor(a >> 8, tab[1 + xor(a & 255, x)])), 4294967295::BIGINT) AS crc FROM documents, tab),
+ s AS (SELECT *, sum(size) OVER o - size AS start, row_number() OVER o - 1 AS place, sum(size) OVER () AS total FROM r WINDOW o AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+ p AS (SELECT *, least(23, (2 * start + size) * 24 // (2 * total)) AS shard FROM s)
+ SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
+    "op1_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+ e AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM s),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a, b FROM sym UNION SELECT r.a, y.b FROM reach r JOIN sym y ON y.a = r.b)
+ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(reach.b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.s""",
     "op5_secret_scan": _secret_sql(),
     "op9_url_filter": f"""WITH rules(action, h, p) AS (VALUES {_LISTED}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END AS host,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),

@@ -7,7 +7,7 @@ with the regexes of the rules that found it. A rule without mandatory trigrams s
 
 A text's key is a hash of its content, so that copies share postings; an equal key of another text only adds a
 candidate, which verification removes. The candidates, 20 bytes or so each, are written down; Spark sends them to the
-texts where they are below spark.sql.autoBroadcastJoinThreshold and shuffles both sides by key beyond it.
+texts where they are at most 200,000, counted first, and shuffles both sides by key beyond it.
 
 There may be any number of rules and of trigrams in a clause. Null texts are empty, empty ones hold nothing, and long
 ones are scanned whole; a text's spans are put together in time quadratic in their number. Rows stay one to one,
@@ -23,7 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.shared import materialise, spare_name
+from undertow.llm.shared import few, materialise, spare_name
 
 
 @dataclass(frozen=True)
@@ -160,7 +160,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str
         listed = spark.createDataFrame([(i, rules[i].pattern, rules[i].group, rules[i].least) for i in queries], "rule int, rx string, of int, least int")
         met = met.select("key", F.explode("rules").alias("rule")).join(F.broadcast(listed), "rule")  # the rules again
         met = materialise(met.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("rx", "of", "least", "rule")).alias(found)))
-        rows = rows.withColumn(key, F.xxhash64(text)).join(met, key, "left")
+        rows = rows.withColumn(key, F.xxhash64(text)).join(few(met, 200_000), key, "left")
         each = F.transform(F.col(found), lambda r: _spans(text, r["rx"], r["of"], r["least"], r["rule"]))
         parts.append(F.coalesce(F.flatten(each), F.array().cast(SPANS)))
     return rows.withColumn(out_col, F.array_sort(F.concat(*parts))).drop(*spare)

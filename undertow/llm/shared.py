@@ -47,12 +47,39 @@ def materialise(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = path
     weakref.finalize(out, _written.pop, id(out), None)
+    for block in scratch.open[-1:]:
+        block.tables.append(out)
     return out
 
 
 _written: dict[int, str] = {}
 
 
+class scratch:  # noqa: N801
+    """A block whose materialised tables are deleted at its end, but for those given to `keep`."""
+
+    open: list[scratch] = []
+
+    def __enter__(self) -> scratch:
+        self.tables: list[DataFrame] = []
+        scratch.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not df]
+        return df
+
+    def __exit__(self, *failure) -> None:
+        scratch.open.remove(self)
+        discard(*self.tables)
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast where it has at most `most`, counted first; beyond that Spark
+    joins it as it does any other."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what materialise wrote for these tables; no later plan may read them."""
     for df in tables:
