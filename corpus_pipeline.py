@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undertow.llm import bpe, decontaminate, language_id, ngram_jaccard, secret_scan
 from undertow.llm.queries import table, tokenizer_path
-from undertow.llm.shared import materialise, spare_name
+from undertow.llm.shared import few, materialise, scratch, spare_name
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,33 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of rows linked by 80 % of their word 5-grams, keeps one: that of the smallest id, a null id
-    last. Rows are told apart by a key of their own, so rows of a null or shared id go only as copies of another text."""
+    """Of each component of texts linked by 80 % of their word 5-grams, keeps one row: that of the smallest id, a null id
+    last. Rows are told apart by a hash of id and text, so rows of a null or shared id go only as copies of another text;
+    of rows equal in both one stays. Null and empty texts are no copies of anything and stay."""
     row = spare_name(docs, "_row")
-    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
-    members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col=row)
-    found = members.select(row, "component_id").join(rows.select(row, "doc_id"), row)
-    found = materialise(found.select(row, "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")))
-    least = found.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
-    gone = materialise(found.join(least, "component_id").where("rank <> least").select(row))
-    return rows.join(gone, row, "left_anti").select(docs.columns)
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    with scratch() as tables:
+        members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col=row)
+        seen = members.where("n_shingles > 0").groupBy(row, "component_id").agg(F.count("*").alias("times"))
+        found = seen.join(rows.groupBy(row).agg(F.min("doc_id").alias("doc_id")), row)
+        found = materialise(found.select(row, "times", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")))
+        least = found.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
+        gone = tables.keep(materialise(found.join(least, "component_id").where("rank <> least").select(row)))
+        twice = tables.keep(materialise(found.where("times > 1").select(row).join(gone, row, "left_anti")))
+    kept = rows.join(few(gone), row, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(few(twice), row, "left_anti").unionByName(kept.join(few(twice), row, "left_semi").dropDuplicates([row]))
+    return kept.select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item. The text decides, by its digest: ids may be null or shared."""
-    known = docs.withColumn("_digest", F.sha2("text", 256))
-    leaks = decontaminate.find_leaks(known, table(spark, sf_dir, "benchmark"), id_col="_digest")
-    return known.join(leaks.select(F.col("doc").alias("_digest")).distinct(), "_digest", "left_anti").select(docs.columns)
+    """Drops documents that hold a passage of a benchmark item. The text decides, by its hash, and with it all its copies;
+    ids may be null or shared. Null and empty texts stay."""
+    text = spare_name(docs, "_text")
+    known = docs.withColumn(text, F.xxhash64("text", F.lit(7)))
+    leaks = decontaminate.find_leaks(known, table(spark, sf_dir, "benchmark"), id_col=text)
+    leaking = materialise(leaks.select(F.col("doc").alias(text)).distinct())
+    return known.join(few(leaking), text, "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
