@@ -74,7 +74,8 @@ def connect(graph: Graph, proposals: DataFrame, namespace: str) -> Graph:
 
 
 def build(run: Graph, namespace: str, proposals: DataFrame | None = None) -> Graph:
-    """The whole graph of a run's tables (see sources.artifacts.load_run). Without proposals every requirement is a gap."""
+    """The whole graph of a run's tables (see sources.artifacts.load_run). Without proposals every requirement is a gap.
+    Nothing runs yet: save the graph and load it again before many questions are put to it."""
     out = code_layer(run, namespace)
     out |= screen_layer(run, namespace, out["files"])
     out["requirements"] = requirement_layer(run, namespace)
