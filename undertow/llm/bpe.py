@@ -113,7 +113,7 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 # --- tables -----------------------------------------------------------------------------
 
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
-_CACHE = 100_000  # words a task keeps; beyond that it starts afresh
+_CACHE = 50_000  # words a task keeps; beyond that it starts afresh
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokens: dict[str, np.ndarray] = {}
 

@@ -259,7 +259,8 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     reps = materialise(parts.groupBy("node").agg(F.min("least").alias("rep")))
 
     signed = rows.where("doc is not null and text is not null").select("text").mapInArrow(_signer(percent, width), "sig long, node long")
-    found = materialise(signed.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
+    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the widest shuffle; small sorts
+    found = materialise(signed.repartitionByRange(ranges, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
     buckets = found.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialise(found.join(buckets, "sig"))
     discard(found)

@@ -141,13 +141,13 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > len(_powers.get("up", ())):
         for name, base in (("up", _STEP), ("down", _BACK)):
-            x = np.full(max(n, 1 << 20), base, _U)
+            x = np.full(max(n, 1 << 18), base, _U)
             x[0] = 1
             _powers[name] = np.cumprod(x)
     return _powers["up"], _powers["down"]
 
 
-def text_blocks(column: pa.Array, most: int = 1 << 19):
+def text_blocks(column: pa.Array, most: int = 1 << 17):
     """Yields (first row, bytes, offsets) for runs of rows of about `most` bytes, without cutting a text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
