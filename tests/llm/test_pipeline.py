@@ -2,10 +2,12 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
 from tests.llm.test_near_copies import brute
 from tests.llm.test_texts import base_spans, leaks_brute
 
 import corpus_pipeline
+from undertow.llm.shared import materialise
 
 
 def test_pipeline(spark, sf_dir):
@@ -39,3 +41,22 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir):
         docs = out
     got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     assert got == {4: ("a word", 6), 5: ("[SECRET] here", 13)}
+
+
+def test_stages_take_columns_of_clashing_names(spark, sf_dir):
+    """Columns named like those that the operators make themselves stay as they are; the last stage takes any rows."""
+    names = ["_row", "_text", "_lang", "_score", "_key", "_found", "_spans", "_guess", "lang_pred", "score", "spans", "component_id", "node", "doc", "item", "key", "ids", "n_tokens"]
+    odd = [(1, None, "en", "s", None), (None, "", "de", None, 0), (4, "a word here", "en", "s", 11), (4, "a word here", "en", "s", 11), (5, "token=abcdefgh here", "en", "s", 19), (6, "long " * 9000, "en", "s", 45000)]
+    docs = spark.createDataFrame(odd, spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(f"mine {i}"))
+    start = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+        assert docs.columns == start.columns
+    rows = docs.collect()
+    assert sorted(r.doc_id for r in rows) == [4, 5, 6] and all(r[n] == f"mine {i}" for r in rows for i, n in enumerate(names))
+    last = corpus_pipeline.STAGES[-1][1]
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in last(spark, start, sf_dir).collect())
+    assert [i for i, _ in got] == [0, 1, 4, 4, 5, 6] and [n > 0 for _, n in got] == [False, False, True, True, True, True]
+    assert last(spark, start.limit(0), sf_dir).count() == 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import materialise, small_batches
+from undertow.llm.shared import give_back, materialise, small_batches
 
 LEAF, WINDOW = 32_768, 48
 _loaded: dict = {}
@@ -147,6 +147,16 @@ def _result(path: str, ids: list[bytes]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([decode(path, i) for i in ids], pa.string())], ["ids", "n_tokens", "decoded"])
 
 
+_batches = 0
+
+
+def _breathe(every: int = 16) -> None:
+    global _batches
+    _batches += 1
+    if _batches % every == 0:
+        give_back()
+
+
 def _functions(path: str, leaf_size: int, by_words: bool):
     place = "<u2" if leaf_size < 1 << 16 else "<u4"  # of a character within its leaf
 
@@ -157,15 +167,18 @@ def _functions(path: str, leaf_size: int, by_words: bool):
             some = text.slice(at, 128).to_pylist()
             ids = encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
             out.append(_result(path, ids))
+        _breathe()
         return pa.concat_arrays(out)
 
     @arrow_udf("ids binary, starts binary, ends binary")
     def leaf(text: pa.Array) -> pa.Array:
+        _breathe()
         parts = [[v.astype(k).tobytes() for v, k in zip(encode_part(load(path), x.as_py()), ("<u4", place, place), strict=True)] for x in text]
         return pa.StructArray.from_arrays([pa.array([p[i] for p in parts], pa.binary()) for i in range(3)], ["ids", "starts", "ends"])
 
     @arrow_udf(_RESULT_DDL)
     def tree(leaves: pa.Array) -> pa.Array:
+        _breathe()
         out = []
         for row in leaves:
             row = row.as_py()
@@ -182,7 +195,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded. by_words: the tokenizer drops white space and
     never joins what stands on either side of it, so texts of one leaf are encoded by their different words."""
     whole, each, tree = _functions(tokenizer_path, leaf, by_words)
-    rows = small_batches(docs, 500).drop("ids", "n_tokens", "decoded")
+    rows = small_batches(docs, 100).drop("ids", "n_tokens", "decoded")
     cols = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_text = F.length(text) > leaf

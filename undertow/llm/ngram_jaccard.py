@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from undertow.llm.shared import connected_components, discard, few, materialise, mix, small_batches, text_blocks, word_hashes
+from undertow.llm.shared import connected_components, discard, few, give_back, materialise, mix, small_batches, text_blocks, word_hashes
 
 _U = np.uint64
 #: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
@@ -192,6 +192,7 @@ def _signer(percent: int, width: int):
                     yield _batch(sigs, nodes)
                     sigs, nodes, held = [], [], 0
             yield _batch(sigs, nodes)
+        give_back()
 
     return sign
 
@@ -219,6 +220,7 @@ def _fragments(width: int):
                 parts.extend(x[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             v = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), FRAGMENTS)), pa.array(v), _lists(parts, np.int64)], ["node", "v", "part"])
+        give_back()
 
     return cut_up
 

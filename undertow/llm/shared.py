@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -100,6 +101,19 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+_trim = None
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system, as workers are kept for later stages: that of Arrow's pool, and
+    that of the C library where it can (glibc)."""
+    global _trim
+    pa.default_memory_pool().release_unused()
+    if _trim is None:
+        _trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    _trim(0)
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """A column name like this one that the table does not have (names differ in more than case)."""
     taken = {c.lower() for c in df.columns}
