@@ -173,8 +173,8 @@ def _profile(percent: int, width: int):
     return profile
 
 
-def _signer(percent: int, width: int):
-    """(sig, node) of each set; copies within a task give theirs once."""
+def _signer(percent: int, width: int, part: int, parts: int):
+    """(sig, node) of each set, of the signatures those of one part; copies within a task give theirs once."""
 
     def sign(batches):
         plans, seen = {}, set()
@@ -185,7 +185,8 @@ def _signer(percent: int, width: int):
                 if not len(x) or node[0] in seen:
                     continue
                 seen.add(node[0])
-                sigs.append(signatures(x, percent, plans))
+                s = signatures(x, percent, plans)
+                sigs.append(s[(s >> _U(3)) % _U(parts) == _U(part)])
                 nodes.append(np.repeat(node, len(sigs[-1])))
                 held += len(sigs[-1])
                 if held > 200_000:
@@ -247,12 +248,15 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["sig", "node"])
 
 
-def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3, passes: int = 1) -> tuple[DataFrame, DataFrame]:
     """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
     and component_id (smallest id reachable by links). links: verified pairs of nodes that span the components, as
     the smallest ids with these sets (a, b, overlap); pairs within one component beyond those are not listed.
+
+    The signatures are by far the widest shuffle. With `passes` they are made and grouped in so many parts, one after the
+    other, each of which reads the texts again: less disk for more time, the same result.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialise(rows.select("doc", _profile(percent, width)("text").alias("p")).select("doc", "p.*"))
@@ -260,12 +264,15 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     parts = salted.where("n > 0 and doc is not null").groupBy("node", "salt").agg(F.min("doc").alias("least"))  # a hot set has many rows: by salt first
     reps = materialise(parts.groupBy("node").agg(F.min("least").alias("rep")))
 
-    signed = rows.where("doc is not null and text is not null").select("text").mapInArrow(_signer(percent, width), "sig long, node long")
-    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the widest shuffle; small sorts
-    found = materialise(signed.repartitionByRange(ranges, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the widest shuffle; small sorts
+    found = None
+    for part in range(passes):
+        signed = rows.where("doc is not null and text is not null").select("text").mapInArrow(_signer(percent, width, part, passes), "sig long, node long")
+        some = materialise(signed.repartitionByRange(ranges, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_repeated, "sig long, node long"))
+        found = some if found is None else found.union(some)
     buckets = found.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialise(found.join(buckets, "sig"))
-    discard(found)
+    discard(found)  # (of several passes they stay until the caller's block ends)
     large = grouped.where(f"size > {SMALL}").withColumn("c", F.expr(f"cast(sig & {_CLASSES - 1} as int)"))
     held = large.groupBy("node", "c").agg(F.count("*").alias("held"))
     promised = base.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
@@ -373,11 +380,11 @@ def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent
     own = members.where("a = b").select("a", F.col("c").alias("ca"))
     direct = members.where("a <> b").join(own, "a").where("c <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     group = members.where("a <> b").join(known.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    apart = _side_by_side(group, sets).select("a", "b", "c", "nb", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
+    apart = _side_by_side(group.select("a", "b"), sets).select("a", "b", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
     apart = materialise(apart)
     counts = apart.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
     # shingles that only one document of the pivot has are first in the order and are only counted
-    held = apart.groupBy("a", "b", "c", "nb").agg(F.count("*").alias("size"))
+    held = apart.groupBy("a", "b").agg(F.count("*").alias("size")).join(group, ["a", "b"])
     common = apart.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
     lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
     discard(apart)
@@ -386,8 +393,11 @@ def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent
     long = F.col("size") - F.greatest(F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r) - 1e-9), F.lit(1)) + 1 - F.col("own")
 
     def prefix(n, name: str) -> DataFrame:
-        part = lists.where(n > 0).select("a", "b", "c", "size", F.explode(F.slice("list", F.lit(1), n.cast("int"))).alias("x"))
-        return part.select("a", F.col("x.e").alias("e"), F.col("b").alias(name), F.col("c").alias(f"c{name}"), F.col("size").alias(f"s{name}"))
+        part = lists.where(n > 0).select("a", "b", "c", "size", "nb", F.size("list").alias("m"), F.posexplode(F.slice("list", F.lit(1), n.cast("int"))).alias("at", "x"))
+        named = {"b": name, "c": f"c{name}", "size": f"s{name}", "nb": f"n{name}"}
+        return part.select("a", F.col("x.e").alias("e"), *[F.col(k).alias(v) for k, v in named.items()], (F.col("m") - F.col("at")).alias(f"r{name}"))
 
-    met = prefix(short, "x").join(prefix(long, "y"), ["a", "e"]).where("(sx < sy or sx = sy and x < y) and cx <> cy")
+    # at the first shingle that both have, no more than what is left of either list can be common to both
+    enough = (2 * F.least("rx", "ry") >= F.col("sx") + F.col("sy") - r * (F.col("nx") + F.col("ny")) - 1e-6) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    met = prefix(short, "x").join(prefix(long, "y"), ["a", "e"]).where("(sx < sy or sx = sy and x < y) and cx <> cy").where(enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(direct).distinct()
