@@ -28,7 +28,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     row = spare_name(docs, "_row")
     rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     with scratch() as tables:
-        members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col=row)
+        members, _ = ngram_jaccard.link(rows, percent=80, width=5, id_col=row, passes=2)
         seen = members.where("n_shingles > 0").groupBy(row, "component_id").agg(F.count("*").alias("times"))
         found = seen.join(rows.groupBy(row).agg(F.min("doc_id").alias("doc_id")), row)
         found = materialise(found.select(row, "times", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")))
