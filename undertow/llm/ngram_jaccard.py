@@ -263,6 +263,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     salted = base.select("doc", "n", "node", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).alias("salt"))
     parts = salted.where("n > 0 and doc is not null").groupBy("node", "salt").agg(F.min("doc").alias("least"))  # a hot set has many rows: by salt first
     reps = materialise(parts.groupBy("node").agg(F.min("least").alias("rep")))
+    kinds = materialise(base.where("n > 0 and doc is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.first("shares").alias("shares")))  # copies once
 
     ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the widest shuffle; small sorts
     found = None
@@ -275,7 +276,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     discard(found)  # (of several passes they stay until the caller's block ends)
     large = grouped.where(f"size > {SMALL}").withColumn("c", F.expr(f"cast(sig & {_CLASSES - 1} as int)"))
     held = large.groupBy("node", "c").agg(F.count("*").alias("held"))
-    promised = base.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
+    promised = kinds.join(held, "node").where(F.col("held") >= F.get("shares", F.col("c"))).select("node", "c").distinct()
     large = materialise(large.join(promised, ["node", "c"]).drop("c"))
 
     small = grouped.where(f"size <= {SMALL}").select("sig", "node")
@@ -283,7 +284,7 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     pairs = materialise(listed.union(_with_pivots(large)).distinct())
     discard(grouped)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    known = materialise(base.where("doc is not null").join(ends, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sizes"))
+    known = materialise(kinds.join(ends, "node", "left_semi").select("node", "n", "sizes"))
     pairs = materialise(_possible(pairs, known, percent))
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
