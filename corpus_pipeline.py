@@ -33,7 +33,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
         found = seen.join(rows.groupBy(row).agg(F.min("doc_id").alias("doc_id")), row)
         found = materialise(found.select(row, "times", "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank")))
         least = found.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
-        gone = tables.keep(materialise(found.join(least, "component_id").where("rank <> least").select(row)))
+        least = least.select("component_id", "least", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))  # a component may hold a third of all rows
+        salted = found.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(32)).cast("int"))
+        gone = tables.keep(materialise(salted.join(least, ["component_id", "salt"]).where("rank <> least").select(row)))
         twice = tables.keep(materialise(found.where("times > 1").select(row).join(gone, row, "left_anti")))
     kept = rows.join(few(gone), row, "left_anti")
     if not twice.isEmpty():
