@@ -189,6 +189,19 @@ def test_bpe_tables(spark, sf_dir, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(e, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_any_number_of_rules_and_trigrams(spark):
+    """200 rules, one with a clause of 98 trigrams, one without any; each span equals a plain search."""
+    long = "".join(chr(97 + i * i % 26) for i in range(100))
+    rules = secret_scan.BASE + tuple(secret_scan.Rule(f"k{i}", rf"KEY{i}_[a-z]{{4,}}") for i in range(200)) + (secret_scan.Rule("long", long + "[0-9]"), secret_scan.Rule("any", "[#]{3,}", 0, 4))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([f"KEY{rng.randrange(210)}_abcd", f"key{rng.randrange(210)}_abcd", f"{long}7", long, "####", "###", "token=abcdef9", "word"]) for _ in range(12)) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.k, x.e) for x in r.spans] for r in secret_scan.scan(docs, rules).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "") if len(m[r.group]) >= r.least]
+        assert got[i] == sorted(want)
+
+
 # --- licences, urls, shards ----------------------------------------------------------------------
 
 
