@@ -23,6 +23,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     text = F.col(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(F.length(text), F.lit(0)) + overhead).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("crc"))
     order = ["id", "crc", "size"]
+    rows = materialise(rows)  # texts are read once; what follows sees three numbers a row
     rows = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
