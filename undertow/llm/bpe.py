@@ -113,7 +113,7 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 # --- tables -----------------------------------------------------------------------------
 
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
-_CACHE = 50_000  # words a task keeps; beyond that it starts afresh
+_CACHE = 100_000  # words a task keeps; beyond that it starts afresh
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokens: dict[str, np.ndarray] = {}
 
@@ -150,7 +150,7 @@ def _result(path: str, ids: list[bytes]) -> pa.Array:
 _batches = 0
 
 
-def _breathe(every: int = 16) -> None:
+def _breathe(every: int = 32) -> None:
     global _batches
     _batches += 1
     if _batches % every == 0:
@@ -195,7 +195,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """Adds ids (little-endian unsigned 32-bit), n_tokens and decoded. by_words: the tokenizer drops white space and
     never joins what stands on either side of it, so texts of one leaf are encoded by their different words."""
     whole, each, tree = _functions(tokenizer_path, leaf, by_words)
-    rows = small_batches(docs, 100).drop("ids", "n_tokens", "decoded")
+    rows = small_batches(docs, 300).drop("ids", "n_tokens", "decoded")
     cols = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     long_text = F.length(text) > leaf
