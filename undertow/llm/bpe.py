@@ -113,7 +113,7 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 # --- tables -----------------------------------------------------------------------------
 
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
-_CACHE = 100_000  # words a task keeps; beyond that it starts afresh
+_CACHE = 200_000  # words a task keeps; beyond that it starts afresh
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokens: dict[str, np.ndarray] = {}
 
@@ -150,7 +150,7 @@ def _result(path: str, ids: list[bytes]) -> pa.Array:
 _batches = 0
 
 
-def _breathe(every: int = 32) -> None:
+def _breathe(every: int = 64) -> None:
     global _batches
     _batches += 1
     if _batches % every == 0:
