@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, url_filter
+from undertow.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 # Public licence texts and notices to look for, (template, text).
 _DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
@@ -143,7 +148,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", F.col("l.template").alias("license"), "l.coverage", "l.matched", F.col("l.start").alias("span_start"), F.col("l.end").alias("span_end"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup, op11_vector_codes)}
 
 
 def _secret_sql() -> str:
@@ -162,6 +167,26 @@ def _secret_sql() -> str:
         FROM documents LEFT JOIN spans USING (doc_id) GROUP BY doc_id"""
 
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Each round as two tables: the nearest entry of every part, and the entries it leaves."""
+
+    def assigned(k: int) -> str:
+        near = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+        return f"a{k} AS MATERIALIZED (SELECT rid, part, x, e, CAST(near AS BIGINT) AS near FROM (SELECT rid, part, x, e, {near} AS near FROM p JOIN c{k} USING (part)) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY near, e) = 1)"
+
+    steps = [assigned(0)]
+    for k in range(1, rounds + 1):
+        means = f"SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (SELECT part, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{k - 1}) GROUP BY part, e, i) GROUP BY part, e"
+        steps += [f"c{k} AS MATERIALIZED (SELECT part, e, coalesce(m, y) AS y FROM c{k - 1} LEFT JOIN ({means}) USING (part, e))", assigned(k)]
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+        c0 AS MATERIALIZED (SELECT part, rid - 1 AS e, x AS y FROM p WHERE rid <= {entries}), {", ".join(steps)},
+        books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds}),
+        coded AS (SELECT rid, string_agg(lpad(format('{{:x}}', e), 2, '0'), '' ORDER BY part) AS code, CAST(sum(near) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (rid), books"""
+
+
 _LISTED = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -189,6 +214,7 @@ ORACLE_SQL: dict[str, str] = {
  sym AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a, b FROM sym UNION SELECT r.a, y.b FROM reach r JOIN sym y ON y.a = r.b)
  SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(reach.b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.s""",
     "op5_secret_scan": _secret_sql(),
+    "op11_vector_codes": _codes_sql(),
     "op9_url_filter": f"""WITH rules(action, h, p) AS (VALUES {_LISTED}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END AS host,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
         met AS (SELECT page_id, h || p AS rule, action FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) = 1)
