@@ -103,7 +103,8 @@ class Codebooks:
         """Runs of vectors as (row, part, position); Python's integers where 64 bits could overflow."""
         step = max(1, BLOCK // max(1, self.length))
         for at in range(0, len(column), step):
-            yield whole(column.slice(at, step), self.parts * self.width, self.scale).reshape(-1, self.parts, self.width)
+            x = whole(column.slice(at, step), self.parts * self.width, self.scale)
+            yield x.reshape(len(x), self.parts, self.width)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         entries = self.entries
@@ -141,7 +142,7 @@ def first_books(kept: DataFrame, parts: int, entries: int, scale: int) -> Codebo
     width = -(-length // parts)
     rows = kept.orderBy(F.col("id").asc_nulls_last(), "v").select("v").limit(entries).collect()
     x = whole(pa.array([r.v for r in rows], pa.list_(pa.float64())), parts * width, scale)
-    return Codebooks(x.reshape(-1, parts, width).transpose(1, 0, 2), length, scale)
+    return Codebooks(x.reshape(len(x), parts, width).transpose(1, 0, 2), length, scale)
 
 
 def improve(kept: DataFrame, books: Codebooks) -> Codebooks:
@@ -153,7 +154,7 @@ def improve(kept: DataFrame, books: Codebooks) -> Codebooks:
         for batch in batches:
             for x in books.blocks(batch.column(0)):
                 place = (books.assign(x)[0] + np.arange(books.parts) * size).reshape(-1)
-                flat, order = x.reshape(-1, width), np.argsort(place, kind="stable")
+                flat, order = x.reshape(place.size, width), np.argsort(place, kind="stable")
                 starts = np.flatnonzero(np.diff(place[order], prepend=-1))
                 if len(starts) and width:  # a block has at most 2**18 values of 53 bits
                     parts = flat[order].astype(object) if np.abs(flat).max(initial=0) >= 1 << 40 else flat[order]
