@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, url_filter, vector_codes
+from undertow.llm import bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, keep=2000)
+
+
 # Public licence texts and notices to look for, (template, text).
 _DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
@@ -148,7 +152,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", F.col("l.template").alias("license"), "l.coverage", "l.matched", F.col("l.start").alias("span_start"), F.col("l.end").alias("span_end"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup, op11_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup, op11_vector_codes, op13_collocations)}
 
 
 def _secret_sql() -> str:
@@ -215,6 +219,15 @@ ORACLE_SQL: dict[str, str] = {
  SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(reach.b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.s""",
     "op5_secret_scan": _secret_sql(),
     "op11_vector_codes": _codes_sql(),
+    "op13_collocations": r"""WITH pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+ w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces), totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+ grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+ f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+ cuts AS (SELECT lang, c.phrase, a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x USING (lang) JOIN f y USING (lang) JOIN totals USING (lang) WHERE x.phrase = array_to_string(w[:cut], ' ') AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+ best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ inside AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c)) GROUP BY ALL)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a
+ QUALIFY rank <= 2000""",
     "op9_url_filter": f"""WITH rules(action, h, p) AS (VALUES {_LISTED}), u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END AS host,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
         met AS (SELECT page_id, h || p AS rule, action FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) = 1)
