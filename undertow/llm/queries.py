@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, url_filter, vector_codes
+from undertow.llm import bpe, collocations, decontaminate, embedding_dedup, language_id, license_scan, ngram_jaccard, quality, secret_scan, sharding, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(_residue(3) == 1, F.lit(False))
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, keep=2000)
 
@@ -152,7 +159,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", F.col("l.template").alias("license"), "l.coverage", "l.matched", F.col("l.start").alias("span_start"), F.col("l.end").alias("span_end"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup, op11_vector_codes, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_sharding, op4_language_id, op5_secret_scan, op6_bpe, op7_decontaminate, op8_quality, op9_url_filter, op10_embedding_dedup, op11_vector_codes, op12_toxicity, op13_collocations)}
 
 
 def _secret_sql() -> str:
