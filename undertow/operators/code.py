@@ -1,69 +1,60 @@
 """Code facts from source texts, and their resolution into import, render and call edges.
 
-Sources are (path, source). Facts come from regular expressions over lines and texts, not from a syntax tree: comments
-and strings are not told apart from code. Only what starts a line without indentation counts as exported.
+Sources are (path, source). Facts come from two automata over tokens (see lexer), not from a syntax tree: they tell code from
+comments, strings, templates, regular expressions and JSX text, and which definition holds what.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.operators import lexer
+from undertow.plans.closure import checkpointed
+
 # Endings of import candidates in order of preference; calls that are never resolved; code files.
 SUFFIXES = ["", ".tsx", ".ts", ".jsx", ".js", ".mjs", ".cjs", ".css", "/index.tsx", "/index.ts", "/index.js"]
 BUILTINS = ["fetch", "console", "require"]
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 
-#: An opening tag. What follows a name is a type argument, as in Promise<Thing>, and no tag.
-RENDER = r"(?<![\w$.])<([A-Z][\w$]*)(?=[\s/>.]|$)"
-_NAME = r"([A-Za-z_$][\w$]*)"
-_EXPORT = r"^(?:export\s+(?:default\s+)?)?"
-_SYMBOLS = [
-    ("class", rf"{_EXPORT}\s*(?:abstract\s+)?class\s+{_NAME}"),
-    ("function", rf"{_EXPORT}\s*(?:async\s+)?function\s*\*?\s*{_NAME}"),
-    ("function", rf"{_EXPORT}\s*(?:const|let|var)\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)[^=]*=>|[\w$]+\s*=>|function\b)"),
-    ("method", rf"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return)\b){_NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{\s*$"),
-]
-_KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new", "import", "super"]
+_IMPORT = r"""(?m)^\s*import\s+(?:type\s+)?(?:([^'";]*?)\s*from\s*)?['"]([^'"]+)['"]"""
+
+
+def facts(sources: DataFrame) -> DataFrame:
+    """(file, places, imports): each text read once by the automata of `lexer`, its definitions and uses in order, and the
+    import statements as (names, module). Written down, as several tables are made of it. A core reads some 100 KB of source a
+    second, far less than a scan delivers, so texts are dealt out to four tasks a core first."""
+    sources = sources.select("path", "source").repartition(4 * sources.sparkSession.sparkContext.defaultParallelism)
+    tags = ~F.coalesce(language(F.col("path")) == "typescript", F.lit(False))
+    read = sources.select(F.col("path").alias("file"), lexer.lexed(F.coalesce("source", F.lit("")), tags).alias("read"))
+    both = F.arrays_zip(F.regexp_extract_all("read.full", F.lit(_IMPORT), F.lit(1)).alias("names"), F.regexp_extract_all("read.full", F.lit(_IMPORT), F.lit(2)).alias("module"))
+    return checkpointed(read.select("file", lexer.structure(F.col("read.code")).alias("places"), both.alias("imports")))
+
+
+def _facts(sources: DataFrame) -> DataFrame:
+    return sources if "places" in sources.columns else facts(sources)
 
 
 def symbols(sources: DataFrame) -> DataFrame:
-    """(file, name, kind, line, exported); of several on one line the first kind of class, function, method."""
-    lines = sources.select(F.col("path").alias("file"), F.posexplode(F.split("source", "\n", -1)).alias("line", "code"))
-    found = F.coalesce(*[F.when(F.col("code").rlike(rx), F.struct(F.regexp_extract("code", rx, 1).alias("name"), F.lit(kind).alias("kind"))) for kind, rx in _SYMBOLS])
-    rows = lines.withColumn("s", found).where("s is not null")
-    return rows.select("file", "s.name", "s.kind", (F.col("line") + 1).alias("line"), F.col("code").rlike(r"^export\b").alias("exported"))
+    """(file, name, kind, line, exported) of sources or of their facts; of several on one line the last. Only what is
+    exported at the top level counts as exported."""
+    rows = _facts(sources).select("file", F.posexplode("places").alias("at", "p")).where("p.kind in ('class', 'function', 'method')")
+    last = rows.groupBy("file", F.col("p.line").alias("line")).agg(F.max_by("p", "at").alias("p"))
+    return last.select("file", "p.name", "p.kind", "line", "p.exported")
 
 
 def imports(sources: DataFrame) -> DataFrame:
     """(from_file, module, names, ord): default, named (by their local name) and namespace imports."""
-    rx = F.lit(r"""(?m)^\s*import\s+(?:type\s+)?(?:([^'";]*?)\s*from\s*)?['"]([^'"]+)['"]""")
-    both = F.arrays_zip(F.regexp_extract_all("source", rx, F.lit(1)).alias("names"), F.regexp_extract_all("source", rx, F.lit(2)).alias("module"))
-    rows = sources.select(F.col("path").alias("from_file"), F.posexplode(both).alias("ord", "i"))
-    names = F.transform(F.split(F.translate("i.names", "{}", "  "), ","), lambda n: F.trim(F.regexp_replace(n, r"^.*\bas\s+|[\s*]+", "")))
+    rows = _facts(sources).select(F.col("file").alias("from_file"), F.posexplode("imports").alias("ord", "i"))
+    names = F.transform(F.split(F.translate("i.names", "{}", "  "), ","), lambda n: F.trim(F.regexp_replace(n, r"(?s)^.*\bas\s+|^\s*type\s+(?=\w)|[\s*]+", "")))
     return rows.select("from_file", "i.module", F.filter(names, lambda n: n != "").alias("names"), "ord")
 
 
 def uses(sources: DataFrame) -> DataFrame:
-    """(file, kind, name, line): components rendered (kind render) and bare names called (kind call), once a line."""
-    lines = sources.select(F.col("path").alias("file"), F.posexplode(F.split("source", "\n", -1)).alias("line", "code"))
-    tags = F.when(F.col("file").rlike(r"\.(tsx|jsx|js)$"), F.regexp_extract_all("code", F.lit(RENDER), F.lit(1)))
-    called = F.regexp_extract_all("code", F.lit(rf"(?<![\w$.])(?<!function )(?<!class ){_NAME}\s*\("), F.lit(1))
-    kinds = {"render": F.array_distinct(F.coalesce(tags, F.array().cast("array<string>"))), "call": F.array_distinct(called)}
-    each = [F.arrays_zip(F.array_repeat(F.lit(k), F.size(names)).alias("kind"), names.alias("name")) for k, names in kinds.items()]
-    rows = lines.select("file", (F.col("line") + 1).alias("line"), F.explode(F.concat(*each)).alias("u"))
-    return rows.select("file", "u.kind", "u.name", "line").where(~F.col("name").isin(_KEYWORDS))
-
-
-def holders(used: DataFrame, defined: DataFrame) -> DataFrame:
-    """Adds to uses (file, line, ...) the symbol that holds them: the last one that begins on their line or before, null
-    before the first."""
-    marks = defined.select("file", "line", F.col("name").alias("mark"))
-    rest = [c for c in used.columns if c not in ("file", "line")]
-    both = used.select("file", "line", F.struct(*rest).alias("u"), F.lit(None).cast("string").alias("mark")).unionByName(marks.withColumn("u", F.lit(None)), allowMissingColumns=True)
-    order = Window.partitionBy("file").orderBy("line", F.col("u").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # one file
-    held = both.withColumn("holder", F.last("mark", ignorenulls=True).over(order)).where("u is not null")
-    return held.select("file", "line", *[F.col(f"u.{c}") for c in rest], "holder")
+    """(file, kind, name, line, holder): components rendered (kind render) and bare names called (kind call), once a line
+    and holder. The holder is the innermost symbol that a use stands in, null outside of all."""
+    rows = _facts(sources).select("file", F.explode("places").alias("p")).where("p.kind in ('render', 'call')")
+    return rows.select("file", "p.kind", "p.name", "p.line", "p.holder").distinct()
 
 
 def normal_path(path: Column) -> Column:
@@ -110,10 +101,10 @@ def use_edges(used: DataFrame, defined: DataFrame, resolved: DataFrame) -> DataF
     return met.where("kind = 'render'").unionByName(met.where("kind = 'call'").join(there, ["to_file", "name"], "left_semi"))
 
 
-def symbol_edges(used: DataFrame, defined: DataFrame, edges: DataFrame) -> DataFrame:
+def symbol_edges(used: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, from_file, from_symbol, to_file, to_symbol), once each: the edges with the symbols that hold the uses. Uses
     outside of every symbol, and a symbol's uses of itself, give none."""
-    held = holders(used, defined).where("holder is not null").select(F.col("file").alias("from_file"), "kind", "name", "holder").distinct()
+    held = used.where("holder is not null").select(F.col("file").alias("from_file"), "kind", "name", "holder").distinct()
     rows = held.join(edges, ["from_file", "kind", "name"]).select("kind", "from_file", F.col("holder").alias("from_symbol"), "to_file", F.col("name").alias("to_symbol"))
     return rows.where("from_file <> to_file or from_symbol <> to_symbol").distinct()
 
@@ -127,10 +118,11 @@ def language(path) -> Column:
 def code_model(sources: DataFrame) -> dict[str, DataFrame]:
     """Files in order of their paths, symbols, import edges, use edges by file and by symbol of the code files."""
     code = sources.where(F.col("path").rlike(CODE_FILE))
-    defined, resolved, used = symbols(code), resolve_imports(imports(code), code), uses(code)
+    read = facts(code)
+    defined, resolved, used = symbols(read), resolve_imports(imports(read), code), uses(read)
     files = code.select("path", language(F.col("path")).alias("language"), F.size(F.split("source", "\n", -1)).alias("loc"))
     edges = use_edges(used, defined, resolved)
-    return {"files": files, "symbols": defined, "imports": import_edges(resolved), "edges": edges, "symbol_edges": symbol_edges(used, defined, edges)}
+    return {"files": files, "symbols": defined, "imports": import_edges(resolved), "edges": edges, "symbol_edges": symbol_edges(used, edges)}
 
 
 def as_run(model: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -177,6 +177,27 @@ def symbol_resolution(t: Tables) -> DataFrame:
     return code.code_model(_sources(t))["symbol_edges"]
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 4 AS s FROM part), u AS (SELECT k, s, unnest([{'kind': 'call', 'name': 'go', 'at': 3, 'holder': 'inner'}, {'kind': 'call', 'name': 'deep', 'at': 3, 'holder': 'inner'}, {'kind': 'call', 'name': 'mid', 'at': 5, 'holder': 'Outer'},
+    {'kind': 'render', 'name': 'Card', 'at': 6, 'holder': 'Outer'}, {'kind': 'call', 'name': 'leaf', 'at': 6, 'holder': 'Outer'}, {'kind': 'call', 'name': 'after', 'at': 8, 'holder': NULL}]) AS u FROM p)
+    SELECT 'p' || k || '.tsx' AS file, u.kind AS kind, u.name || k AS name, u.at + s AS line, u.holder || k AS holder FROM u""")
+def code_uses(t: Tables) -> DataFrame:
+    """Uses in sources that name others in comments, strings, templates, regular expressions and JSX text, and their holders."""
+    text = """// no#() @
+const text# = 'no#() it\\'s', rx# = /no#()["']/g;
+export function Outer#(a = {}) {
+  const inner# = (x) => { go#(`no#() ${deep#(x)} it's`); };
+  /* no#()
+  <No#/> */ mid#();
+  return <Card# t="no#()">it's no#() {leaf#(a)}</Card#>;
+}
+after#();"""
+    start, rest = text.split("\n", 1)
+    lines = F.array_join(F.array_repeat(F.replace(F.lit(start), F.lit("@"), F.col("p_name")), F.col("p_size") % 4), "\n")
+    source = F.when(lines == "", rest).otherwise(F.concat(lines, F.lit("\n"), F.lit(rest)))
+    key = F.col("p_partkey").cast("string")
+    return code.uses(t.raw("part").select(F.concat(F.lit("p"), key, F.lit(".tsx")).alias("path"), F.replace(source, F.lit("#"), key).alias("source")))
+
+
 @query(f"SELECT {_PATH.format(k='p_partkey')} AS path, CASE p_partkey % 3 WHEN 1 THEN 'typescript' ELSE 'tsx' END AS language FROM part")
 def language_names(t: Tables) -> DataFrame:
     return t.nodes().select(_path("node").alias("path")).select("path", code.language(F.col("path")).alias("language"))
