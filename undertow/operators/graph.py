@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from undertow.functions import keys
 from undertow.functions.text import path as url_path
 from undertow.operators import impact, mappings, resolve
+from undertow.operators.store import TABLES, load, reset, save  # noqa: F401  where graphs are kept
 
 Graph = dict[str, DataFrame]
 
@@ -94,29 +95,3 @@ def layer_stats(graph: Graph) -> DataFrame:
         one = df.agg(what.alias(name))
         out = one if out is None else out.crossJoin(one)  # one row each
     return out
-
-
-def save(graph: Graph, folder: str, namespace: str) -> None:
-    """Writes the tables, replacing this namespace's rows and no others."""
-    for name, df in graph.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/full_name={_safe(namespace)}")
-
-
-def reset(spark: SparkSession, folder: str, namespace: str) -> None:
-    """Empties a namespace and leaves the others."""
-    for name in TABLES:
-        path = f"{folder}/{name}/full_name={_safe(namespace)}"
-        df = spark.read.parquet(path)
-        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
-
-
-def load(spark: SparkSession, folder: str, namespace: str) -> Graph:
-    return {name: spark.read.parquet(f"{folder}/{name}/full_name={_safe(namespace)}") for name in TABLES}
-
-
-TABLES = ["files", "symbols", "imports", "renders", "calls", "screens", "navigates_to", "rendered_by", "requirements", "covered_by", "implemented_by", "gaps"]
-
-
-def _safe(namespace: str) -> str:
-    return namespace.replace("%", "%25").replace("/", "%2F").replace(":", "%3A")
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from undertow.functions import text as X
 from undertow.functions import keys, model_output
-from undertow.operators import code, evaluate, graph, impact, mappings, report, resolve
+from undertow.operators import code, evaluate, graph, impact, mappings, report, resolve, store
 from undertow.operators.engine import Engine, Impact
 from undertow.plans.closure import bfs_crawl as crawl
-from undertow.plans.closure import bounded_upstream, checkpointed, upstream_sql
+from undertow.plans.closure import bounded_upstream, checkpoint_folder, checkpointed, upstream_sql
 from undertow.plans.numbering import numbered
 from undertow.sources import artifacts
 from undertow.sources.bindings import Tables, clamp, graph_of
@@ -818,3 +819,33 @@ def stream_first_seen(t: Tables) -> DataFrame:
 def stream_action_budget(t: Tables) -> DataFrame:
     rows = live.read(t.spark, t.folder, "events").select("user_id")
     return live.run_to_table(live.budgeted(rows, "user_id", 6), "update", ["user_id"])
+
+
+# --- stored graphs ------------------------------------------------------------------------------
+
+_FILE = "'lib/f' || {k} // 4 || '.ts'"
+
+
+@query(f"""WITH {", ".join(f"{k} AS ({v})" for k, v in _SQL.items() if k in ("changed", "depends"))}, again AS (SELECT DISTINCT {_FILE.format(k='node')} AS path FROM changed),
+    s AS (SELECT p_partkey, {_FILE.format(k='p_partkey')} AS path, {_FILE.format(k='p_partkey')} IN (SELECT path FROM again) AS seen FROM part), symbols AS (SELECT * FROM s WHERE NOT seen OR p_partkey % 5 <> 0),
+    e AS (SELECT src, dst, seen FROM depends JOIN s ON p_partkey = src WHERE NOT seen OR dst % 3 <> 0)
+    SELECT 'symbols' AS part, p_partkey::VARCHAR AS src, path AS dst FROM symbols UNION ALL SELECT CASE WHEN dst % 2 = 1 THEN 'renders' ELSE 'calls' END, src::VARCHAR, dst::VARCHAR FROM e WHERE src IN (SELECT p_partkey FROM symbols) AND dst IN (SELECT p_partkey FROM symbols)
+    UNION ALL SELECT 'imports', a, b FROM (SELECT DISTINCT {_FILE.format(k='src')} AS a, {_FILE.format(k='dst')} AS b FROM depends) WHERE a <> b AND (a NOT IN (SELECT path FROM again) OR length(b) % 2 = 0)""")
+def graph_merge(t: Tables) -> DataFrame:
+    """A stored graph after the files of the changed items were read again: a fifth of their symbols and some of their edges
+    are gone. The merge is saved to the folder that it was read from."""
+    folder = f"{checkpoint_folder(t.spark)}/graph-{uuid.uuid4().hex}"
+    old = graph_of(t)
+    first = store.save(old, folder, "shop")
+    stored = store.load(t.spark, folder, "shop")
+    again = t.changed().select(F.concat(F.lit("lib/f"), F.expr("node div 4").cast("string"), F.lit(".ts")).alias("path")).distinct()
+    ours = lambda name: stored[name].join(again, "path", "left_semi")
+    run = {"files": ours("files"), "symbols": ours("symbols").where("CAST(key AS BIGINT) % 5 <> 0"), "imports": stored["imports"].where("length(dst) % 2 = 0").join(again.withColumnRenamed("path", "src"), "src", "left_semi")}
+    held = ours("symbols").select(F.col("key").alias("src"))
+    run |= {name: stored[name].where("CAST(dst AS BIGINT) % 3 <> 0").join(held, "src", "left_semi") for name in ("renders", "calls")}
+    store.save(store.merge(stored, run), folder, "shop", based_on=first)
+    now = store.load(t.spark, folder, "shop")
+    out = now["symbols"].select(F.lit("symbols").alias("part"), F.col("key").alias("src"), F.col("path").alias("dst"))
+    for name in ("renders", "calls", "imports"):
+        out = out.unionByName(now[name].select(F.lit(name).alias("part"), "src", "dst"))
+    return out
