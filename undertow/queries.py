@@ -760,8 +760,9 @@ def snapshot_refs(t: Tables) -> DataFrame:
 def snapshot_merge(t: Tables) -> DataFrame:
     """Elements of each user's page after a second snapshot (odd events): the first one's stay, unseen ones join them."""
     rows = t.raw("events").select(F.col("user_id").alias("url"), F.col("event_type").alias("role"), F.concat(F.lit("v"), F.floor("value").cast("string")).alias("name"), "event_id")
-    first = lambda odd: rows.where(F.col("event_id") % 2 == odd).groupBy("url", "role", "name").agg(F.min("event_id").alias("id")).withColumn("ref", F.concat(F.lit("e"), F.col("id").cast("string")))
-    return artifacts.elements_again(first(0), first(1))
+    shown = rows.withColumn("ref", F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    first = rows.where("event_id % 2 = 0").groupBy("url", "role", "name").agg(F.min("event_id").alias("id")).withColumn("ref", F.concat(F.lit("e"), F.col("id").cast("string")))
+    return artifacts.elements_again(first, shown.where("event_id % 2 = 1"))
 
 
 @query(r"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS o, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text FROM pages),
@@ -849,3 +850,24 @@ def graph_merge(t: Tables) -> DataFrame:
     for name in ("renders", "calls", "imports"):
         out = out.unionByName(now[name].select(F.lit(name).alias("part"), "src", "dst"))
     return out
+
+
+@query("""WITH e AS (SELECT user_id, event_id, 'p' || CAST(floor(value) AS BIGINT) % 40 AS url, CASE event_type WHEN 'view' THEN 'visit' WHEN 'click' THEN 'visit' WHEN 'error' THEN 'act' ELSE 'link' END AS kind FROM events),
+    v AS (SELECT user_id, url, min(event_id) AS pos FROM e WHERE kind = 'visit' GROUP BY 1, 2), l AS (SELECT user_id, url, min(event_id) AS pos FROM e WHERE kind = 'link' GROUP BY 1, 2),
+    f AS (SELECT user_id, string_agg(url, ' ' ORDER BY pos) AS frontier FROM l WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.user_id = l.user_id AND v.url = l.url) GROUP BY 1),
+    a AS (SELECT user_id, sum(least(n, 2)) AS admitted, sum(greatest(n - 2, 0)) AS refused FROM (SELECT user_id, url, count(*) AS n FROM e WHERE kind = 'act' GROUP BY 1, 2) GROUP BY 1)
+    SELECT user_id, (SELECT string_agg(url, ' ' ORDER BY pos) FROM v WHERE v.user_id = u.user_id) AS visited, frontier, CAST(coalesce(admitted, 0) AS BIGINT) AS admitted, CAST(coalesce(refused, 0) AS BIGINT) AS refused FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN f USING (user_id) LEFT JOIN a USING (user_id)""")
+def crawl_sessions(t: Tables) -> DataFrame:
+    """Visited pages, waiting links and actions of each user, kept as one keyed state over a stream of events."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "visit").when(F.col("event_type") == "error", "act").otherwise("link")
+    rows = live.read(t.spark, t.folder, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("p"), (F.floor("value") % 40).cast("string")).alias("url"))
+    got = live.run_to_table(live.sessions(rows, "user_id", actions=2), "update", ["user_id"])
+    pages = lambda c: F.nullif(F.array_join(c, " "), F.lit("")).alias(c)
+    return got.select("user_id", pages("visited"), pages("frontier"), "admitted", "refused")
+
+
+@query("""SELECT user_id AS url, event_type AS role, 'v' || CAST(floor(value) AS BIGINT) AS name, 'e' || min(event_id) AS ref FROM events GROUP BY 1, 2, 3""")
+def element_stream(t: Tables) -> DataFrame:
+    """Each role and name of a page once, as a stream of snapshots shows them."""
+    rows = live.read(t.spark, t.folder, "events").select(F.col("user_id").alias("url"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ref"), F.col("event_type").alias("role"), F.concat(F.lit("v"), F.floor("value").cast("string")).alias("name"))
+    return live.run_to_table(live.elements(rows), "append", None)

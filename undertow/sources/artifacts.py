@@ -52,9 +52,15 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
 
 def elements(snaps: DataFrame) -> DataFrame:
     """(url, ref, role, name), the first of each role and name of a page by its ref; those without a name go."""
-    rows = snaps.select("url", F.explode("refs").alias("ref", "r")).select("url", "ref", "r.role", F.left(F.trim("r.name"), F.lit(120)).alias("name")).where("name <> ''")
-    # refs count up as e1, e2, ..., so the shorter one comes first
-    return rows.groupBy("url", "role", "name").agg(F.min_by("ref", F.struct(F.length("ref"), "ref")).alias("ref"))
+    rows = snaps.select("url", F.explode("refs").alias("ref", "r")).select("url", "ref", "r.role", "r.name")
+    return _once(rows)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(url, ref, role, name): names trimmed and cut to 120 characters, blank ones gone, and of each role and name of a page
+    the first ref. Refs count up as e1, e2, ..., so the shorter one comes first."""
+    rows = rows.select("url", "ref", "role", F.left(F.trim("name"), F.lit(120)).alias("name")).where("name <> ''")
+    return rows.groupBy("url", "role", "name").agg(F.min_by("ref", F.struct(F.length("ref"), "ref")).alias("ref")).select("url", "ref", "role", "name")
 
 
 def pull_request(spark: SparkSession, path: str) -> DataFrame:
@@ -93,9 +99,10 @@ def links(pages: DataFrame, most_text: int = 120) -> DataFrame:
 
 def elements_again(known: DataFrame, again: DataFrame) -> DataFrame:
     """(url, ref, role, name) of a page's elements after a second snapshot: those known, and of the others each role and
-    name once."""
-    new = again.join(known.select("url", "role", "name").distinct(), ["url", "role", "name"], "left_anti")
-    return known.select("url", "ref", "role", "name").unionByName(new.select("url", "ref", "role", "name"))
+    name once (see elements)."""
+    same = ["url", "role", "name"]
+    new = _once(again).join(known.select(*[F.col(c).alias(f"_{c}") for c in same]).distinct(), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same], "left_anti")
+    return known.select("url", "ref", "role", "name").unionByName(new)
 
 
 def save(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
