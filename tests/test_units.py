@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import text as X
 from undertow.operators import code, report, resolve
-from undertow.plans.closure import bfs_crawl
+from undertow.plans.crawl import bfs_crawl
 from undertow.plans.numbering import numbered
 from undertow.sources import artifacts
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from undertow.operators import lexer
 from undertow.plans.closure import checkpointed
+from undertow.plans.numbering import collated
 
 # Endings of import candidates in order of preference; calls that are never resolved; code files.
 SUFFIXES = ["", ".tsx", ".ts", ".jsx", ".js", ".mjs", ".cjs", ".css", "/index.tsx", "/index.ts", "/index.js"]
@@ -116,11 +117,13 @@ def language(path) -> Column:
 
 
 def code_model(sources: DataFrame) -> dict[str, DataFrame]:
-    """Files in order of their paths, symbols, import edges, use edges by file and by symbol of the code files."""
+    """Files with their place in the collated order of paths, symbols, import edges, use edges by file and by symbol of the
+    code files."""
     code = sources.where(F.col("path").rlike(CODE_FILE))
     read = facts(code)
     defined, resolved, used = symbols(read), resolve_imports(imports(read), code), uses(read)
     files = code.select("path", language(F.col("path")).alias("language"), F.size(F.split("source", "\n", -1)).alias("loc"))
+    files = collated(files, "path")
     edges = use_edges(used, defined, resolved)
     return {"files": files, "symbols": defined, "imports": import_edges(resolved), "edges": edges, "symbol_edges": symbol_edges(used, edges)}
 
@@ -129,7 +132,7 @@ def as_run(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The model's tables with the names of a run's documents (see sources.artifacts.load_run)."""
     kinds = {"renders": ("render", "Component"), "calls": ("call", "Symbol")}
     out = {
-        "files": model["files"],
+        "files": model["files"].drop("place"),
         "symbols": model["symbols"].withColumnRenamed("file", "filePath"),
         "imports": model["imports"].select(F.col("from_file").alias("fromFile"), F.col("to_file").alias("toFile"), F.col("imported_name").alias("importedName")),
     }

@@ -16,3 +16,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
     place = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     return place.join(before, "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_before", "_place")
+
+
+def collated(df: DataFrame, column: str, name: str = "place") -> DataFrame:
+    """Numbers rows 1, 2, ... in the order of people's alphabets (a, A, b, B) and not of bytes; nulls first. Texts that
+    collate as equal go by their bytes."""
+    rows = df.withColumn("_key", F.collate(F.col(column), "UNICODE"))
+    return numbered(rows, ["_key", column], name).drop("_key")

@@ -12,9 +12,9 @@ from undertow.functions import text as X
 from undertow.functions import keys, model_output
 from undertow.operators import code, evaluate, graph, impact, mappings, report, resolve, store
 from undertow.operators.engine import Engine, Impact
-from undertow.plans.closure import bfs_crawl as crawl
 from undertow.plans.closure import bounded_upstream, checkpoint_folder, checkpointed, upstream_sql
-from undertow.plans.numbering import numbered
+from undertow.plans.crawl import bfs_crawl as crawl
+from undertow.plans.numbering import collated, numbered
 from undertow.sources import artifacts
 from undertow.sources.bindings import Tables, clamp, graph_of
 from undertow.streaming import live
@@ -123,12 +123,14 @@ def file_closure(t: Tables) -> DataFrame:
     return bounded_upstream(t.changed().select(F.expr("node div 4").alias("node")), edges).withColumnRenamed("node", "file")
 
 
-@query("""WITH RECURSIVE d AS (""" + _SQL["depends"] + """), r AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_brand = 'Brand#2' AND p_size <= 10
-    UNION SELECT d.dst, r.depth + 1 FROM r JOIN d ON d.src = r.node WHERE r.depth < 25), f AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
-    SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS place FROM f QUALIFY place <= 25""")
+@query("""WITH RECURSIVE d AS (""" + _SQL["depends"] + """), r AS (SELECT p_partkey AS node, 0 AS depth, [-p_partkey] AS k FROM part WHERE p_brand = 'Brand#2' AND p_size <= 10
+    UNION ALL SELECT d.dst, r.depth + 1, min(list_append(r.k, (d.dst * 7919) % 10007)) FROM r JOIN d ON d.src = r.node WHERE r.depth < 25 GROUP BY ALL), f AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+    SELECT node, depth, row_number() OVER (ORDER BY depth, k, node) AS place FROM (SELECT node, f.depth AS depth, min(r.k) AS k FROM f JOIN r USING (node, depth) GROUP BY ALL) QUALIFY place <= 300""")
 def bfs_crawl(t: Tables) -> DataFrame:
-    """The first 25 items (the crawl's budget) from the changed ones along their dependencies."""
-    return crawl(t.changed(), t.depends(), 25)
+    """The first 300 items that a queue visits from the changed ones, greatest first, along their dependencies; a page's links
+    have an order of their own, which is not that of the ids."""
+    links = t.depends().withColumn("ord", F.expr("dst * 7919 % 10007"))
+    return crawl(t.changed().withColumn("ord", -F.col("node")), links, 300)
 
 
 # --- code -------------------------------------------------------------------------------------
@@ -871,3 +873,22 @@ def element_stream(t: Tables) -> DataFrame:
     """Each role and name of a page once, as a stream of snapshots shows them."""
     rows = live.read(t.spark, t.folder, "events").select(F.col("user_id").alias("url"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ref"), F.col("event_type").alias("role"), F.concat(F.lit("v"), F.floor("value").cast("string")).alias("name"))
     return live.run_to_table(live.elements(rows), "append", None)
+
+
+@query("""SELECT label, c_custkey, row_number() OVER (ORDER BY lower(label), translate(label, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')) AS place
+    FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN lower(c_mktsegment) ELSE left(c_mktsegment, 1) || lower(substring(c_mktsegment, 2)) END || c_custkey // 3 AS label FROM customer)""")
+def collated_labels(t: Tables) -> DataFrame:
+    """Labels in collated order: equal letters side by side, small before capital."""
+    segment = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.lower("c_mktsegment")).otherwise(F.initcap("c_mktsegment"))
+    return collated(t.raw("customer").select(F.concat(segment, F.expr("c_custkey div 3").cast("string")).alias("label"), "c_custkey"), "label")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'http://shop.test' WHEN 1 THEN 'https://shop.test' WHEN 2 THEN 'https://shop.test:8443' END AS origin,
+    CASE c_custkey % 4 WHEN 0 THEN '/' || c_mktsegment || '/x%20' || c_custkey || '[1]/' WHEN 1 THEN '/caf%C3%A9/' || c_custkey WHEN 2 THEN '/' END AS path,
+    CASE c_custkey % 4 WHEN 0 THEN 'http://me@shop.test/' || c_mktsegment || '/x%20' || c_custkey || '[1]' WHEN 1 THEN 'https://shop.test/caf%C3%A9/' || c_custkey || '?q=a%20b' WHEN 2 THEN 'https://shop.test:8443/' END AS normal FROM customer""")
+def url_standard(t: Tables) -> DataFrame:
+    """Urls with dot segments, spaces, users, backslashes and ports, and malformed ones."""
+    forms = ["'HTTP://me@Shop.Test:80/a/../' || c_mktsegment || '/./x ' || c_custkey || '[1]/#top'", "'https:\\\\\\\\SHOP.test\\\\café/' || c_custkey || '?q=a b#x'", "' https://shop.test:8443/' || c_custkey || '/%2E%2e '", "'https://shop.test:' || (70000 + c_custkey) || '/'"]
+    url = F.expr(f"CASE c_custkey % 4 WHEN 0 THEN {forms[0]} WHEN 1 THEN {forms[1]} WHEN 2 THEN {forms[2]} ELSE {forms[3]} END")
+    rows = t.raw("customer").select("c_custkey", url.alias("url")).select("c_custkey", X.url_parts(F.col("url")).alias("u"), X.normalize_url(F.col("url")).alias("normal"))
+    return rows.select("c_custkey", "u.origin", "u.path", "normal")
