@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow.functions.text import origin
+from undertow.plans.numbering import numbered
 
 ELEMENT = "struct<ref:string,role:string,name:string,href:string,inputType:string,placeholder:string>"
 SCREEN = f"struct<screenId:string,url:string,title:string,label:string,purpose:string,primaryActions:array<string>,keyComponents:array<string>,elements:array<{ELEMENT}>,screenshotPath:string,snapshotPath:string,visited:boolean>"
@@ -25,13 +29,22 @@ PULL = "number int, title string, body string, state string, merged_at string, b
 PULL_FILE = "filename string, status string, additions int, deletions int, patch string"
 
 
+#: Folders whose files are no sources.
+PRUNED = r"/(\.git|node_modules)/"
+
+
 def _one(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON document, or the parts of one that save_run has put in a folder of that name, a line each."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    parts = "*" not in path and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return spark.read.schema(f"{schema}, _first long" if parts else schema).option("multiLine", not parts).json(path)
 
 
 def _items(doc: DataFrame, column: str) -> DataFrame:
     """Rows of an array of structs, with their place in it as seq."""
-    return doc.select(F.posexplode(column).alias("seq", "x")).select("seq", "x.*")
+    first = F.coalesce("_first", F.lit(0)) if "_first" in doc.columns else F.lit(0)
+    return doc.select(first.alias("first"), F.posexplode(column).alias("at", "x")).select((F.col("first") + F.col("at")).cast("int").alias("seq"), "x.*")
 
 
 def load_run(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -45,6 +58,31 @@ def load_run(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+#: The documents of a run, with the tables that each holds as arrays.
+DOCUMENTS = {"crawl/manifest.json": (MANIFEST, ("screens", "transitions")), "requirements.json": (REQUIREMENTS, ("requirements",)), "code.json": (CODE, ("files", *EDGES))}
+
+
+def save_run(run: dict[str, DataFrame], folder: str, heads: dict[str, dict] | None = None, rows: int = 10_000) -> None:
+    """Writes the documents that load_run reads. A document is a folder of parts, each a JSON object on a line of its own:
+    one with the values of `heads` (by document), and for each table objects with up to `rows` of its rows in the order
+    of seq and the place of the first. So many tasks write one document, and none holds more than a part of it. Tables
+    that `run` lacks are left out; symbols lie in their files."""
+    spark = next(iter(run.values())).sparkSession
+    for name, (schema, tables) in DOCUMENTS.items():
+        head = spark.createDataFrame([(json.dumps((heads or {}).get(name, {})),)], "value string")
+        for table in tables:
+            if table not in run:
+                continue
+            df = run[table]
+            kept = [f.name for f in T._parse_datatype_string(schema)[table].dataType.elementType if f.name in df.columns]
+            placed = numbered(df, ["seq"], "_n") if "seq" in df.columns else numbered(df.withColumn("seq", F.monotonically_increasing_id()), ["seq"], "_n")
+            part = F.expr(f"(_n - 1) div {rows}")
+            items = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*kept).alias("x")))), lambda i: i["x"])
+            docs = placed.groupBy(part.alias("_part")).agg(items.alias(table)).select(F.to_json(F.struct((F.col("_part") * rows).alias("_first"), table)).alias("value"))
+            head = head.unionByName(docs)
+        head.write.mode("overwrite").text(f"{folder}/{name}")
+
+
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """(url, title, text, refs), one row for each snapshot document."""
     return _one(spark, f"{folder}/*.snapshot.json", SNAPSHOT)
@@ -74,10 +112,11 @@ def changed_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, folder: str, most_bytes: int = 2_000_000) -> DataFrame:
-    """(path, source) of the code files below a folder, without .git, node_modules and files beyond most_bytes."""
+    """(path, source) of the code files below a folder, without .git, node_modules and files beyond most_bytes. Spark's reader
+    passes over empty files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,mjs,cjs}").load(folder)
     near = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    kept = rows.where(F.col("length") <= most_bytes).where(~near.rlike(r"/(\.git|node_modules)/"))
+    kept = rows.where(F.col("length") <= most_bytes).where(~near.rlike(PRUNED))
     return kept.select(F.substring(near, len(folder.rstrip("/")) + 2, 1 << 30).alias("path"), F.col("content").cast("string").alias("source"))
 
 
