@@ -197,3 +197,17 @@ def test_pull_request_and_links(spark, tmp_path):
     assert artifacts.readme(spark, str(tmp_path / "README.md")).first().text == "# A\ntext\n"
     artifacts.save({"t": spark.range(3)}, str(tmp_path / "out"), "json")
     assert spark.read.json(str(tmp_path / "out/t")).count() == 3
+
+
+def test_evaluation(spark, built):
+    told = spark.createDataFrame([(1, "summary", "the Basket breaks Frobnicator"), (2, "summary", "the Basket breaks"), (1, "risks", "same words"), (2, "risks", "same words"), (1, "alone", "x")], "run int, field string, text string")
+    got = {r.check: (r.value, r.status) for r in evaluate.evaluation(built, told).collect()}
+    assert got == {
+        "requirements": ("3", "PASS"), "covered": ("2", None), "gaps": ("1", None), "covered + gaps = requirements": ("3 = 3", "PASS"), "dangling edges": ("0/0/0", "PASS"), "stability: summary": ("67%", None),
+        "stability: risks": ("100%", None), "stability: alone": ("100%", None), "suspicious mentions": ("1: frobnicator", None), "verdict": (None, "PASS"),
+    }
+    broken = dict(built) | {"gaps": built["gaps"].limit(0)}
+    rows = evaluate.evaluation(broken, told.limit(0))
+    got = {r.check: r.status for r in rows.collect()}
+    assert got["verdict"] == got["covered + gaps = requirements"] == "FAIL" and got["dangling edges"] == "PASS"
+    assert "| suspicious mentions | none | — |" in {r.line for r in evaluate.evaluation_lines(rows).collect()}

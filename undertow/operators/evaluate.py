@@ -82,3 +82,37 @@ def suspicious(texts: DataFrame, by: list[str], known: DataFrame, most: int = 15
     group = Window.partitionBy(*by)
     rows = first.withColumns({"place": F.row_number().over(group.orderBy("at")), "mentions": F.count("*").over(group)})
     return rows.where(F.col("place") <= most).select(*by, "place", "word", "mentions")
+
+
+def evaluation(graph: dict[str, DataFrame], narratives: DataFrame, known: DataFrame | None = None, most: int = 15) -> DataFrame:
+    """(place, check, value, status): a whole evaluation as rows, the last one its verdict.
+
+    Counts of the graph's invariants; how much the narratives (run, field, text) of one piece of evidence agree, for each
+    field; and the words of all runs that stand for nothing known, `most` of them by name. Only what must hold has a
+    status, PASS or FAIL; the verdict is PASS where all of it holds. `known` replaces known_words(graph).
+    """
+    one = invariants(graph)
+    judged = lambda c: F.when(c, "PASS").otherwise("FAIL")
+    none = F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+    dangling = ["dangling_cover", "dangling_impl", "dangling_render"]
+    checks = [
+        ("requirements", text("requirements"), judged(F.col("requirements") > 0)), ("covered", text("covered"), none), ("gaps", text("gaps"), none),
+        ("covered + gaps = requirements", F.concat((F.col("covered") + F.col("gaps")).cast("string"), F.lit(" = "), text("requirements")), judged(F.expr("covered + gaps = requirements"))),
+        ("dangling edges", F.concat_ws("/", *map(text, dangling)), judged(F.expr(" + ".join(dangling) + " = 0"))),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("check"), value.alias("value"), status.alias("status")) for i, (name, value, status) in enumerate(checks)])
+    verdict = F.array(F.struct(F.lit(len(checks) + 2).alias("place"), F.lit("verdict").alias("check"), none.alias("value"), judged(F.col("ok")).alias("status")))
+    out = one.select(F.inline(F.concat(rows, verdict)))
+    agree = stability(narratives, ["field"]).select(F.lit(len(checks)).alias("place"), F.concat(F.lit("stability: "), "field").alias("check"), F.concat(text("percent"), F.lit("%")).alias("value"), none.alias("status"))
+    words = narratives.select(F.explode(F.split("text", r"\s+")).alias("word")).select(candidate(F.col("word")).alias("bare")).where("bare is not null").distinct()
+    strange = words.join((known_words(graph) if known is None else known).select(F.col("word").alias("bare")), "bare", "left_anti")
+    listed = strange.orderBy("bare").limit(most).agg(F.array_join(F.array_sort(F.collect_list("bare")), ", ").alias("names"))
+    guard = strange.agg(F.count("*").alias("n")).crossJoin(listed)  # one row each
+    guard = guard.select(F.lit(len(checks) + 1).alias("place"), F.lit("suspicious mentions").alias("check"), F.when(F.col("n") > 0, F.concat(text("n"), F.lit(": "), "names")).otherwise("none").alias("value"), none.alias("status"))
+    return out.unionByName(agree).unionByName(guard)
+
+
+def evaluation_lines(rows: DataFrame) -> DataFrame:
+    """(place, line): the evaluation as the rows of a Markdown table, in order of place and check."""
+    return rows.select("place", F.concat(F.lit("| "), "check", F.lit(" | "), F.coalesce("value", F.lit("")), F.lit(" | "), F.coalesce("status", F.lit("—")), F.lit(" |")).alias("line"))

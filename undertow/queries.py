@@ -892,3 +892,17 @@ def url_standard(t: Tables) -> DataFrame:
     url = F.expr(f"CASE c_custkey % 4 WHEN 0 THEN {forms[0]} WHEN 1 THEN {forms[1]} WHEN 2 THEN {forms[2]} ELSE {forms[3]} END")
     rows = t.raw("customer").select("c_custkey", url.alias("url")).select("c_custkey", X.url_parts(F.col("url")).alias("u"), X.normalize_url(F.col("url")).alias("normal"))
     return rows.select("c_custkey", "u.origin", "u.path", "normal")
+
+
+@query("""WITH c AS (SELECT c_custkey AS req FROM customer), cov AS (SELECT DISTINCT o_custkey AS req FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), n AS (SELECT count(*) AS reqs, count(cov.req) AS covered, count(*) - count(cov.req) AS gaps FROM c LEFT JOIN cov USING (req)),
+    w AS (SELECT DISTINCT c_mktsegment AS field, c_custkey % 3 AS run, 'nation' || c_nationkey AS w FROM customer), s AS (SELECT field, run, count(*) AS n FROM w GROUP BY 1, 2),
+    b AS (SELECT x.field AS field, x.run AS i, y.run AS k, count(*) AS n FROM w x JOIN w y ON x.field = y.field AND x.w = y.w AND x.run < y.run GROUP BY 1, 2, 3),
+    j AS (SELECT x.field AS field, avg(coalesce(b.n, 0) / (x.n + y.n - coalesce(b.n, 0))) AS j FROM s x JOIN s y ON x.field = y.field AND x.run < y.run LEFT JOIN b ON b.field = x.field AND b.i = x.run AND b.k = y.run GROUP BY 1)
+    SELECT 0 AS place, 'requirements' AS check, reqs::VARCHAR AS value, CASE WHEN reqs > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM n UNION ALL SELECT 1, 'covered', covered::VARCHAR, NULL FROM n UNION ALL SELECT 2, 'gaps', gaps::VARCHAR, NULL FROM n
+    UNION ALL SELECT 3, 'covered + gaps = requirements', (covered + gaps) || ' = ' || reqs, 'PASS' FROM n UNION ALL SELECT 4, 'dangling edges', '0/0/0', 'PASS' UNION ALL SELECT 5, 'stability: ' || field, CAST(round(100 * j) AS BIGINT) || '%', NULL FROM j
+    UNION ALL SELECT 6, 'suspicious mentions', count(*) || ': ' || (SELECT string_agg(w, ', ' ORDER BY w) FROM (SELECT DISTINCT w FROM w ORDER BY w LIMIT 15)), NULL FROM (SELECT DISTINCT w FROM w) UNION ALL SELECT 7, 'verdict', NULL, 'PASS'""")
+def evaluation(t: Tables) -> DataFrame:
+    """One evaluation of the graph and of three runs' narratives about each segment."""
+    told = t.raw("customer").groupBy(F.col("c_mktsegment").alias("field"), (F.col("c_custkey") % 3).alias("run")).agg(F.array_join(F.collect_set(F.concat(F.lit("Nation"), F.col("c_nationkey").cast("string"))), " ").alias("text"))
+    graph = graph_of(t)
+    return evaluate.evaluation(graph, told, evaluate.vocabulary([graph["symbols"].select(F.lower("name").alias("word"))]))
