@@ -113,3 +113,17 @@ def test_one_boosting_step_takes_the_best_cut():
 
     values, gain = quality._grid_tree(g, h, 4.0)
     assert gain == pytest.approx(max(four(g, h), four(g.T, h.T))) and (g * values).sum() == pytest.approx(gain)
+
+
+def test_language_sample_of_shared_ids_and_many_languages(spark):
+    """Ids tell nothing about the sample, and all languages together stay within the bound."""
+    same = spark.range(3000).selectExpr("7L AS doc_id", "concat(if(id % 2 = 0, 'der mann und ', 'le chat et la '), id) AS text", "if(id % 2 = 0, 'de', 'fr') AS lang")
+    model = language_id.fit(same)
+    assert model.languages == {"germanic": ["de"], "romance": ["fr"]}
+    got = {r.lang_pred for r in language_id.predict(same.where("id % 2 = 0" if "id" in same.columns else "lang = 'de'"), model).select("lang_pred").distinct().collect()}
+    assert got == {"de"}
+    many = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 200) AS lang")
+    rows = language_id.training_sample(many, "doc_id", "text", "lang", 400, most=600).groupBy("l").count().collect()
+    assert len(rows) == 200 and all(r["count"] == 3 for r in rows)
+    few = language_id.training_sample(many, "doc_id", "text", "lang", 5, most=600, most_languages=10).groupBy("l").count().collect()
+    assert len(few) == 10 and all(r["count"] == 5 for r in few)

@@ -299,3 +299,10 @@ def test_shards(spark, sf_dir):
     out = sharding.shard(edge, shards=4).collect()
     assert sorted(r.size for r in out) == [8, 8, 8, 10, 100_008]
     assert sharding.shard(edge.limit(0)).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "password=abcdefgh123 é " * n)], "doc_id long, text string")
+    spans = secret_scan.scan(df, secret_scan.BASE).first().spans
+    assert len(spans) == n and (spans[1].s, spans[1].e) == (23, 43) and (spans[-1].s, spans[-1].e) == (23 * (n - 1), 23 * (n - 1) + 20)

@@ -5,7 +5,8 @@ languages within it. Features are the shares of hashed byte trigrams of the whol
 ASCII, runs of other ASCII read as a space each), so a text's margin is a mean of table look-ups and needs no
 feature vector.
 
-Learning uses a bounded sample: at most `per_language` documents of each language, picked by hashes of id and text.
+Learning uses a bounded sample: of the `most_languages` languages with most documents at most `per_language` documents each,
+and `most` in all, picked by a hash of id and text, so ids may repeat.
 Predictions use the text alone, the whole of it however long. A text that is null, empty or without a letter is `und`
 with score 0. Rows are kept one to one, repeated ones too, with all their columns; the outputs' names are parameters
 and replace columns of these names. With no labelled rows all are `und`. Between equal scores the language that is
@@ -120,36 +121,42 @@ class LanguageModel:
         return lang, score
 
 
-def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(l, h, t, text): at most `per_language` texts of each language, those of least (hash of id, hash of text).
+def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most: int = 4800, most_languages: int = 400) -> DataFrame:
+    """(l, h, t, text): at most `per_language` texts of each language, and an equal part of `most`, those of least hash of id
+    and text; of the `most_languages` most frequent languages (ties in alphabetical order).
 
     Equal texts under one id count once. The rank runs over narrow rows, expected twice the wanted number a language,
-    and only the ranked ones' texts are read on; so neither repeated rows nor the schedule change the sample.
+    and only the ranked ones' texts are read on; so neither repeated rows or ids nor the schedule change the sample.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * per_language / n))]) if counts else F.lit(None).cast("map<string,double>")
-    spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40))
-    rows = rows.select(F.col(lang_col).alias("l"), spread.alias("h"), F.col(text_col).alias("text")).where(F.col("h") < share[F.col("l")] * float(1 << 40))
+    rows = rows.select(F.col(lang_col).alias("l"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 40)).alias("h"), F.col(text_col).alias("text"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "l").limit(most_languages).collect()}
+    each = min(per_language, max(1, most // max(1, len(counts))))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2.0 * each / max(1, n) + 20 / max(1, n)))]) if counts else F.lit(None).cast("map<string,double>")
+    rows = rows.where(F.col("h") < share[F.col("l")] * float(1 << 40))
     rows = rows.withColumn("t", F.xxhash64("text"))
     narrow = rows.select("l", "h", "t").distinct()
-    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= per_language)
-    picked = rows.join(F.broadcast(ranked.drop("r")), ["l", "h", "t"])  # per_language rows a language at most
+    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("r") <= each)
+    picked = rows.join(F.broadcast(ranked.drop("r")), ["l", "h", "t"])  # `most` rows at most
     return picked.groupBy("l", "h", "t").agg(F.first("text").alias("text"))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, families: dict[str, str] | None = None) -> LanguageModel | None:
-    """Fits on at most `per_language` of the labelled rows of each language; None where no row has a language."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, families: dict[str, str] | None = None, most: int = 4800, most_languages: int = 400) -> LanguageModel | None:
+    """Fits on the training sample, `most` vectors of 16 KB at most; None where no row has a language."""
     families = FAMILIES if families is None else families
-    sample = training_sample(small_batches(labelled), id_col, text_col, lang_col, per_language)
-    got = sample.select("l", "h", "t", feature_vector("text").alias("v")).sort("l", "h", "t").toArrow().combine_chunks()
+    sample = training_sample(small_batches(labelled), id_col, text_col, lang_col, per_language, most, most_languages)
+    got = sample.select("l", "h", "t", feature_vector("text").alias("v")).sort("l", "h", "t").toArrow()
     if not got.num_rows:
         return None
     y = np.array(got.column("l").to_pylist())
-    _, where, data = got.column("v").chunk(0).buffers()
-    first = np.frombuffer(where, np.int32, 1, got.column("v").chunk(0).offset * 4)[0]
-    x = np.frombuffer(data, np.float32, len(y) * BINS, int(first)).reshape(len(y), BINS).copy()
-    del got, where, data
+    x, at = np.empty((len(y), BINS), np.float32), 0
+    for chunk in got.column("v").chunks:
+        if len(chunk):
+            _, where, data = chunk.buffers()
+            first = np.frombuffer(where, np.int32, 1, chunk.offset * 4)[0]
+            x[at : at + len(chunk)] = np.frombuffer(data, np.float32, len(chunk) * BINS, int(first)).reshape(-1, BINS)
+            at += len(chunk)
+    del got, where, data, chunk
     scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) + 1e-4)
     x *= scale.astype(np.float32)
     family = np.array([families.get(k, k) for k in y])

@@ -23,6 +23,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from undertow.functions.fold import running
 from undertow.llm.shared import few, materialise, spare_name
 
 
@@ -131,15 +132,11 @@ def _spans(text: Column, rx: Column, group: Column, least: Column, order: Column
     whole = F.regexp_extract_all(text, rx, F.lit(0))
     between = F.split(text, rx, F.lit(-1))
     each = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("len"), F.transform(F.regexp_extract_all(text, rx, group), F.length).alias("of"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + x["len"]
-        one = F.array(F.struct(s.alias("s"), order.alias("k"), e.alias("e")))
-        return F.struct(e.alias("at"), F.when(x["of"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.rlike(text, rx), F.aggregate(each, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    kind = "struct<s:int,k:int,e:int,fits:boolean>"
+    ends = lambda at, x: at + x["gap"] + x["len"]
+    one = lambda at, x: F.struct((at + x["gap"]).alias("s"), order.alias("k"), ends(at, x).alias("e"), (x["of"] >= least).alias("fits"))
+    found = F.filter(running(each, F.lit(0), ends, one, kind), lambda x: x["fits"])
+    return F.when(F.rlike(text, rx), F.transform(found, lambda x: x.dropFields("fits"))).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<s:int,k:int,e:int>>"
