@@ -12,13 +12,18 @@ from undertow.llm.shared import few, materialise, scratch, spare_name
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no text, or no letters. The model learns from the rows with a lang;
-    without any, only those documents go."""
+    """Drops documents that language ID rejects: no text or no letters, or a score below half of what chance gives (0.5
+    over the number of languages: the best language of a text is hardly ever that unlikely, so clean texts stay). Where lang
+    is null, the predicted language is written. The model learns from the rows with a lang; without any, only documents
+    without letters go. Repeated rows and columns of any names stay as they are."""
     model = language_id.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = spare_name(docs, "_lang"), spare_name(docs, "_score")
-    return language_id.predict(docs, model, "text", lang, score).where(F.col(lang) != "und").select(docs.columns)
+    told = language_id.predict(docs, model, "text", lang, score)
+    least = 0.5 / sum(map(len, model.languages.values()))
+    known = told.where((F.col(lang) != "und") & (F.col(score) >= least))
+    return known.withColumn("lang", F.coalesce("lang", F.col(lang))).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +59,14 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document, with its secrets replaced and n_chars counted anew."""
+    """Keeps every document, with its secrets replaced and n_chars counted anew (null for a null text). Repeated rows and
+    columns of any names stay as they are; texts of any length are searched whole."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text they decode to."""
+    """Token ids of each document, with digests of the ids and of the text they decode to; a null text counts as empty. Of the
+    columns doc_id, lang, source and n_chars stay, others go; repeated rows stay."""
     out = bpe.encode_decode(docs.select("doc_id", "text", "lang", "source", "n_chars"), tokenizer_path(), by_words=True)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
