@@ -255,6 +255,26 @@ def test_licences_against_whole_alignment(spark):
     assert {r.doc_id: [x.template for x in r.licenses] for r in two.collect()} == {1: ["m"], 2: [], 3: []}
 
 
+def test_licences_next_to_each_other(spark):
+    """Every copy of a template is reported, whole or edited, however near to the next one."""
+    t = spark.createDataFrame([("m", "MIT License"), ("one", "unlicense"), ("four", "all rights are reserved"), ("ten", " ".join(f"t{i}" for i in range(10)))], "template string, text string")
+    ten = [f"t{i}" for i in range(10)]
+    edited = ten[:7] + ["x"] + ten[8:]
+    cases = {
+        1: ("MIT License or MIT License", {"m": 2}), 2: ("MIT License " * 5, {"m": 5}), 3: ("all rights are reserved " * 2, {"four": 2}), 4: ("unlicense " * 7, {"one": 7}),
+        5: (" ".join(ten * 3), {"ten": 3}), 6: (" ".join(edited * 4), {"ten": 4}), 7: (" ".join(ten + edited + ten + ["y", "z"] + edited), {"ten": 4}), 8: (" ".join((edited + ["y"]) * 200), {"ten": 200}),
+        9: ("all rights are reserved " * 20_000 + "MIT License", {"four": 20_000, "m": 1}), 10: ("MIT MIT License License", {"m": 1}), 11: ("", {}), 12: (None, {}),
+    }
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in cases.items()], "doc_id long, text string")
+    for r in license_scan.scan(docs, t).collect():
+        counts = {}
+        for x in r.licenses:
+            counts[x.template] = counts.get(x.template, 0) + 1
+        assert counts == cases[r.doc_id][1], r.doc_id
+        assert all(a.end <= b.start for a, b in zip(r.licenses, r.licenses[1:], strict=False))
+        assert all(x.coverage == 1.0 for x in r.licenses) or r.doc_id in (6, 7, 8)
+
+
 def judged(url, rules):
     if url is None or "://" not in url:
         return "", "", None, "allow"

@@ -4,12 +4,14 @@ Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-c
 winnowed: of each `window` neighbouring hashes the least is kept. The index has a posting (fingerprint, template,
 place) for each. Texts are winnowed in the same way, so any run of `window` + 2 words in common gives a common
 fingerprint. Texts with a fingerprint of the index go on; their fingerprints are joined with the postings, and each
-(text, template) gets its diagonals, gathered into bands. In each band a local alignment of the template with the
-text is computed, and reported when it covers at least `least` of the template's words: (template, coverage, start,
-end) with the span in code points. Of overlapping reports the one with most matched words stays, then the one with
+(text, template) gets its diagonals, gathered into bands. Whole copies on a diagonal are reported first. In each band a local
+alignment of the template with the text between them is computed, and reported when it covers at least `least` of the
+template's words: (template, coverage, start, end) with the span in code points; what lies left and right of it in the
+band is aligned again, so copies next to each other are all reported. A band whose best alignment covers less ends there. Of overlapping reports the one with most matched words stays, then the one with
 the larger coverage, then the smaller template id.
 
-Templates of one or two words have one hash each, for which every place of a text is looked up. The index's
+Templates of one or two words have one hash each, for which every place of a text is looked up: of them whole copies are
+reported, from the left. The index's
 fingerprints go to the tasks with the function while they are at most `most_prints`, so that texts without one are
 left out at once; a larger index is only joined. Either way the postings are joined, and the results are the same.
 
@@ -22,6 +24,8 @@ stay one to one and keep their columns, repeated ones too; a column named `licen
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,15 +118,49 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
     return best[1:]
 
 
-def _clusters(shifts: list[int], band: int) -> list[tuple[int, int]]:
-    """(centre, half width) of bands that hold all shifts; shifts further apart than a band are apart."""
-    out, run = [], []
-    for s in sorted(set(shifts)):
-        if run and s - run[-1] > band:
-            out.append(run)
-            run = []
-        run.append(s)
-    return [((r[0] + r[-1]) // 2, (r[-1] - r[0] + 1) // 2 + band) for r in [*out, run] if r]
+def _bands(shifts: list[int], n: int) -> list[tuple[int, int]]:
+    """(first, last) shift of the bands of a template of n words; shifts further apart than a band are apart. Runs of more
+    than 2 n shifts are cut into bands that overlap by n, so that the work grows with the text only."""
+    runs: list[list[int]] = []
+    for s in shifts:
+        if runs and s - runs[-1][1] <= BAND:
+            runs[-1][1] = s
+        else:
+            runs.append([s, s])
+    return [(at, min(b, at + 2 * n)) for a, b in runs for at in range(a, max(a, b - 2 * n + n - 1) + 1, n)]
+
+
+def occurrences(template: np.ndarray, text: np.ndarray, shifts: list[int], least: float) -> list[tuple[int, int, int]]:
+    """(equal words, first and last text word) of the template's copies near the diagonals: whole ones from the left, then
+    in each band the best alignment between them, and again on what it leaves on either side while it reports one."""
+    n, shifts = len(template), sorted(set(shifts))
+    out, free, at = [], [], 0
+    for s in shifts:
+        if s >= at and s + n <= len(text) and text[s] == template[0] and np.array_equal(text[s : s + n], template):
+            out.append((n, s, s + n - 1))
+            free.append((at, s))
+            at = s + n
+    if n < GRAM:
+        return out
+    free = [(a, b) for a, b in [*free, (at, len(text))] if b - a >= least * n]
+    ends = [b for _, b in free]
+    for low, high in _bands(shifts, n):
+        low, high = low - BAND, high + BAND
+        todo = []
+        for a, b in free[bisect_right(ends, low) :]:
+            if a >= high + n:
+                break
+            todo.append((max(a, low), min(b, high + n)))
+        while todo:
+            a, b = todo.pop()
+            if b - a < least * n:
+                continue
+            left, right = max(low, a - n + 1), min(high, b - 1)
+            matched, first, last = align(template, text[a:b], (left + right) // 2 - a, (right - left + 1) // 2)
+            if matched and matched >= least * n:
+                out.append((matched, a + first, a + last))
+                todo += [(a, a + first), (a + last + 1, b)]
+    return out
 
 
 _REPORT = "array<struct<template:string,coverage:double,matched:int,start:int,end:int>>"
@@ -166,15 +204,13 @@ def scan(docs: DataFrame, templates: DataFrame, text_col: str = "text", template
             got = []
             for x in c.as_py():
                 body = np.array(x["body"], np.int64).view(_U)
-                for shift, band in _clusters(x["shifts"], BAND):
-                    matched, first, last = align(body, w, shift, band)
-                    if matched >= least * len(body):
-                        got.append((-matched, -matched / len(body), x["template"], first, last))
-            kept = []
+                got += [(-matched, -matched / len(body), x["template"], first, last) for matched, first, last in occurrences(body, w, x["shifts"], least)]
+            kept: list[tuple] = []  # apart from each other, by place
             for m, cover, name, first, last in sorted(got):
-                if all(last < k["a"] or first > k["b"] for k in kept):
-                    kept.append({"template": name, "coverage": -cover, "matched": -m, "start": int(spans[first][0]), "end": int(spans[last][1]), "a": first, "b": last})
-            out.append([{k: v for k, v in x.items() if k not in "ab"} for x in sorted(kept, key=lambda x: x["start"])])
+                i = bisect_right(kept, last, key=lambda k: k[0])
+                if i == 0 or kept[i - 1][1] < first:
+                    kept.insert(i, (first, last, {"template": name, "coverage": -cover, "matched": -m, "start": int(spans[first][0]), "end": int(spans[last][1])}))
+            out.append([k[2] for k in kept])
         kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         return pa.array(out, kind)
 
