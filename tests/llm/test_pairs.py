@@ -54,6 +54,29 @@ def test_jaccard_query_equals_brute_force(spark, sf_dir):
     assert result(QUERIES["op1_ngram_jaccard"](spark, sf_dir)) == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [62, 70])
+def test_jaccard_at_low_percentages(spark, percent):
+    """Signatures grow with the set alone; components equal brute force; beyond the promise the join refuses."""
+    rng = random.Random(percent)
+    for n in (1, 7, 40, 200, 1000, 10_000):
+        x = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        assert len(ngram_jaccard.signatures(x, percent, {})) <= 5 * n + 64
+    rows = []
+    for size in (3, 8, 20, 60, 200):
+        text = [f"w{rng.randrange(400)}" for _ in range(size)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(max(1, size // 25)):
+                k = rng.randrange(len(text))
+                text = text[:k] + [f"x{rng.randrange(9)}"] * rng.randrange(3) + text[k + 1 :] or ["z"]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(ngram_jaccard.link(docs, percent)[0]) == brute(rows, percent)
+    for wrong in (61, 100):
+        with pytest.raises(ValueError):
+            ngram_jaccard.link(docs, wrong)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_chains_and_classes(spark, seed):
     """Chains of edits, so that components hold pairs that do not link, at sizes around the class bounds."""

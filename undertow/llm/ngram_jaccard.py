@@ -29,6 +29,7 @@ its own component. Very long texts are sets like any other. Other columns, whate
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ _U = np.uint64
 FRAGMENTS, FINE = 8, 128
 #: The largest bucket that lists its pairs.
 SMALL = 8
+#: The least percentage: below it sets of one class may differ in so much that no fragment need be whole.
+LEAST_PERCENT = 62
 _SALTS = 32
 
 
@@ -57,17 +60,29 @@ def size_class(n: int, percent: int) -> tuple[int, int, int]:
 
 
 def spare_fragments(least: int, differ: int) -> int:
-    """Spare fragments, so that sets of `least` shingles rarely leave more of them empty."""
+    """Spare fragments, so that sets of `least` shingles rarely leave more of them empty: as few as that takes. Where that
+    takes fragments of less than one and a half shingles, the least spare number stays if a set then gives few combinations
+    of its empty ones; else fragments get as fine as they must."""
     few, sigmas = (1 if differ < 24 else 2), (3 if differ < 100 else 6)
-    for e in range(few, least):
+
+    def empty(e: int) -> float:
         k = differ + 1 + e
-        if 3 * k > 2 * least:
-            break
         mean = k * (1 - 1 / k) ** least
-        spread = max(0.0, mean + k * (k - 1) * (1 - 2 / k) ** least - mean**2) ** 0.5
-        if mean + sigmas * spread <= e:
+        return mean + sigmas * max(0.0, mean + k * (k - 1) * (1 - 2 / k) ** least - mean**2) ** 0.5
+
+    for e in range(few, least):
+        if 3 * (differ + 1 + e) > 2 * least:
+            break
+        if empty(e) <= e:
             return e
-    return few
+    if comb(ceil(empty(few)), few + 1) <= 64 + 2 * least:
+        return few
+    e = few
+    while empty(e) > e:
+        if e > 64 * least:
+            raise ValueError(f"sets of {least} shingles that differ in {differ} have no whole fragments in common")
+        e += 1 + e // 50
+    return e
 
 
 def plan(n: int, percent: int) -> list[tuple[int, int, int, int]]:
@@ -249,7 +264,8 @@ def _repeated(batches):
 
 
 def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3, passes: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|.
+    """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|. The percentage is
+    62 to 99; the lower, the finer the fragments: a set of n shingles gives up to about n signatures at 75, 4 n at 62.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
     and component_id (smallest id reachable by links). links: verified pairs of nodes that span the components, as
@@ -258,6 +274,8 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     The signatures are by far the widest shuffle. With `passes` they are made and grouped in so many parts, one after the
     other, each of which reads the texts again: less disk for more time, the same result.
     """
+    if not LEAST_PERCENT <= percent < 100:
+        raise ValueError(f"percent is {LEAST_PERCENT} to 99")
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialise(rows.select("doc", _profile(percent, width)("text").alias("p")).select("doc", "p.*"))
     salted = base.select("doc", "n", "node", F.pmod(F.xxhash64("doc"), F.lit(_SALTS)).alias("salt"))
