@@ -90,14 +90,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """The same table. Texts are long rows, and Spark cuts Arrow batches by their number: the session's batches are set
-    to this many, so that a Python worker holds a few MB of texts at a time. A smaller number that the user chose stays."""
-    conf, name, own = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "undertow.batches"
-    now = conf.get(name)
-    if now == conf.get(own, None) or not 0 < int(now) <= rows:
-        conf.set(name, str(rows))
-        conf.set(own, str(rows))
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table. Texts are long rows, so the session's Arrow batches are cut at a MB and 2000 rows: a Python worker
+    holds a few MB of texts at a time, or one longer text. The cut is the same for all operators, as it is read when a plan
+    runs and not when it is made; smaller numbers that the user chose stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20)):
+        now = conf.get(name).removesuffix("b")
+        if not now.lstrip("-").isdigit():
+            continue  # in a unit, so the user's
+        if not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df
 
 
