@@ -265,7 +265,7 @@ def _repeated(batches):
 
 def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", width: int = 3, passes: int = 1) -> tuple[DataFrame, DataFrame]:
     """Joins documents whose sets of `width`-word shingles have 100 * |intersection| >= percent * |union|. The percentage is
-    62 to 99; the lower, the finer the fragments: a set of n shingles gives up to about n signatures at 75, 4 n at 62.
+    62 to 99; the lower, the finer the fragments: a set of n shingles is expected to give up to 1.5 n signatures at 75, 4 n at 62.
 
     Returns (members, links). members: every row's id, n_shingles, representative (smallest id with an equal set)
     and component_id (smallest id reachable by links). links: verified pairs of nodes that span the components, as
