@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from undertow.functions.text import extract_json, strip
 
 # The most entries of each list and the most characters of each text.
-CAPS = {"what_to_test": 12, "risk_areas": 8, "notes": 6, "primary_actions": 8, "key_components": 10, "label": 80, "purpose": 400, "section": 6000}
+CAPS = {"what_to_test": 12, "risk_areas": 8, "notes": 6, "primary_actions": 8, "key_components": 10, "label": 80, "purpose": 400}
 
 _REQUIREMENTS = "requirements array<struct<title:string,description:string,user_action:string,expected_outcome:string,priority:string>>"
 _LABEL = "label string, purpose string, primary_actions array<string>, key_components array<string>"

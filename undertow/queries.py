@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions import text as X
 from undertow.functions import keys, model_output
-from undertow.operators import code, evaluate, graph, impact, mappings, report, resolve, store
+from undertow.operators import code, evaluate, graph, impact, mappings, prompts, report, resolve, store, usage
 from undertow.operators.engine import Engine, Impact
 from undertow.plans.closure import bounded_upstream, checkpoint_folder, checkpointed, upstream_sql
 from undertow.plans.crawl import bfs_crawl as crawl
@@ -631,6 +631,16 @@ def usage_rollup(t: Tables) -> DataFrame:
     return rows.rollup("role").agg(F.count("*").alias("calls"), F.sum("n").alias("input"), share.alias("cached_percent"), F.grouping("role").alias("g")).select(F.when(F.col("g") == 1, "total").otherwise(F.col("role")).alias("tag"), "calls", "input", "cached_percent")
 
 
+@query("""SELECT tag, grouping(tag) = 1 AS is_total, count(*) AS calls, CAST(sum(n) AS BIGINT) AS input, CAST(sum(turn) AS BIGINT) AS output, CAST(sum(CASE WHEN turn > 0 THEN n ELSE 0 END) AS BIGINT) AS cache_read,
+    CAST(sum(CASE WHEN turn = 0 THEN n ELSE 0 END) AS BIGINT) AS cache_write, CAST(sum(CAST(n * 0.000123 AS DECIMAL(28, 9))) AS DOUBLE) AS cost, round(coalesce(100.0 * sum(CASE WHEN turn > 0 THEN n ELSE 0 END) / nullif(sum(n), 0), 0), 1) AS cached_percent
+    FROM (SELECT CASE WHEN role <> 'system' THEN role END AS tag, turn, length(text) AS n FROM conversations) GROUP BY ROLLUP (tag)""")
+def usage_cost(t: Tables) -> DataFrame:
+    """What the turns of all conversations took and cost, by role and in total; the first turn of each fills the cache."""
+    n = F.length("text")
+    rows = t.raw("conversations").select(F.when(F.col("role") != "system", F.col("role")).alias("tag"), F.lit("m").alias("model"), n.alias("input"), F.col("turn").alias("output"), F.when(F.col("turn") > 0, n).alias("cache_read"), F.when(F.col("turn") == 0, n).alias("cache_write"), (n * 0.000123).alias("cost"))
+    return usage.summary(rows).withColumn("cost", F.col("cost").cast("double"))
+
+
 # --- texts --------------------------------------------------------------------------------------------
 
 
@@ -732,6 +742,34 @@ def narrative_stability(t: Tables) -> DataFrame:
     return evaluate.stability(runs, ["conv_id"])
 
 
+@query("""SELECT doc_id, ord, 'Heading: ' || heading || chr(10) || chr(10) || left(body, 6000) AS prompt FROM (""" + ORACLE_SQL["split_sections"] + ")")
+def prompt_sections(t: Tables) -> DataFrame:
+    """A prompt for each section of each document."""
+    return split_sections(t).select("doc_id", "ord", prompts.section(F.col("heading"), F.col("body")).alias("prompt"))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, left(string_agg(line, '; ' ORDER BY o_orderdate, line), 3000) AS text
+    FROM (SELECT *, 'O' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' ' || o_orderpriority ELSE '' END AS line FROM orders) GROUP BY 1, 2""")
+def prompt_lists(t: Tables) -> DataFrame:
+    """Orders of each status and priority as one list for a prompt, the first 3000 characters by date."""
+    line = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), "o_orderpriority")).otherwise(""))
+    return prompts.joined(t.raw("orders").withColumn("line", line), ["o_orderstatus", "o_orderpriority"], ["o_orderdate"], "; ", most_chars=prompts.LIST)
+
+
+@query("""WITH r AS (SELECT 'R' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS req_id, c_name, c_mktsegment AS act, CASE WHEN c_custkey % 4 > 0 THEN 'seen' ELSE '' END AS seen FROM customer),
+    n AS (SELECT '- ' || req_id || ': ' || c_name || ' | user: ' || act || ' -> ' || seen AS line, row_number() OVER (ORDER BY req_id) AS n FROM r),
+    s AS (SELECT coalesce(left(string_agg('- ' || url || ' (' || url || ')', chr(10) ORDER BY url), 60000), 'none') AS s FROM pages WHERE url <> ''),
+    f AS (SELECT string_agg(p, chr(10) ORDER BY p) AS f FROM (SELECT DISTINCT p_name AS p FROM part ORDER BY 1 LIMIT 300))
+    SELECT CAST((n - 1) // 200 AS BIGINT) AS batch, 'Requirements:' || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10) || chr(10) || 'Screens:' || chr(10) || any_value(s) || chr(10) || chr(10) || 'Files:' || chr(10) || any_value(f) AS prompt
+    FROM n, s, f GROUP BY 1""")
+def prompt_mappings(t: Tables) -> DataFrame:
+    """What a model is asked for links of customers to pages and parts, 200 customers a prompt."""
+    outcome = F.when(F.col("c_custkey") % 4 > 0, "seen")
+    asked = t.raw("customer").select(F.concat(F.lit("R"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("req_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("user_action"), outcome.alias("expected_outcome"))
+    none = F.lit(None).cast("string")
+    return prompts.mappings(asked, t.raw("pages").select("url", none.alias("title"), none.alias("label")), t.raw("part").select(F.col("p_name").alias("path")))
+
+
 _SHOWN = "array_to_string(list_transform(range(1, len(h) + 1), lambda i: 'link [ref=e' || i || CASE WHEN i % 3 = 0 THEN ']' ELSE ', url=' || h[i] || ']' END), ' ')"
 
 

@@ -62,6 +62,15 @@ def load_run(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 DOCUMENTS = {"crawl/manifest.json": (MANIFEST, ("screens", "transitions")), "requirements.json": (REQUIREMENTS, ("requirements",)), "code.json": (CODE, ("files", *EDGES))}
 
 
+def document_parts(df: DataFrame, field: str, kept: list[str], rows: int) -> DataFrame:
+    """(value): JSON objects with up to `rows` rows of the table each, as an array in `field`, and the place of the first.
+    The rows' order is that of seq, if there is such a column."""
+    placed = numbered(df, ["seq"], "_n") if "seq" in df.columns else numbered(df.withColumn("seq", F.monotonically_increasing_id()), ["seq"], "_n")
+    part = F.expr(f"(_n - 1) div {rows}")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*kept).alias("x")))), lambda i: i["x"])
+    return placed.groupBy(part.alias("_part")).agg(items.alias(field)).select(F.to_json(F.struct((F.col("_part") * rows).alias("_first"), field)).alias("value"))
+
+
 def save_run(run: dict[str, DataFrame], folder: str, heads: dict[str, dict] | None = None, rows: int = 10_000) -> None:
     """Writes the documents that load_run reads. A document is a folder of parts, each a JSON object on a line of its own:
     one with the values of `heads` (by document), and for each table objects with up to `rows` of its rows in the order
@@ -75,10 +84,7 @@ def save_run(run: dict[str, DataFrame], folder: str, heads: dict[str, dict] | No
                 continue
             df = run[table]
             kept = [f.name for f in T._parse_datatype_string(schema)[table].dataType.elementType if f.name in df.columns]
-            placed = numbered(df, ["seq"], "_n") if "seq" in df.columns else numbered(df.withColumn("seq", F.monotonically_increasing_id()), ["seq"], "_n")
-            part = F.expr(f"(_n - 1) div {rows}")
-            items = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*kept).alias("x")))), lambda i: i["x"])
-            docs = placed.groupBy(part.alias("_part")).agg(items.alias(table)).select(F.to_json(F.struct((F.col("_part") * rows).alias("_first"), table)).alias("value"))
+            docs = document_parts(df, table, kept, rows)
             head = head.unionByName(docs)
         head.write.mode("overwrite").text(f"{folder}/{name}")
 
