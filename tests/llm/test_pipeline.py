@@ -1,13 +1,14 @@
 """The pipeline against plain versions of its stages."""
 
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 from tests.llm.test_near_copies import brute
 from tests.llm.test_texts import base_spans, leaks_brute
 
 import corpus_pipeline
-from undertow.llm.shared import materialise
+from undertow.llm.shared import materialise, shared_folder
 
 
 def test_pipeline(spark, sf_dir):
@@ -17,7 +18,11 @@ def test_pipeline(spark, sf_dir):
     kept = {i: spoken[i] for i, c in brute(list(spoken.items()), 5, 80).items() if i == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaked = {i for i, _ in leaks_brute(list(kept.items()), items)}
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    folder = shared_folder(spark)
+    before = {x for x in os.listdir(folder) if x.startswith("undertow-")}
+    done = corpus_pipeline.run(spark, sf_dir)
+    assert len({x for x in os.listdir(folder) if x.startswith("undertow-")} - before) == 1  # the result alone
+    out = {r.doc_id: r for r in done.collect()}
     assert set(out) == set(kept) - leaked
     from tokenizers import Tokenizer
 

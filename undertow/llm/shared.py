@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import weakref
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def materialise(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = path
     weakref.finalize(out, _written.pop, id(out), None)
-    for block in scratch.open[-1:]:
+    for block in _open.get()[-1:]:
         block.tables.append(out)
     return out
 
@@ -57,24 +58,30 @@ _written: dict[int, str] = {}
 
 
 class scratch:  # noqa: N801
-    """A block whose materialised tables are deleted at its end, but for those given to `keep`."""
-
-    open: list[scratch] = []
+    """A block whose materialised tables are deleted at its end, but for those given to `keep`: they belong to the block
+    around this one, if there is one. Each thread has blocks of its own."""
 
     def __enter__(self) -> scratch:
         self.tables: list[DataFrame] = []
-        scratch.open.append(self)
+        self.around = _open.get()
+        self.token = _open.set((*self.around, self))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
+        mine = len(self.tables)
         self.tables = [t for t in self.tables if t is not df]
+        if self.around and len(self.tables) < mine:
+            self.around[-1].tables.append(df)
         return df
 
     def __exit__(self, *failure) -> None:
-        scratch.open.remove(self)
+        _open.reset(self.token)
         discard(*self.tables)
 
 
+_open: ContextVar[tuple[scratch, ...]] = ContextVar("open", default=())
+
+
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast where it has at most `most`, counted first; beyond that Spark
     joins it as it does any other."""
