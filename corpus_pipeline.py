@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undertow.llm import bpe, decontaminate, language_id, ngram_jaccard, secret_scan
 from undertow.llm.queries import table, tokenizer_path
-from undertow.llm.shared import few, materialise, scratch, spare_name
+from undertow.llm.shared import discard, few, materialise, scratch, spare_name
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way, and its input, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch() as tables:
+            before, docs = docs, tables.keep(materialise(stage(spark, docs, sf_dir)))
+        discard(before)
     return docs
