@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from undertow.llm import bpe, decontaminate, license_scan, secret_scan, sharding, url_filter
@@ -189,6 +190,28 @@ def test_bpe_tables(spark, sf_dir, tokenizer):
         assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(e, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_words_of_one_call_equal_the_library(tokenizer, monkeypatch):
+    """Words are encoded many to a text: few calls, also for those that hold the token between them or give no token."""
+    rng = random.Random(9)
+    words = list({nasty(rng, 4).replace(" ", "").replace("\n", "") for _ in range(3000)} - {""}) + ["0", "10", "x0", "\u0660", "\uff10", "\u00a0", "\u0301", "0" * 300, "y" * 5000]
+    rng.shuffle(words)
+    texts = []
+
+    class Counted:
+        encode = tokenizer.encode
+
+        def encode_batch_fast(self, some, **more):
+            texts.extend(some)
+            return tokenizer.encode_batch_fast(some, **more)
+
+    want = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert bpe.encode_apart(Counted(), words) == want
+    assert len(texts) < len(words) / 20
+    monkeypatch.setattr(bpe, "_APART", "a")  # "A" gives that token too, without holding it
+    upper = ["A", "b", "B'S", "ba", "A"]
+    assert bpe.encode_apart(tokenizer, upper) == [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in upper]
+
+
 def test_any_number_of_rules_and_trigrams(spark):
     """200 rules, one with a clause of 98 trigrams, one without any; each span equals a plain search."""
     long = "".join(chr(97 + i * i % 26) for i in range(100))

@@ -15,6 +15,7 @@ their columns (repeated rows too); columns named like the outputs are replaced.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,24 +114,48 @@ def join_tree(tokenizer, text: str, parts: list, cuts: list[int]):
 # --- tables -----------------------------------------------------------------------------
 
 _RESULT_DDL = "ids binary, n_tokens long, decoded string"
-_CACHE = 200_000  # words a task keeps; beyond that it starts afresh
+_CACHE = 100_000  # words that a task keeps; beyond that it starts afresh with those met last
+_APART, _MANY = "0", 256  # what stands between words that are encoded as one text, and how many are
 _known: dict[str, dict[bytes, bytes]] = {}
 _tokens: dict[str, np.ndarray] = {}
 
 
+def encode_apart(tokenizer, words: list[str]) -> list[bytes]:
+    """Packed ids of each word, as a text of its own gives them, for a tokenizer that drops white space. Words are encoded
+    many to a text, with one known token between them, and cut there; words that may hold that token go one by one."""
+    out, apart = [b""] * len(words), tokenizer.encode(_APART, add_special_tokens=False).ids
+    joined = [i for i, w in enumerate(words) if _APART not in w] if len(apart) == 1 else []
+    for at in range(0, len(joined), _MANY * 16):
+        groups = [joined[k : k + _MANY] for k in range(at, min(at + _MANY * 16, len(joined)), _MANY)]
+        texts = [f" {_APART} ".join([words[i] for i in g]) for g in groups]
+        for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == apart[0]) * 4).tolist(), len(ids) * 4]
+            if len(ends) != len(g):
+                continue  # a word gave that token after all
+            packed, begin = ids.tobytes(), 0
+            for i, end in zip(g, ends, strict=True):
+                out[i], begin = packed[begin:end], end + 4
+    single = [i for i, x in enumerate(out) if not x]
+    for at in range(0, len(single), 4096):
+        part = single[at : at + 4096]
+        for i, e in zip(part, tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode_words(path: str, texts: list[str]) -> list[bytes]:
     """Packed ids of texts for a tokenizer that drops white space: those of the words, each different one encoded
     once. Only ASCII white space cuts here; the tokenizer sees to the rest."""
     tokenizer, known = load(path), _known.setdefault(path, {})
     cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    met = set().union(*cut)
+    new = list(met.difference(known))
+    known.update(zip(new, encode_apart(tokenizer, [w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
+    out = [b"".join(map(known.__getitem__, words)) for words in cut]
     if len(known) > _CACHE:
-        known.clear()
-    new = list({w for words in cut for w in words}.difference(known))
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in cut]
+        _known[path] = {w: known[w] for w in met} if len(met) <= _CACHE else {}
+    return out
 
 
 def decode(path: str, ids: bytes) -> str:
@@ -150,7 +175,7 @@ def _result(path: str, ids: list[bytes]) -> pa.Array:
 _batches = 0
 
 
-def _breathe(every: int = 64) -> None:
+def _breathe(every: int = 8) -> None:
     global _batches
     _batches += 1
     if _batches % every == 0:
@@ -161,14 +186,19 @@ def _functions(path: str, leaf_size: int, by_words: bool):
     place = "<u2" if leaf_size < 1 << 16 else "<u4"  # of a character within its leaf
 
     @arrow_udf(_RESULT_DDL)
-    def whole(text: pa.Array) -> pa.Array:
-        t, out = load(path), [_result(path, [])]
-        for at in range(0, len(text), 128):
-            some = text.slice(at, 128).to_pylist()
-            ids = encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
-            out.append(_result(path, ids))
-        _breathe()
-        return pa.concat_arrays(out)
+    def whole(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = load(path)
+        for text in texts:
+            out = [_result(path, [])]
+            for at in range(0, len(text), 512):
+                some = text.slice(at, 512).to_pylist()
+                ids = encode_words(path, some) if by_words else [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(some, add_special_tokens=False)]
+                out.append(_result(path, ids))
+                del some, ids
+            yield pa.concat_arrays(out)
+            _breathe()
+        _known.clear()  # the worker stays for other tasks and stages
+        give_back()
 
     @arrow_udf("ids binary, starts binary, ends binary")
     def leaf(text: pa.Array) -> pa.Array:
