@@ -199,3 +199,14 @@ def test_a_large_group_of_near_copies_and_hot_fragments(spark):
         rows.append((len(rows), "a common line of words " + " ".join(f"v{rng.randrange(30)}" for _ in range(rng.randrange(8)))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert result(ngram_jaccard.link(docs)[0]) == brute(rows)
+
+
+def test_nodes_of_many_buckets_are_compared_with_one_set(spark):
+    """Neighbouring buckets agree on a set, so that a node is not taken apart for each of them; none of their pairs is lost."""
+    buckets = {i: range(i, i + 9) for i in range(24)} | {100: range(200, 209)}
+    large = spark.createDataFrame([(s, n, 9) for s, nodes in buckets.items() for n in nodes], "sig long, node long, size long")
+    comp = spark.createDataFrame([(n, (200, 200)) for n in range(200, 209)], "node long, component struct<rep: long, node: long>")
+    rows = [tuple(r) for r in ngram_jaccard._mixed(large, comp).collect()]
+    of = {n: {a for a, b, _ in rows if b == n} for n in range(32)}
+    assert all(of[x] & of[y] for i in range(24) for x in buckets[i] for y in buckets[i])
+    assert len(rows) == len(set(rows)) == 32 and {(a, a, a) for a, _, _ in rows} <= set(rows)

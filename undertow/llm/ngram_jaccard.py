@@ -18,8 +18,9 @@ approximation (about 1e-3 expected wrong shingles in 1e8 different ones).
 Groups do not become pairs. Copies with equal sets are one node. A bucket (the sets that agree on a fragment) of up to
 8 nodes lists its pairs. What is linked and shares no such bucket shares all its agreed fragments in larger ones, so
 only nodes with as many of these as step 1 promises stay there. Each is compared with one pivot of its buckets; where
-a bucket still holds several components, its nodes are compared by how they differ from the bucket's pivot, which sets
-apart the members of a large group of near copies.
+a bucket still holds several components, its nodes are compared by how they differ from one set, which sets apart the
+members of a large group of near copies; neighbouring buckets take the same set, so a node is taken apart once or a few
+times, however many buckets it is in.
 
 Nulls and empty texts have no shingles and link with nothing. Rows without an id keep a null component. Repeated
 rows are one node, and each gets its row of the result; different texts under one id are different nodes, each with
@@ -47,6 +48,8 @@ SMALL = 8
 #: The least percentage: below it sets of one class may differ in so much that no fragment need be whole.
 LEAST_PERCENT = 62
 _SALTS = 32
+#: Steps from bucket to bucket within which they agree on one set to compare with.
+ROUNDS = 3
 
 
 def size_class(n: int, percent: int) -> tuple[int, int, int]:
@@ -377,18 +380,27 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(large: DataFrame, comp: DataFrame) -> DataFrame:
-    """(a, b, c) for the buckets that still hold several components: the bucket's pivot, each other member and the
-    member's component; the pivot itself comes with b = a."""
+    """(a, b, c) for the buckets that still hold several components: a set to compare with, each member of a bucket and the
+    member's component; the set itself comes with b = a. Any set tells two others apart (see below), so neighbouring
+    buckets take the same one: that with most company within ROUNDS steps. A node of many buckets then has few of them."""
     lab = large.join(comp.select("node", F.col("component.node").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = lab.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-    return lab.join(_bucket_pivots(large).join(mixed, "sig", "left_semi"), "sig").select("a", F.col("node").alias("b"), "c").distinct()
+    lab = materialise(lab.join(mixed, "sig", "left_semi").select("sig", "node", "c"))
+    best = large.groupBy("node").agg(F.sum("size").alias("company")).select("node", F.struct("company", "node").alias("m"))
+    for _ in range(ROUNDS):
+        chosen = lab.join(best, "node").groupBy("sig").agg(F.max("m").alias("m"))
+        best = materialise(lab.join(chosen, "sig").groupBy("node").agg(F.max("m").alias("m")))
+    chosen = lab.join(best, "node").groupBy("sig").agg(F.max("m").alias("m")).select("sig", F.col("m.node").alias("a"))
+    members = lab.join(chosen, "sig").select("a", F.col("node").alias("b"), "c")
+    own = lab.select(F.col("node").alias("a"), "c").distinct().join(chosen.select("a").distinct(), "a", "left_semi").select("a", F.col("a").alias("b"), "c")
+    return members.union(own).distinct()
 
 
 def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame | None:
-    """Candidates (a, b) of different components among the members (a, b, c) of a pivot a.
+    """Candidates (a, b) of different components among the members (a, b, c) that are compared with a, their pivot.
 
     With X and Y the symmetric differences of two sets from the pivot, the sets differ in exactly |X ^ Y| shingles.
-    So a link needs X and Y to have much in common, although all sets are close to the pivot: for |X| <= |Y|, r =
+    So a link needs X and Y to have much in common, although most sets are close to the pivot: for |X| <= |Y|, r =
     (100 - percent) / (100 + percent) and set sizes n, 2 |X & Y| > |X| (1 - r), |X & Y| >= |X| - (n_X + n_Y) r / 2 and
     |X & Y| >= |Y| - (n_X + n_Y) r. Prefixes of X and Y, rarest shingles first, that these bounds leave must meet.
     """
