@@ -1,6 +1,7 @@
 """Secrets, decontamination, BPE, licences and URL rules against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -212,6 +213,16 @@ def test_bpe_words_of_one_call_equal_the_library(tokenizer, monkeypatch):
     assert bpe.encode_apart(tokenizer, upper) == [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in upper]
 
 
+def test_bpe_keeps_few_words_between_calls(monkeypatch):
+    """A worker stays for later stages, so no call leaves more words behind than the cache may hold."""
+    monkeypatch.setattr(bpe, "_CACHE", 10)
+    monkeypatch.setattr(bpe, "_known", {})
+    words = ["".join(p) for p in itertools.product("abc", repeat=3)]
+    for some in (words, words[:8], words[5:12], words):
+        bpe.encode_words(tokenizer_path(), [" ".join(some)])
+        assert len(bpe._known[tokenizer_path()]) <= 10
+
+
 def test_any_number_of_rules_and_trigrams(spark):
     """200 rules, one with a clause of 98 trigrams, one without any; each span equals a plain search."""
     long = "".join(chr(97 + i * i % 26) for i in range(100))

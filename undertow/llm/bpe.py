@@ -201,22 +201,25 @@ def _functions(path: str, leaf_size: int, by_words: bool):
         give_back()
 
     @arrow_udf("ids binary, starts binary, ends binary")
-    def leaf(text: pa.Array) -> pa.Array:
-        _breathe()
-        parts = [[v.astype(k).tobytes() for v, k in zip(encode_part(load(path), x.as_py()), ("<u4", place, place), strict=True)] for x in text]
-        return pa.StructArray.from_arrays([pa.array([p[i] for p in parts], pa.binary()) for i in range(3)], ["ids", "starts", "ends"])
+    def leaf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            parts = [[v.astype(k).tobytes() for v, k in zip(encode_part(load(path), x.as_py()), ("<u4", place, place), strict=True)] for x in text]
+            yield pa.StructArray.from_arrays([pa.array([p[i] for p in parts], pa.binary()) for i in range(3)], ["ids", "starts", "ends"])
+            del parts, text
+            give_back()  # few batches, each of long texts
 
     @arrow_udf(_RESULT_DDL)
-    def tree(leaves: pa.Array) -> pa.Array:
-        _breathe()
-        out = []
-        for row in leaves:
-            row = row.as_py()
-            text = "".join(x["piece"] for x in row)
-            cuts = [0, *np.cumsum([len(x["piece"]) for x in row]).tolist()]
-            parts = [(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["starts"], place).astype(np.int64) + a, np.frombuffer(x["ends"], place).astype(np.int64) + a) for x, a in zip(row, cuts[:-1], strict=True)]
-            out.append(join_tree(load(path), text, parts, cuts)[0].astype("<u4").tobytes())
-        return _result(path, out)
+    def tree(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for leaves in batches:
+            yield _result(path, [joined(row.as_py()) for row in leaves])
+            del leaves
+            give_back()
+
+    def joined(row: list[dict]) -> bytes:
+        text = "".join(x["piece"] for x in row)
+        cuts = [0, *np.cumsum([len(x["piece"]) for x in row]).tolist()]
+        parts = [(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["starts"], place).astype(np.int64) + a, np.frombuffer(x["ends"], place).astype(np.int64) + a) for x, a in zip(row, cuts[:-1], strict=True)]
+        return join_tree(load(path), text, parts, cuts)[0].astype("<u4").tobytes()
 
     return whole, leaf, tree
 

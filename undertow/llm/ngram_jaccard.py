@@ -186,6 +186,7 @@ def _profile(percent: int, width: int):
             sums.append(_sums(x))
             shares.append(np.array(promises(x, percent, plans), np.int32))
             sizes.append(np.bincount((x >> _U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE).astype(np.int32))
+        give_back()
         return pa.StructArray.from_arrays([pa.array([s[0] for s in sums], pa.int64()), pa.array(_node(sums)), _lists(sizes, np.int32), _lists(shares, np.int32)], ["n", "node", "sizes", "shares"])
 
     return profile
