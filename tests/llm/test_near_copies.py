@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from tests.llm.test_pairs import WORD, components
 
@@ -50,3 +51,57 @@ def test_null_and_shared_ids_do_not_decide(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, sf_dir).collect()]
     assert sorted(got, key=str) == sorted([(9, a), (None, b), (5, c), (5, d), (2, e), (1, ""), (1, ""), (None, "")], key=str)
+
+
+def test_sketches_never_say_more_than_sets_differ_in():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((1, 1, 0), (3, 700, 2), (600, 600, 0), (1000, 1040, 950), (1023, 1024, 1023), (5000, 4200, 4100), (4000, 4000, 4000)):
+        both = rng.integers(0, 2**64, shared, np.uint64)
+        x, y = (np.unique(np.append(both, rng.integers(0, 2**64, k - shared, np.uint64))) for k in (n, m))
+        least = ngram_jaccard.least_difference(ngram_jaccard.sketch(x), ngram_jaccard.sketch(y))
+        assert least <= len(np.setxor1d(x, y)) and (least > 0.4 * n if not shared and n > 500 else True)
+    crowd = np.arange(900, dtype=np.uint64)  # all in one range, where counts are cut
+    assert ngram_jaccard.least_difference(ngram_jaccard.sketch(crowd), ngram_jaccard.sketch(crowd[:800])) <= 100
+
+
+def test_long_texts_with_a_common_passage_are_not_moved_as_pairs(spark, monkeypatch):
+    """Their fragments are so fine that some agree, and counts of 128 ranges are alike in all of them."""
+    rng = random.Random(6)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(4000)] for _ in range(5)]
+    changed = list(texts[0])
+    for k in range(0, 6000, 120):
+        changed[k] = "n"
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, changed])]
+    compared, overlaps = [], ngram_jaccard._overlaps
+
+    def seen(pairs, sets, percent):
+        compared.append(pairs.count())
+        return overlaps(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_jaccard, "_overlaps", seen)
+    members, _ = ngram_jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, width=5, passes=2)
+    assert {r.doc_id: r.component_id for r in members.collect()} == brute(rows, 5, 80)
+    assert sum(compared) == 1
+
+
+def test_members_that_can_meet_nobody_stay_out_of_the_join_by_shingle(spark, monkeypatch):
+    """A common line of otherwise different sets: beside their pivot they all miss the same shingles of it."""
+    line, pivot = list(range(5)), list(range(40))
+    sets = {0: pivot} | {i: line + list(range(1000 * i, 1000 * i + 40)) for i in range(1, 13)}
+    sets |= {20: line + list(range(50_000, 50_040)), 21: line + list(range(50_001, 50_041))}
+    parts = spark.createDataFrame([(n, 0, x) for n, x in sets.items()], "node long, v int, part array<long>")
+    known = spark.createDataFrame([(n, len(x)) for n, x in sets.items()], "node long, n int")
+    members = spark.createDataFrame([(0, n, n) for n in sets], "a long, b long, c long")
+    written, materialise = [], ngram_jaccard.materialise
+
+    def seen(df):
+        out = materialise(df)
+        if "list" in out.columns:
+            written.extend(r.b for r in out.collect())
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "materialise", seen)
+    found = {tuple(r) for r in ngram_jaccard._beside_pivot(members, parts, known, 80).collect()}
+    assert found == {(20, 21)} | {(0, n) for n in sets if n}
+    assert sorted(written) == [20, 21]

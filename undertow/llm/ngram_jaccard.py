@@ -9,6 +9,8 @@ cut into fragments of that order. Three things happen by fragment:
    they share at least 1 + (e - m + 1) // 2. A set with more empty ones also gives each e + 1 of them. Agreement on
    one fragment (its content's hash) therefore finds every link, and needs no shingle frequencies.
 2. Bounds. The order is cut into 128 fragments, the same for all sets; the sum of the smaller sizes bounds the overlap.
+   In large sets such fragments are of like size by chance, so what is left of their pairs is compared by counts in as
+   many fragments as half their shingles; only then are sets themselves moved.
 3. Overlaps. The order is cut into 8 fragments, the same for all sets; the overlap of a pair is counted in each of
    them apart and summed per pair.
 
@@ -43,6 +45,9 @@ from undertow.llm.shared import connected_components, discard, few, give_back, m
 _U = np.uint64
 #: Fragments in which overlaps are counted, and the finer ones whose sizes bound an overlap (powers of two).
 FRAGMENTS, FINE = 8, 128
+#: Pairs of more shingles than this in both sets together are also compared by sketches: in smaller ones a fine fragment
+#: holds four at most.
+WIDE = 8 * FINE
 #: The largest bucket that lists its pairs.
 SMALL = 8
 #: The least percentage: below it sets of one class may differ in so much that no fragment need be whole.
@@ -245,6 +250,47 @@ def _fragments(width: int):
     return cut_up
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of a power of two of equal ranges, two to four on average, 255 at most."""
+    bits = max(0, (len(x) // 2).bit_length() - 1)
+    return np.minimum(np.bincount((x >> _U(63 - bits) >> _U(1)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound, from two sketches, of how many shingles are in one of the sets only. Cut counts only lower it."""
+    k = min(len(x), len(y))
+    x, y = (s.reshape(k, -1).sum(1, dtype=np.int64) for s in (x, y))
+    return int(np.abs(x - y).sum())
+
+
+def _sketches(width: int):
+    """(node, sketch) of each set; copies within a task come once."""
+
+    def draw(batches):
+        seen = set()
+        for b in batches:
+            nodes, made = [], []
+            for x in shingle_sets(b.column(0), width):
+                node = int(_node([_sums(x)])[0])
+                if len(x) and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    made.append(sketch(x).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], ["node", "sketch"])
+        give_back()
+
+    return draw
+
+
+def _least_differences():
+    @arrow_udf("long")
+    def differences(left: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = zip(left, right, strict=True)
+        return pa.array([least_difference(*(np.frombuffer(s.as_buffer(), np.uint8) for s in p)) for p in pairs], pa.int64())
+
+    return differences
+
+
 def _repeated(batches):
     """Of rows sorted by signature and node, each once, those whose signature comes with another node; also the first
     and last run of a partition, which may go on in the next one."""
@@ -305,13 +351,23 @@ def link(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     listed = small.join(small.select("sig", F.col("node").alias("b")), "sig").where("node < b").select(F.col("node").alias("a"), "b")
     pairs = materialise(listed.union(_with_pivots(large)).distinct())
     discard(grouped)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    ends = _ends(pairs).union(large.select("node")).distinct()
     known = materialise(kinds.join(ends, "node", "left_semi").select("node", "n", "sizes"))
     pairs = materialise(_possible(pairs, known, percent))
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
-    need = materialise(reps.join(need, "node", "left_semi").select(F.col("rep").alias("doc"), "node"))
-    sets = rows.join(few(need.select("doc").distinct()), "doc", "left_semi").select("text").mapInArrow(_fragments(width), "node long, v int, part array<long>")
+    def texts_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        need = materialise(reps.join(nodes.distinct(), "node", "left_semi").select(F.col("rep").alias("doc"), "node"))
+        return need, rows.join(few(need.select("doc").distinct()), "doc", "left_semi").select("text")
+
+    wide = pairs.where(F.col("size") > WIDE)
+    if not wide.isEmpty():
+        _, texts = texts_of(_ends(wide))
+        sketches = materialise(texts.mapInArrow(_sketches(width), "node long, sketch binary"))
+        pairs = materialise(pairs.where(F.col("size") <= WIDE).union(_close(wide, sketches, percent)))
+        discard(sketches)
+
+    need, texts = texts_of(_ends(pairs).union(large.select("node")))
+    sets = texts.mapInArrow(_fragments(width), "node long, v int, part array<long>")
     if not base.join(need, ["doc", "node"], "left_semi").groupBy("doc", "node").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["node", "v"])  # only rows that repeat an id and its text can give a set twice
     sets = materialise(sets)
@@ -366,11 +422,28 @@ def _possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return fit.select("a", "b", size.alias("size"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, size), those whose sketches allow a link."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")), x)
+    apart = pairs.select("a", "b", "size", _least_differences()("sa", "sb").alias("apart"))
+    return apart.where((100 + percent) * (F.col("size") - F.col("apart")) >= 2 * percent * F.col("size")).select("a", "b", "size").distinct()
+
+
 def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs' sets by fragment: pa and pb."""
-    left = sets.select(F.col("node").alias("b"), "v", F.col("part").alias("pb"))
-    right = sets.select(F.col("node").alias("a"), "v", F.col("part").alias("pa"))
-    return pairs.join(left, "b").join(right, ["a", "v"])
+    """The pairs' sets by fragment: pa and pb. The pairs are a written table; where they have few ends, other sets stay where
+    they are."""
+
+    def of(x: str) -> DataFrame:
+        ends = pairs.select(F.col(x).alias("node")).distinct()
+        mine = sets.join(F.broadcast(ends), "node", "left_semi") if ends.count() <= 1_000_000 else sets
+        return mine.select(F.col("node").alias(x), "v", F.col("part").alias(f"p{x}"))
+
+    return pairs.join(of("b"), "b").join(of("a"), ["a", "v"])
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -412,17 +485,21 @@ def _beside_pivot(members: DataFrame, sets: DataFrame, known: DataFrame, percent
     own = members.where("a = b").select("a", F.col("c").alias("ca"))
     direct = members.where("a <> b").join(own, "a").where("c <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     group = members.where("a <> b").join(known.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    apart = _side_by_side(group.select("a", "b"), sets).select("a", "b", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
+    apart = _side_by_side(members.where("a <> b"), sets).select("a", "b", "c", F.explode(F.concat(F.array_except("pa", "pb"), F.array_except("pb", "pa"))).alias("e"))
     apart = materialise(apart)
-    counts = apart.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")
-    # shingles that only one document of the pivot has are first in the order and are only counted
-    held = apart.groupBy("a", "b").agg(F.count("*").alias("size")).join(group, ["a", "b"])
-    common = apart.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
-    lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
-    discard(apart)
+    # shingles that only one document of the pivot has are first in the order; who has as many as a prefix holds meets nobody
+    alone = apart.groupBy("a", "e").agg(F.count("*").alias("f"), F.min("b").alias("b")).where("f = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
+    held = apart.groupBy("a", "b").agg(F.count("*").alias("size")).join(group, ["a", "b"]).join(alone, ["a", "b"], "left").fillna(0, "own")
     need = F.greatest(F.floor(F.col("size") * ((1 - r) / 2) - 1e-9) + 1, F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r / 2) - 1e-9), F.lit(1))
     short = F.col("size") - need + 1 - F.col("own")
     long = F.col("size") - F.greatest(F.ceil(F.col("size") - F.col("nb") * ((1 + 1 / t) * r) - 1e-9), F.lit(1)) + 1 - F.col("own")
+    held = materialise(held.where(long > 0).drop("own"))
+    # of the others, so are shingles that only one component of the pivot has: no candidates share them
+    left = apart.join(few(held.select("a", "b")), ["a", "b"], "left_semi")
+    counts = left.groupBy("a", "e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("a", "e", "f")
+    common = left.select("a", "b", "e").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("list"))
+    lists = materialise(held.join(common, ["a", "b"]).withColumn("own", F.col("size") - F.size("list")))
+    discard(apart)
 
     def prefix(n, name: str) -> DataFrame:
         part = lists.where(n > 0).select("a", "b", "c", "size", "nb", F.size("list").alias("m"), F.posexplode(F.slice("list", F.lit(1), n.cast("int"))).alias("at", "x"))
