@@ -9,7 +9,7 @@ from undertow.functions import model_output
 from undertow.functions import text as X
 from undertow.operators import code, evaluate, graph, mappings, narrative, report, resolve
 from undertow.operators.engine import Engine
-from undertow.plans.closure import upstream_of_others, upstream_of_others_sql
+from undertow.plans.closure import upstream_of_others, upstream_of_others_sql, upstream_sql
 from undertow.sources import artifacts
 
 NS = "acme/shop"
@@ -75,6 +75,21 @@ def test_a_seed_is_upstream_of_another_seed_only(spark):
         assert up("zzz") == set()
 
 
+def test_recursive_plans_are_whole_beyond_the_row_limit(spark):
+    """Seven layers of twelve nodes, each of which depends on all of the layer below: 12**7 paths to the last, 84 nodes."""
+    layers = [[f"n{level}_{i}" for i in range(12)] for level in range(7)]
+    edges = spark.createDataFrame([(a, b) for below, above in zip(layers, layers[1:]) for a in above for b in below], "src string, dst string")
+    seeds = spark.createDataFrame([(x,) for x in layers[0]], "node string")
+    for limit in (None, "10"):
+        if limit:
+            spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+        try:
+            assert {tuple(r) for r in upstream_sql(spark, seeds, edges).collect()} == {(x, level) for level, layer in enumerate(layers) for x in layer}
+            assert sorted(r.node for r in upstream_of_others_sql(seeds, edges).collect()) == sorted(x for layer in layers[1:] for x in layer)
+        finally:
+            spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 SOURCES = {
     "app/item/[slug]/page.tsx": "import Card from '../../../lib/card';\nimport { money } from '../../../lib/money';\nexport default function Page() {\n  money(1);\n  return <Card/>;\n}\n",
     "app/basket/page.tsx": "import { money } from '../../lib/money';\nexport default function Basket() {\n  return money(2);\n}\n",

@@ -2,7 +2,7 @@
 
 The engine holds a graph (see operators.graph; a table may have more columns than named here) and answers with tables,
 each of which may be large: nothing is collected. Two plans reach the same closure: a semi-naive loop with reliable
-checkpoints, and one recursive SQL statement for small, sparse graphs.
+checkpoints, and one recursive SQL statement for sparse graphs.
 """
 
 from __future__ import annotations

@@ -78,26 +78,28 @@ def bounded_upstream(seeds: DataFrame, edges: DataFrame, max_depth: int = 6, eno
 
 
 def upstream_sql(spark: SparkSession, seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """The same set as one recursive SQL plan. UNION ALL keeps each path, so it is for sparse graphs: the rows double
-    at each hop where two paths meet, and Spark stops a recursion at its row limit
-    (spark.sql.cteRecursionRowLimit). The loop has no such limit. The edges are written down once for all levels.
+    """The same set as one recursive SQL plan. Each level keeps a node once (DISTINCT), however many paths lead to it, but
+    again on each level that reaches it, so there are at most max_depth + 1 rows a node. LIMIT ALL lifts Spark's limit on
+    the rows of a recursion (spark.sql.cteRecursionRowLimit). The edges are written down once for all levels.
     """
     edges = written(edges)
     return spark.sql(
         """WITH RECURSIVE r(node, depth) AS (
-             SELECT node, 0 FROM {seeds} UNION ALL SELECT e.src, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
-           SELECT node, min(depth) AS depth FROM r GROUP BY node""",
+             SELECT node, 0 FROM {seeds} UNION ALL SELECT DISTINCT e.src, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
+           SELECT node, min(depth) AS depth FROM (SELECT * FROM r LIMIT ALL) GROUP BY node""",
         seeds=seeds, edges=edges, depth=max_depth,
     )
 
 
 def upstream_of_others_sql(seeds: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """The set of upstream_of_others as one recursive SQL plan, for small and sparse graphs (see upstream_sql)."""
+    """The set of upstream_of_others as one recursive SQL plan (see upstream_sql). Each level keeps each pair of a node and
+    a seed that reaches it, so it is for sparse graphs; the loop keeps two seeds a node.
+    """
     spark = seeds.sparkSession
     first = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
     return spark.sql(
         """WITH RECURSIVE r(node, seed, depth) AS (
-             SELECT node, node, 0 FROM {seeds} UNION ALL SELECT e.src, r.seed, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
-           SELECT DISTINCT node FROM r WHERE node <> seed""",
+             SELECT node, node, 0 FROM {seeds} UNION ALL SELECT DISTINCT e.src, r.seed, r.depth + 1 FROM r JOIN {edges} e ON e.node = r.node WHERE r.depth < {depth})
+           SELECT DISTINCT node FROM (SELECT * FROM r LIMIT ALL) WHERE node <> seed""",
         seeds=first, edges=written(edges), depth=max_depth,
     )
