@@ -2,12 +2,14 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from undertow.functions import text as X
 from undertow.operators import code, report, resolve
 from undertow.plans.crawl import bfs_crawl
 from undertow.plans.numbering import numbered
+from undertow.queries import ORACLE_SQL, QUERIES
 from undertow.sources import artifacts
 
 
@@ -22,6 +24,21 @@ def test_cascade(spark):
     assert {r.id for r in resolve.resolve_cascade(asked, names.where("false")).collect()} == {None}
 
 
+def test_cascade_query_on_pages_with_one_url(spark, tmp_path):
+    """Its SQL leaves open which of several pages with one url is named; the query names the last. All else is equal."""
+    parts = [(k, f"{('red', 'blue')[k % 2]} part", "b", "t", 1, 1.0) for k in range(24)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, f"https://a.test/{k % 6}", "") for k in range(30)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.p_partkey: (r.step, r.id) for r in QUERIES["resolve_cascade"](spark, str(tmp_path)).collect()}
+    assert {k: v for k, v in got.items() if k % 6 == 3} == {k: ("url", "page27") for k in (3, 9, 15, 21, 27)}
+    c = duckdb.connect()
+    for t in ("part", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = c.execute("SELECT p_partkey, step, id FROM (" + ORACLE_SQL["resolve_cascade"] + ")").fetchall()
+    same_url = lambda found: (found[0], int(found[1][4:]) % 6) if found[0] == "url" else found
+    assert {k: same_url((step, i)) for k, step, i in rows} == {k: same_url(v) for k, v in got.items()}
+
+
 def test_files_are_clamped_and_listed(spark):
     asked = spark.createDataFrame([("R1", " a.ts ", 1.7, 0), ("R2", "a.ts", -2.0, 0), ("R3", "a.ts", None, 0), ("R1", "b.ts", 0.5, 1), ("R4", "a.ts", 0.1, 0), ("R4", "a.ts", 0.9, 1)], "req string, path string, confidence double, ord int")
     got = resolve.resolve_files(asked, spark.createDataFrame([("a.ts",)], "path string"))
